@@ -14,6 +14,7 @@ from contactmill.operators.binning import symmetrize
 from contactmill.operators.insulation import gaussian_taps
 from contactmill.operators.stats import spearman
 from contactmill.scale import with_totals
+from contactmill.session import materialize
 
 CELL_MAP = ["cell_id", "chrom_ord"]
 TINY = 1e-15  # fixed value added to denominators
@@ -122,7 +123,10 @@ def box_smoothed(maps: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
 
 
 def batch_coverage(maps: DataFrame, cells: DataFrame, genome: Genome, resolution: int) -> DataFrame:
-    """Mean row coverage of each batch and of all cells; `maps` are symmetric per-cell maps."""
+    """Mean row coverage of each batch and of all cells; `maps` are symmetric per-cell maps.
+
+    The result (bins x batches) is written once, because ranking reads it several times.
+    """
     rows = maps.groupBy("cell_id", "chrom_ord", F.col("bin1").alias("bin")).agg(F.sum("value").alias("s"))
     n = genome.n_bins(F.col("chrom_ord"), resolution)
     by_batch = rows.join(cells.select("cell_id", "batch"), "cell_id").groupBy("batch", "chrom_ord", "bin").agg(
@@ -136,11 +140,11 @@ def batch_coverage(maps: DataFrame, cells: DataFrame, genome: Genome, resolution
         "*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("bin")
     )
     filled = grid.join(by_batch, ["batch", "chrom_ord", "bin"], "left").join(overall, ["chrom_ord", "bin"], "left")
-    return filled.select(
+    return materialize(filled.select(
         "chrom_ord", "batch", "bin",
         F.coalesce(F.col("batch_sum") / F.col("batch_cells") / n, F.lit(0.0)).alias("batch_row"),
         F.coalesce(F.col("all_sum") / n_cells / n, F.lit(0.0)).alias("bulk_row"),
-    )
+    ))
 
 
 def batch_agreement(coverage: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def randomized_svd(
     width = rank + oversample
     parts = rows.select("part").distinct().count()
     check_gram_size(parts, width)
-    keyed = entries.select("part", "row", "col", "value")
+    keyed = materialize(entries.select("part", "row", "col", "value"))  # read in every pass below
     fitted_rows = rows if fit_rows is None else fit_rows
     train = keyed if fit_rows is None else keyed.join(fit_rows, ["part", "row"], "left_semi")
 
@@ -162,13 +162,12 @@ def concat_blocks(blocks: DataFrame, row: str, order: Sequence[str], column: str
 
 def column_moments(df: DataFrame, column: str = "features") -> tuple[Column, Column]:
     """Per-dimension mean and population deviation, as one-row lookups."""
-    n = df.select(F.count(F.lit(1)).cast("double")).scalar()
-    stats = df.select(array_to_vector(column).alias("v"))
-    mean = stats.select(vector_to_array(Summarizer.mean(F.col("v")))).scalar()
-    spread = stats.select(vector_to_array(Summarizer.variance(F.col("v")))).scalar()
+    summed = Summarizer.metrics("mean", "variance", "count").summary(F.col("v"))
+    stats = df.select(array_to_vector(column).alias("v")).agg(summed.alias("s"))
+    n = F.col("s.count")
     # MLlib divides by n - 1
-    sd = F.transform(spread, lambda v: F.sqrt(v * (n - 1) / n))
-    return mean, sd
+    sd = F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n))
+    return stats.select(vector_to_array("s.mean")).scalar(), stats.select(sd).scalar()
 
 
 def standardize(df: DataFrame, column: str = "features") -> DataFrame:

@@ -331,9 +331,49 @@ def cell_type_regions_oe(spark, sf):
     return maps.observed_over_expected(dense_maps(spark, sf, chosen, 5, 25), ["metacell"], 20).withColumn("value", rounded("value"))
 
 
+def _plain_steps_sql(steps: int) -> str:
+    """Filters of the balancing operator and a fixed number of plain steps, unrolled."""
+    parts = [
+        """gpix AS (SELECT metacell, least(pos1 // 1000000 + 20 * c1, pos2 // 1000000 + 20 * c2) AS b1,
+    greatest(pos1 // 1000000 + 20 * c1, pos2 // 1000000 + 20 * c2) AS b2, CAST(count(*) AS DOUBLE) AS v
+  FROM located JOIN cells USING (cell_id) GROUP BY 1, 2, 3),
+side AS (SELECT metacell, b1, b2, v FROM gpix WHERE b1 // 20 <> b2 // 20 OR b2 - b1 >= 2 UNION ALL
+  SELECT metacell, b2, b1, v FROM gpix WHERE b1 // 20 <> b2 // 20 OR b2 - b1 >= 2),
+raw AS (SELECT o.metacell, g.b, coalesce(s.nnz, 0) AS nnz, coalesce(s.c, 0) AS c
+  FROM (SELECT DISTINCT metacell FROM gpix) o CROSS JOIN (SELECT unnest(range(0, 120)) AS b) g
+  LEFT JOIN (SELECT metacell, b1, count(*) AS nnz, sum(v) AS c FROM side GROUP BY 1, 2) s ON s.metacell = o.metacell AND s.b1 = g.b),
+mid AS (SELECT metacell, b // 20 AS chrom, median(c) AS m FROM raw WHERE c > 0 GROUP BY 1, 2),
+rel AS (SELECT r.*, coalesce(r.c / m.m, 0) AS rel FROM raw r LEFT JOIN mid m ON m.metacell = r.metacell AND m.chrom = r.b // 20),
+centre AS (SELECT metacell, median(ln(rel)) AS ce FROM rel WHERE rel > 0 GROUP BY 1),
+spread AS (SELECT r.metacell, median(abs(ln(rel) - ce)) AS mad, any_value(ce) AS ce FROM rel r JOIN centre USING (metacell)
+  WHERE rel > 0 GROUP BY 1),
+w0 AS (SELECT r.metacell, r.b, CASE WHEN nnz >= 10 AND rel >= exp(ce - 5 * mad) THEN 1.0::DOUBLE ELSE 0 END AS w
+  FROM rel r LEFT JOIN spread USING (metacell))"""
+    ]
+    for i in range(steps):
+        parts.append(f"""m{i} AS (SELECT w.metacell, w.b, w.w, w.w * coalesce(s.r, 0) AS marg FROM w{i} w LEFT JOIN
+  (SELECT x.metacell, x.b1, sum(x.v * y.w) AS r FROM side x JOIN w{i} y ON y.metacell = x.metacell AND y.b = x.b2 GROUP BY 1, 2) s
+  ON s.metacell = w.metacell AND s.b1 = w.b),
+w{i + 1} AS (SELECT metacell, b, marg, CASE WHEN marg = 0 THEN w ELSE w / (marg / avg(marg) FILTER (WHERE marg <> 0) OVER (PARTITION BY metacell)) END AS w FROM m{i})""")
+    return ",\n".join(parts)
+
+
+@query(
+    "M20_balance_steps",
+    f"""SELECT metacell, {big('b // 20', 'chrom_ord')}, {big('b % 20', 'bin')}, {r6('CASE WHEN w <> 0 THEN w / sqrt(mean) END', 'weight')}
+FROM (SELECT *, avg(marg) FILTER (WHERE marg <> 0) OVER (PARTITION BY metacell) AS mean FROM w3)""",
+    _plain_steps_sql(3),
+)
+def balance_steps(spark, sf):
+    """Three plain steps, for the exact check."""
+    weights = balance.balance(metacell_pixels(spark, sf), GENOME, MB, max_iters=3, damped=False)
+    return _long(weights).select("metacell", "chrom_ord", "bin", rounded("weight"))
+
+
 @query("M20_balance_weights")
 def balance_weights(spark, sf):
-    weights = balance.balance(metacell_maps(spark, sf), GENOME, MB, min_nnz=2)
+    """Up to 25 damped steps; thin maps may stay unconverged, as the flag says."""
+    weights = balance.balance(metacell_pixels(spark, sf), GENOME, MB, max_iters=25)
     return _long(weights).withColumn("weight", rounded("weight"))
 
 
