@@ -35,8 +35,8 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def _nearest(queries: pd.DataFrame, data: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
     """Exact k nearest of one block: a fast product finds candidates, differences give their distances."""
-    x, y = np.stack(queries["features"].to_numpy()), np.stack(data["features"].to_numpy())
-    qid, did = queries["cell_id"].to_numpy(), data["cell_id"].to_numpy()
+    x, y = np.stack(queries["features"].to_numpy()), np.stack(data["d_features"].to_numpy())
+    qid, did = queries["cell_id"].to_numpy(), data["neighbor"].to_numpy()
     rough = (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T
     if exclude_self:
         rough[qid[:, None] == did[None]] = np.inf
@@ -76,7 +76,7 @@ def _visit(visits: DataFrame, data: DataFrame, k: int, exclude_self: bool) -> Da
     held = data.join(load, groups).select(
         "part", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("chunk"),
         F.pmod(spread, F.col("_subs")).alias("sub"), "cell_id", "features",
-    )
+    ).toDF("d_part", "d_pivot", "d_chunk", "d_sub", "neighbor", "d_features")
     block = ["part", "pivot", "chunk", "sub"]
 
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +84,8 @@ def _visit(visits: DataFrame, data: DataFrame, k: int, exclude_self: bool) -> Da
             return pd.DataFrame({"part": [], "cell_id": [], "neighbor": [], "distance": []})
         return _nearest(q, d, k, exclude_self)
 
-    return asked.groupBy(*block).cogroup(held.groupBy(*block)).applyInPandas(search, _FOUND)
+    theirs = held.groupBy(*[f"d_{b}" for b in block])
+    return asked.groupBy(*block).cogroup(theirs).applyInPandas(search, _FOUND)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -203,7 +204,7 @@ def neighbor_weights(points: DataFrame, n: int, start: int = 0) -> DataFrame:
     """The n nearest cells (itself first) with weights exp(-d / q), q the lower quartile of all listed distances, scaled
     to sum 1 per cell; start = 1 leaves the cell itself out."""
     near = materialize(knn(points, n - 1))
-    q = quantile_within(near.where(F.col("rank") <= n - 1), [], "distance", 0.25, "q").scalar()
+    q = F.lit(quantile_within(near, [], "distance", 0.25, "q").first()[0])  # one number
     itself = points.select("cell_id", F.col("cell_id").alias("neighbor"), F.lit(0.0).alias("distance"))
     listed = near.select("cell_id", "neighbor", "distance")
     if start == 0:
