@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.genome import Genome, bin_table
 from contactmill.operators.binning import symmetrize
-from contactmill.session import materialize
+from contactmill.session import materialize, materialize_layout
 
 BIN = ["metacell", "gbin"]
 
@@ -71,7 +71,7 @@ def balance(
         pixels = pixels.where(~same)
     pixels = pixels.where(~same | (F.col("bin2") - F.col("bin1") >= ignore_diags))
     sides = symmetrize(pixels.select("metacell", "bin1", "bin2", "value"))
-    sides = materialize(sides.repartition("metacell", "bin2"))
+    sides = materialize_layout(sides.repartition("metacell", "bin2"))
 
     bins = bin_table(maps.sparkSession, genome, resolution).select("gbin", "chrom_ord", "bin")
     owners = todo.select("metacell").distinct()

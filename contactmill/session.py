@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder: later reads survive lost executors and never recompute."""
+    """Write df as a table in the shared checkpoint folder and read it back.
+
+    Later reads survive lost executors, never recompute, and plan from the table's real size. Unlike checkpoint(), the
+    result carries no constraints of the plan behind it; those grow with every step of an iteration.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_layout(df: DataFrame) -> DataFrame:
+    """Checkpoint df keeping its partitioning, for a large table that many later joins read by the same keys."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
