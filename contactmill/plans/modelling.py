@@ -1 +1,142 @@
-"""Not filled yet."""
+"""The metacell model: waypoints, updates, weights, respawn, full fit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from contactmill.operators import model
+from contactmill.plans import fixtures as fx
+from contactmill.plans.catalog import big, query, r6, rounded
+from contactmill.plans.neighbours import points
+
+SETTINGS = model.Settings(n_metacells=8, max_iter=2, max_franke_wolfe_iters=20, size_sync=5)
+
+
+def unit_views(spark, sf):
+    return points(spark, sf).withColumnRenamed("part", "view_id")
+
+
+def start(spark, sf, settings=SETTINGS):
+    return model.initialize(unit_views(spark, sf), settings, seed=32, n_micro=16)
+
+
+@query("M24_waypoints")
+def waypoints(spark, sf):
+    chosen = start(spark, sf).waypoints
+    return spark.createDataFrame([(i, int(c)) for i, c in enumerate(chosen)], "metacell LONG, cell_id LONG")
+
+
+@query("R6_layout_waypoints")
+def layout_waypoints(spark, sf):
+    from contactmill.operators.regions import flag_waypoints
+    from contactmill.plans.counts import layout
+
+    out = flag_waypoints(layout(spark, sf, 0), waypoints(spark, sf))
+    return out.select("cell_id", rounded("x"), rounded("y"), "is_waypoint")
+
+
+@query(
+    "W9_hard_labels",
+    f"""SELECT cell_id, {big('list_position(features, list_max(features))', 'metacell')} FROM views WHERE view_id = 1""",
+)
+def hard_labels(spark, sf):
+    """Views stand for memberships."""
+    one = fx.views(spark, sf).where(F.col("view_id") == 1)
+    return model.hard_labels(one.select("cell_id", F.col("features").alias("a")))
+
+
+CENTRE_SQL = """cen AS (SELECT metacell, pos, avg(x) AS c FROM (SELECT v.cell_id, metacell, unnest(range(0, 24)) AS pos, unnest(features) AS x
+  FROM views v JOIN cells USING (cell_id) WHERE view_id = 0) GROUP BY 1, 2),
+cdist AS (SELECT metacell, cell_id, sqrt(sum((x - c) * (x - c))) AS d FROM (SELECT v.cell_id, metacell, unnest(range(0, 24)) AS pos,
+  unnest(features) AS x FROM views v JOIN cells USING (cell_id) WHERE view_id = 0) JOIN cen USING (metacell, pos) GROUP BY 1, 2)"""
+
+
+def members_and_centres(spark, sf):
+    from contactmill.functions.vectors import array_mean
+
+    first = fx.views(spark, sf).where(F.col("view_id") == 0).select("cell_id", "features")
+    members = first.join(fx.cells(spark, sf).select("cell_id", "metacell"), "cell_id")
+    return members, members.groupBy("metacell").agg(array_mean(F.col("features")).alias("centre"))
+
+
+@query("W10_nearest_to_centre", "SELECT metacell, arg_min(cell_id, (round(d, 12), cell_id)) AS cell_id FROM cdist GROUP BY 1", CENTRE_SQL)
+def nearest_to_centre(spark, sf):
+    from contactmill.operators.regions import nearest_to_centres
+
+    members, centres = members_and_centres(spark, sf)
+    return nearest_to_centres(members, centres, ["metacell"])
+
+
+@query(
+    "W11_outliers",
+    """SELECT metacell, cell_id FROM (SELECT *, avg(d) OVER (PARTITION BY metacell) + 1.5 * stddev_pop(d) OVER (PARTITION BY metacell) AS lim,
+  count(*) OVER (PARTITION BY metacell) AS n FROM cdist) WHERE n >= 5 AND d > lim""",
+    CENTRE_SQL,
+)
+def outliers(spark, sf):
+    members, centres = members_and_centres(spark, sf)
+    out = model.outlier_cells(
+        members.withColumnRenamed("metacell", "grp"), centres.toDF("grp", "centroid"), min_size=5, sd=1.5
+    )
+    return out.select(F.col("grp").alias("metacell"), "cell_id")
+
+
+@query(
+    "T3_largest_clusters",
+    f"SELECT label AS cluster, {big('count(*)', 'n')} FROM cells GROUP BY 1 HAVING count(*) >= greatest(2, floor(0.0005 * (SELECT count(*) FROM cells)))",
+)
+def largest_clusters(spark, sf):
+    cells = fx.cells(spark, sf)
+    kept = model.largest_clusters(cells.select(F.col("label").alias("micro")), cells.count(), 5)
+    sizes = cells.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where(F.col("cluster").isin(kept))
+
+
+@query("M25_membership_update")
+def membership_update(spark, sf):
+    out = model.update_memberships(start(spark, sf), SETTINGS)
+    return out.select("cell_id", F.posexplode("a").alias("k", "value")).withColumn("value", rounded("value"))
+
+
+@query("M26_archetype_update")
+def archetype_update(spark, sf):
+    state = start(spark, sf)
+    state.A = model.update_memberships(state, SETTINGS)
+    B = model.update_archetypes(state, SETTINGS)
+    rows = [(k, int(c), float(w)) for k, col in enumerate(B) for c, w in col.items()]
+    return spark.createDataFrame(rows, "k LONG, cell_id LONG, w DOUBLE")
+
+
+@query("M27_view_weights")
+def view_weights(spark, sf):
+    state = start(spark, sf)
+    between, to_mean = model.view_distances(model.kernel_times_b(state), state.n_views, state.k)
+    rows = []
+    for method in ("consensus", "awp"):
+        new = model.new_weights(between, to_mean, state.weights, 0.9, method)
+        rows += [(method, v, float(w)) for v, w in enumerate(new)]
+    return spark.createDataFrame(rows, "method STRING, view_id LONG, weight DOUBLE")
+
+
+@query("M28_objective")
+def objective(spark, sf):
+    state = start(spark, sf)
+    before = model.objective(state, SETTINGS)
+    state.A = model.update_memberships(state, SETTINGS)
+    return spark.createDataFrame([("start", float(before)), ("after", float(model.objective(state, SETTINGS)))], "step STRING, loss DOUBLE")
+
+
+@query("M29_respawn")
+def respawn(spark, sf):
+    """A high threshold makes several groups starve."""
+    settings = model.Settings(n_metacells=8, max_franke_wolfe_iters=20, size_sync=5, min_size_threshold=0.1)
+    state = start(spark, sf, settings)
+    state.A = model.update_memberships(state, settings)
+    model.respawn(state, settings)
+    return state.A.select("cell_id", F.posexplode("a").alias("k", "value")).withColumn("value", rounded("value"))
+
+
+@query("M30_fit")
+def fit(spark, sf):
+    state = model.fit(start(spark, sf), SETTINGS)
+    return model.hard_labels(state.A)
