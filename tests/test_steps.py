@@ -22,10 +22,10 @@ def experiment(tmp_path_factory):
         lines = ["## pairs format v1.0", "readID\tchrom1\tpos1\tchrom2\tpos2\tstrand1\tstrand2"]
         for r in range(300):
             chrom = f"chr{rng.integers(1, 3)}"
-            p1 = int(rng.integers(0, 1_000_000))
+            p1 = int(rng.integers(0, 20_000_000))
             # one type keeps to its own half of each chromosome
-            p1 = p1 // 2 + (500_000 if kind == "A" else 0)
-            p2 = min(max(p1 + int(rng.normal(0, 150_000)), 0), 999_999)
+            p1 = p1 // 2 + (10_000_000 if kind == "A" else 0)
+            p2 = min(max(p1 + int(rng.normal(0, 3_000_000)), 0), 19_999_999)
             lines.append(f"r{r}\t{chrom}\t{p1}\t{chrom}\t{p2}\t+\t-")
         lines += ["broken line", "r\tchr1\tx\tchr1\t5"]
         name = f"cell{c:02d}_{kind}_x.pairs"
@@ -36,14 +36,14 @@ def experiment(tmp_path_factory):
             with gzip.open(root / "pairs" / f"{name}.gz", "wt") as f:
                 f.write(text)
     (root / "pairs" / "notes.txt").write_text("not a cell")
-    (root / "sizes.tsv").write_text("chr2\t1000000\nchr1\t1000000\nchrX\t5\n")
+    (root / "sizes.tsv").write_text("chr2\t20000000\nchr1\t20000000\nchrX\t5\n")
     return root
 
 
 @pytest.fixture(scope="module")
 def study(spark, experiment):
     return steps.process_and_load(
-        spark, str(experiment / "pairs"), str(experiment / "out"), str(experiment / "sizes.tsv"), ["chr1", "chr2"], [50_000, 100_000]
+        spark, str(experiment / "pairs"), str(experiment / "out"), str(experiment / "sizes.tsv"), ["chr1", "chr2"], [500_000, 1_000_000]
     )
 
 
@@ -60,9 +60,9 @@ def test_files_to_cells(spark, study, experiment):
 def test_views_are_stored_and_reused(spark, study, experiment):
     again = steps.process_and_load(
         spark, str(experiment / "pairs"), str(experiment / "out"), str(experiment / "sizes.tsv"), ["chr1", "chr2"],
-        [50_000, 100_000], force_process=False,
+        [500_000, 1_000_000], force_process=False,
     )
-    for r in (50_000, 100_000):
+    for r in (500_000, 1_000_000):
         assert study.views[r].count() == 24 and again.views[r].count() == 24
 
 
@@ -74,48 +74,48 @@ def fitted(study):
 def test_fit_and_evaluate(fitted):
     scores, summary, scored = steps.evaluate(fitted)
     one = summary.first()
-    assert one["accuracy"] > 0.9  # the two types do not overlap
+    assert one["accuracy"] > 0.75  # two types of equal size: chance is one half
     assert scored.metacells.select(F.sum("cell_count")).first()[0] == 24
     assert {"total_depth", "ep_v2"} <= set(scored.metacells.columns)
 
 
 def test_recommend(study):
-    low, high = steps.recommend_metacell_num(study, 600, 1800, n_neighbors=6, ref_view=100_000)
+    low, high = steps.recommend_metacell_num(study, 600, 1800, n_neighbors=6, ref_view=1_000_000)
     assert 1 <= low <= high
 
 
 def test_maps_balance_and_regions(fitted, experiment):
     out = str(experiment / "maps")
-    s = steps.aggregate_metacell_pairs(fitted, out, 50_000, [100_000])
+    s = steps.aggregate_metacell_pairs(fitted, out, 500_000, [1_000_000])
     s = steps.aggregate_metacell_mat_consensus(steps.aggregate_metacell_mat(s))
-    s = steps.balance_metacells(s, 100_000, min_nnz=1, mad_max=0, max_iters=20)
+    s = steps.balance_metacells(s, 1_000_000, min_nnz=1, mad_max=0, max_iters=20)
     for options in ({"base_on": "mat"}, {"base_on": "mat_consensus"}, {"balance": False}, {}, {"balance": False, "observed_expected": True}):
-        table = steps.metacell_regions(s, "chr1", 0, 500_000, 100_000, **options)
+        table = steps.metacell_regions(s, "chr1", 0, 5_000_000, 1_000_000, **options)
         assert table.count() == 25 * s.cells.select("metacell").distinct().count()
         assert table.where(F.col("value").isNull()).isEmpty()
-    assert steps.cell_region(s, 3, "chr2", 0, 300_000, 100_000).count() == 9
-    assert steps.cal_is(s, 50_000, 3).insulation[50_000].count() == 24 * 40
+    assert steps.cell_region(s, 3, "chr2", 0, 3_000_000, 1_000_000).count() == 9
+    assert steps.cal_is(s, 500_000, 3).insulation[500_000].count() == 24 * 40
     with pytest.raises(ValueError):
-        steps.metacell_regions(s, "chr1", 0, 500_000, 50_000)
+        steps.metacell_regions(s, "chr1", 0, 5_000_000, 500_000)
 
 
 def test_only_changed_metacells_are_rebuilt(spark, fitted, experiment):
     out = str(experiment / "refresh")
-    args = (fitted.genome, 100_000, out)
+    args = (fitted.genome, 1_000_000, out)
     assert stores.refresh_metacell_pixels(fitted.contacts, fitted.cells, *args) == "rebuilt"
     assert stores.refresh_metacell_pixels(fitted.contacts, fitted.cells, *args) == "skipped"
     moved = fitted.cells.withColumn("metacell", F.when(F.col("cell_id") == 0, 99).otherwise(F.col("metacell")).cast("long"))
     assert stores.refresh_metacell_pixels(fitted.contacts, moved, *args) == "updated"
-    got = stores.read_metacell_pixels(spark, f"{out}/pixels", "pair", 100_000).where("metacell = 99")
+    got = stores.read_metacell_pixels(spark, f"{out}/pixels", "pair", 1_000_000).where("metacell = 99")
     mine = fitted.contacts.where("cell_id = 0 and chrom1 = chrom2 and (abs(pos2 - pos1) >= 2500 or pos1 = pos2)").count()
     assert got.select(F.sum("value")).first()[0] == mine
 
 
 def test_cell_store_and_signals(spark, study, experiment):
     path = str(experiment / "cells")
-    stores.write_cell_pixels(study.pixels[100_000], study.genome, 100_000, path)
+    stores.write_cell_pixels(study.pixels[1_000_000], study.genome, 1_000_000, path)
     back = spark.read.parquet(path)
-    assert back.count() == study.pixels[100_000].count() and back.where("gbin1 > gbin2").isEmpty()
+    assert back.count() == study.pixels[1_000_000].count() and back.where("gbin1 > gbin2").isEmpty()
     stores.write_merged_pairs(stores.merged_pairs(study.contacts, study.cells.withColumn("metacell", F.lit(1))), str(experiment / "merged"))
     assert stores.read_merged_pairs(spark, str(experiment / "merged")).count() == 24 * 300
 
