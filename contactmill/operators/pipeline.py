@@ -9,6 +9,7 @@ from contactmill.functions.vectors import dot, squared_distance
 from contactmill.genome import Genome, bin_table
 from contactmill.operators import features, insulation, linalg, stats
 from contactmill.operators.binning import symmetrize
+from contactmill.session import materialize
 
 
 def _trimmed(scores: DataFrame, ranks: list[int], part_of) -> DataFrame:
@@ -77,12 +78,12 @@ def cell_features(
     rank: int | None = None,
 ) -> DataFrame:
     """Feature array per cell from its pixels: smoothing, batch correction, feature blocks, decomposition."""
-    maps = features.smoothed_cell_maps(pixels, genome, resolution)
+    maps = materialize(features.smoothed_cell_maps(pixels, genome, resolution))
     if "batch" in cells.columns:
         coverage = features.batch_coverage(maps, cells, genome, resolution)
         maps = features.batch_corrected(maps, cells, coverage, features.batch_agreement(coverage))
     n_cells = cells.select(F.count(F.lit(1))).scalar()
-    entries = features.common_features(features.feature_entries(maps), n_cells)
+    entries = materialize(features.common_features(features.feature_entries(maps), n_cells))
     scaled = features.scaled_features(features.clipped_features(entries), genome, resolution)
     own = features.pseudo_bulk(pixels, genome, resolution) if bulk is None else bulk
     flags = stats.quality_flags(pixels, cells, own, genome, resolution)

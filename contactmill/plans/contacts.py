@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contactmill.functions.draws import hash_key_sql
@@ -9,6 +11,10 @@ from contactmill.genome import bin_table
 from contactmill.operators import binning
 from contactmill.plans import fixtures as fx
 from contactmill.plans.catalog import big, query, r6, rounded
+from contactmill.plans.scores import METRICS, SWEEP_SQL, sweep_table
+from contactmill.session import ensure_checkpoint_dir, materialize
+from contactmill.sources import stores
+from contactmill.sources.tables import read_sweep
 
 GENOME, MB = fx.GENOME, fx.MB
 COUNT = F.count(F.lit(1))
@@ -113,10 +119,10 @@ def short_range_filter(spark, sf):
 
 @query(
     "P2_position_to_bin",
-    f"SELECT cell_id, chrom1, chrom2, {big('pos1 // 500000', 'bin1')}, {big('(pos2 - 1) // 500000', 'bin2')} FROM kept WHERE pos2 > 0",
+    f"SELECT cell_id, chrom1, chrom2, {big('pos1 // 500000', 'bin1')}, {big('floor((pos2 - 1) / CAST(500000 AS DOUBLE))', 'bin2')} FROM kept",
 )
 def position_to_bin(spark, sf):
-    kept = binning.drop_short_range(fx.contacts(spark, sf)).where(F.col("pos2") > 0)
+    kept = binning.drop_short_range(fx.contacts(spark, sf))
     return kept.select(
         "cell_id", "chrom1", "chrom2",
         binning.to_bin(F.col("pos1"), 500_000).alias("bin1"),
@@ -340,3 +346,64 @@ def cell_batches(spark, sf):
     )
     cells = attach_batches(fx.depths(spark, sf), given, default="0")
     return cells.groupBy("batch").agg(COUNT.alias("n_cells"), F.sum("depth").alias("depth"))
+
+
+@query(
+    "S6_masked_bins",
+    f"""SELECT DISTINCT {big('chrom_ord', 'chrom_ord')}, {big('b', 'bin')} FROM (SELECT chrom_ord,
+  unnest(range(CAST(greatest(floor((lo - 100000) / CAST(500000 AS DOUBLE)), 0) AS BIGINT), CAST(least(ceil((hi + 100000) / CAST(500000 AS DOUBLE)), 40) AS BIGINT))) AS b
+  FROM thin)""",
+    """perbin AS (SELECT c1 AS chrom_ord, pos1 // 1000000 AS b, count(*) AS n FROM located GROUP BY 1, 2),
+thin AS (SELECT chrom_ord, b * 1000000 AS lo, (b + 1) * 1000000 AS hi FROM perbin WHERE n < (SELECT avg(n) FROM perbin) * 0.97)""",
+)
+def masked_bins(spark, sf):
+    """Thinly covered megabases stand for centromere bands."""
+    located = binning.bin_contacts(fx.contacts(spark, sf), GENOME, MB)
+    per_bin = located.groupBy(F.col("chrom_ord1").alias("chrom_ord"), F.col("bin1").alias("b")).agg(COUNT.alias("n"))
+    limit = per_bin.select(F.avg("n") * 0.97).scalar()
+    bands = per_bin.join(F.broadcast(GENOME.table(spark)), "chrom_ord").select(
+        "chrom", (F.col("b") * MB).alias("start"), ((F.col("b") + 1) * MB).alias("end"), F.lit("band").alias("name"),
+        F.when(F.col("n") < limit, "acen").otherwise("gneg").alias("type"),
+    )
+    return binning.masked_bins(bands, GENOME, 500_000).withColumn("chrom_ord", F.col("chrom_ord").cast("long"))
+
+
+def scratch_path(spark, name):
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "S10_stored_views",
+    f"""SELECT {big('CASE view_id WHEN 0 THEN 500000 WHEN 1 THEN 1000000 ELSE 50000 END', 'resolution')}, cell_id, {big('pos', 'pos')}, {r6('x', 'value')}
+FROM (SELECT view_id, cell_id, unnest(range(0, 24)) AS pos, unnest(features) AS x FROM views)""",
+)
+def stored_views(spark, sf):
+    """Views written by resolution and read back."""
+    path = scratch_path(spark, "views")
+    views = fx.views(spark, sf)
+    for view_id, resolution in ((0, 500_000), (1, MB), (2, 50_000)):
+        stores.write_views(views.where(F.col("view_id") == view_id).drop("view_id"), resolution, path)
+    back = stores.read_views(spark, path)
+    return back.select(
+        F.col("resolution").cast("long").alias("resolution"), "cell_id", F.posexplode("features").alias("pos", "value")
+    ).withColumns({"pos": F.col("pos").cast("long"), "value": rounded("value")})
+
+
+@query(
+    "S11_sweep_files",
+    f"SELECT method, {big('k', 'k')}, " + ", ".join(r6(m, m) for m in METRICS) + " FROM sweep",
+    SWEEP_SQL,
+)
+def sweep_files(spark, sf):
+    """One CSV per method, first column unnamed, read back and stacked."""
+    table = materialize(sweep_table(spark, sf))
+    read = []
+    for i in range(3):
+        path = scratch_path(spark, "sweep")
+        one = table.where(F.col("method") == f"method_{i}").select(F.col("k").alias(" "), *METRICS)
+        one.write.option("header", True).csv(path)
+        read.append(read_sweep(spark, path, f"method_{i}"))
+    stacked = read[0].unionByName(read[1]).unionByName(read[2])
+    return stacked.select("method", F.col("k").cast("long").alias("k"), *[rounded(m) for m in METRICS])

@@ -9,6 +9,7 @@ from contactmill.operators import binning, features, linalg, stats
 from contactmill.plans import fixtures as fx
 from contactmill.plans.catalog import big, query, r6, rounded
 from contactmill.plans.counts import BULK_SQL
+from contactmill.session import materialize
 
 GENOME, MB = fx.GENOME, fx.MB
 
@@ -132,7 +133,10 @@ def clipped_features(spark, sf):
 
 
 def scaled(spark, sf):
-    return features.scaled_features(features.clipped_features(common(spark, sf)), GENOME, MB)
+    # the smoothed entries are read by four aggregates below: written once, as the full pipeline does
+    n_cells = fx.cells(spark, sf).select(F.count(F.lit(1))).scalar()
+    kept = materialize(features.common_features(materialize(entries(spark, sf)), n_cells))
+    return features.scaled_features(features.clipped_features(kept), GENOME, MB)
 
 
 @query("M9_scaled_features", f"SELECT {_MAP_COLS}, diagonal, {r6('value', 'value')} FROM scaled", _entry_sql())
