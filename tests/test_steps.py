@@ -94,7 +94,7 @@ def test_maps_balance_and_regions(fitted, experiment):
         assert table.count() == 25 * s.cells.select("metacell").distinct().count()
         assert table.where(F.col("value").isNull()).isEmpty()
     assert steps.cell_region(s, 3, "chr2", 0, 3_000_000, 1_000_000).count() == 9
-    assert steps.cal_is(s, 500_000, 3).insulation[500_000].count() == 24 * 40
+    assert steps.cal_is(s, 500_000, 3).insulation[500_000].count() == 24 * 80
     with pytest.raises(ValueError):
         steps.metacell_regions(s, "chr1", 0, 5_000_000, 500_000)
 
