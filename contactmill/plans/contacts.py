@@ -17,7 +17,8 @@ from contactmill.sources import stores
 from contactmill.sources.tables import read_sweep
 
 GENOME, MB = fx.GENOME, fx.MB
-COUNT = F.count(F.lit(1))
+def count_rows():
+    return F.count(F.lit(1))
 
 
 @query(
@@ -53,7 +54,7 @@ FROM chrom_sizes s LEFT JOIN raw_contacts r ON r.chrom1 = s.chrom GROUP BY 1, 2,
 )
 def chrom_sizes(spark, sf):
     seen = fx.contacts(spark, sf).groupBy(F.col("chrom1").alias("chrom")).agg(
-        COUNT.alias("n_contacts"), F.max("pos1").alias("last_pos")
+        count_rows().alias("n_contacts"), F.max("pos1").alias("last_pos")
     )
     chroms = GENOME.table(spark).withColumn("chrom_ord", F.col("chrom_ord").cast("long"))
     return chroms.join(seen, "chrom", "left").fillna(0, ["n_contacts"]).select(
@@ -80,7 +81,7 @@ def bins_with_hits(spark, sf):
     hits = (
         binning.bin_contacts(fx.contacts(spark, sf), GENOME, 300_000)
         .groupBy(F.col("chrom_ord1").alias("chrom_ord"), F.col("bin1").alias("bin"))
-        .agg(COUNT.alias("n_contacts"))
+        .agg(count_rows().alias("n_contacts"))
     )
     return (
         bin_table(spark, GENOME, 300_000)
@@ -99,7 +100,7 @@ FROM bins b JOIN offsets o USING (chrom_ord) LEFT JOIN hits h ON h.chrom_ord = b
 )
 def genome_offsets(spark, sf):
     binned = binning.genome_wide(binning.bin_contacts(fx.contacts(spark, sf), GENOME, 300_000), GENOME, 300_000)
-    hits = binned.groupBy(F.col("gbin1").alias("gbin")).agg(COUNT.alias("n"))
+    hits = binned.groupBy(F.col("gbin1").alias("gbin")).agg(count_rows().alias("n"))
     return (
         bin_table(spark, GENOME, 300_000)
         .join(hits, "gbin", "left")
@@ -164,7 +165,7 @@ def chromosome_lookup(spark, sf):
     binned = binning.genome_wide(binning.bin_contacts(fx.contacts(spark, sf), GENOME, MB), GENOME, MB)
     return binned.groupBy(
         F.col("chrom_ord1").cast("long").alias("chrom_ord1"), F.col("chrom_ord2").cast("long").alias("chrom_ord2")
-    ).agg(F.min("gbin1").alias("first_gbin"), COUNT.alias("n"))
+    ).agg(F.min("gbin1").alias("first_gbin"), count_rows().alias("n"))
 
 
 @query(
@@ -224,7 +225,7 @@ def recode_labels(spark, sf):
     from contactmill.sources.tables import recode
 
     merged = recode(fx.cells(spark, sf), "label", {"merged": ["type_1", "type_2", "type_3"]})
-    return merged.groupBy("label").agg(COUNT.alias("n"))
+    return merged.groupBy("label").agg(count_rows().alias("n"))
 
 
 @query("P11_cells_by_label", "SELECT cell_id, label, metacell FROM cells WHERE label IN ('type_0', 'type_4')")
@@ -309,7 +310,7 @@ LEFT JOIN (SELECT chrom_ord, bin1, count(*) AS n FROM pix GROUP BY 1, 2) h ON h.
 def bin_attributes(spark, sf):
     from contactmill.operators.features import bin_attributes as attributes
 
-    hits = fx.pixels(spark, sf).groupBy("chrom_ord", F.col("bin1").alias("bin")).agg(COUNT.alias("n_contacts"))
+    hits = fx.pixels(spark, sf).groupBy("chrom_ord", F.col("bin1").alias("bin")).agg(count_rows().alias("n_contacts"))
     table = attributes(spark, GENOME, MB).join(hits, ["chrom_ord", "bin"], "left").fillna(0, ["n_contacts"])
     return table.select(
         F.col("chrom_ord").cast("long").alias("chrom_ord"), "bin", rounded("coordinate"),
@@ -345,7 +346,7 @@ def cell_batches(spark, sf):
         F.col("s_suppkey").alias("cell_id"), (F.col("s_suppkey") % 3).cast("string").alias("batch")
     )
     cells = attach_batches(fx.depths(spark, sf), given, default="0")
-    return cells.groupBy("batch").agg(COUNT.alias("n_cells"), F.sum("depth").alias("depth"))
+    return cells.groupBy("batch").agg(count_rows().alias("n_cells"), F.sum("depth").alias("depth"))
 
 
 @query(
@@ -359,7 +360,7 @@ thin AS (SELECT chrom_ord, b * 1000000 AS lo, (b + 1) * 1000000 AS hi FROM perbi
 def masked_bins(spark, sf):
     """Thinly covered megabases stand for centromere bands."""
     located = binning.bin_contacts(fx.contacts(spark, sf), GENOME, MB)
-    per_bin = located.groupBy(F.col("chrom_ord1").alias("chrom_ord"), F.col("bin1").alias("b")).agg(COUNT.alias("n"))
+    per_bin = located.groupBy(F.col("chrom_ord1").alias("chrom_ord"), F.col("bin1").alias("b")).agg(count_rows().alias("n"))
     limit = per_bin.select(F.avg("n") * 0.97).scalar()
     bands = per_bin.join(F.broadcast(GENOME.table(spark)), "chrom_ord").select(
         "chrom", (F.col("b") * MB).alias("start"), ((F.col("b") + 1) * MB).alias("end"), F.lit("band").alias("name"),

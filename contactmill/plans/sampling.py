@@ -10,7 +10,8 @@ from contactmill.plans import fixtures as fx
 from contactmill.plans.catalog import big, query, r6, rounded
 
 GENOME, MB = fx.GENOME, fx.MB
-COUNT = F.count(F.lit(1))
+def count_rows():
+    return F.count(F.lit(1))
 
 
 def edges(spark, sf):
@@ -78,7 +79,7 @@ _PROBE = """cand AS (SELECT DISTINCT (cell_id + 1) % (SELECT count(*) FROM cells
 
 def candidates(spark, sf):
     """Every pixel asked of the next cell."""
-    n = fx.cells(spark, sf).select(COUNT).scalar()
+    n = fx.cells(spark, sf).select(count_rows()).scalar()
     return fx.pixels(spark, sf).select(((F.col("cell_id") + 1) % n).alias("cell_id"), "chrom_ord", "bin1", "bin2").distinct()
 
 
@@ -123,8 +124,8 @@ def negatives(spark, sf):
 FROM (SELECT count(*) / CAST((SELECT count(*) FROM cells) * 6 * 210 AS DOUBLE) AS d FROM pix WHERE bin2 - bin1 >= 2)""",
 )
 def negative_ratio(spark, sf):
-    n_cells = fx.cells(spark, sf).select(COUNT).scalar()
-    n = fx.pixels(spark, sf).where(F.col("bin2") - F.col("bin1") >= 2).agg(COUNT.alias("n"))
+    n_cells = fx.cells(spark, sf).select(count_rows()).scalar()
+    n = fx.pixels(spark, sf).where(F.col("bin2") - F.col("bin1") >= 2).agg(count_rows().alias("n"))
     ratio = sampling.negatives_per_positive(F.col("n"), n_cells, GENOME, MB)
     return n.select(ratio.cast("long").alias("ratio"), rounded(F.col("n") / (n_cells * F.lit(1260.0)), "density"))
 
@@ -163,5 +164,5 @@ def train_test_split(spark, sf):
 def epoch_batches(spark, sf):
     out = sampling.epoch_batches(fx.pixels(spark, sf), 5000, epoch=1)
     return out.groupBy(F.col("chrom_ord").cast("long").alias("chrom_ord"), "batch").agg(
-        COUNT.alias("n"), F.sum("cell_id").alias("cells"), F.max("copy").cast("long").alias("last_copy")
+        count_rows().alias("n"), F.sum("cell_id").alias("cells"), F.max("copy").cast("long").alias("last_copy")
     )
