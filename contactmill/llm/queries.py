@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from contactmill.llm import exact_dedup, mixing
+from contactmill.llm import byte_bpe, exact_dedup, mixing, set_sketch
 from contactmill.llm.common import read
 
 _WS = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op3_byte_bpe(spark, sf_dir):
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), stored=True)))
+
+
 def op4_exact_duplicates(spark, sf_dir):
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark, sf_dir):
+    return set_sketch.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark, sf_dir):
     return mixing.mixed_sizes(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_duplicates": op4_exact_duplicates,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_source_mix": op10_source_mix,
 }
 
