@@ -104,25 +104,27 @@ class PrefixCounts:
         self.follows: dict[tuple[bytes, bytes], bool] = {}
 
     def _may_follow(self, a: bytes, b: bytes) -> bool:
-        known = self.follows.get((a, b))
-        if known is None:
-            if len(self.follows) >= 1 << 19:
-                self.follows.clear()
-            known = self.follows[a, b] = merged(a + b, self.all) == [a, b]
-        return known
+        if len(self.follows) >= 1 << 19:
+            self.follows.clear()
+        follows = self.follows[a, b] = merged(a + b, self.all) == [a, b]
+        return follows
 
     def counts(self, piece: bytes) -> list[int]:
         """Token counts of piece[:1], piece[:2], ... to the whole piece."""
-        last: list[bytes] = [b""]
-        count = [0]
-        ranks, longest = self.ranks, self.longest
+        last, count = [b""], [0]
+        ranks, longest, known = self.ranks, self.longest, self.follows.get
         for end in range(1, len(piece) + 1):
             for start in range(max(0, end - longest), end):
                 token = piece[start:end]
-                if token in ranks and (start == 0 or self._may_follow(last[start], token)):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+                if token in ranks:
+                    if not start:
+                        break
+                    before = last[start]
+                    follows = known((before, token))
+                    if follows or (follows is None and self._may_follow(before, token)):
+                        break
+            last.append(token)
+            count.append(count[start] + 1)
         return count[1:]
 
 

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from contactmill.llm import byte_bpe, exact_dedup, mixing, set_sketch
+from contactmill.llm import (
+    byte_bpe, chat, exact_dedup, html_content, lang_id, mixing, rule_quality, set_sketch, spot_sigs, token_prefix,
+)
 from contactmill.llm.common import read
 
 _WS = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_html_content(spark, sf_dir):
+    return html_content.extract(read(spark, sf_dir, "pages"))
+
+
+def op2_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return lang_id.predict(docs, lang_id.fit(docs))
+
+
 def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), stored=True)))
 
@@ -17,6 +28,23 @@ def op4_exact_duplicates(spark, sf_dir):
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_spot_signatures(spark, sf_dir):
+    return spot_sigs.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return rule_quality.score(docs, rule_quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_token_counts(spark, sf_dir):
+    return token_prefix.token_counts(read(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark, sf_dir):
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op9_near_duplicates(spark, sf_dir):
     return set_sketch.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -26,8 +54,14 @@ def op10_source_mix(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html_content": op1_html_content,
+    "op2_language": op2_language,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_duplicates": op4_exact_duplicates,
+    "op5_spot_signatures": op5_spot_signatures,
+    "op6_quality": op6_quality,
+    "op7_token_counts": op7_token_counts,
+    "op8_chat_format": op8_chat_format,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_source_mix": op10_source_mix,
 }
@@ -38,6 +72,26 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY norm)""",
+    "op8_chat_format": r"""
+        WITH numbered AS (
+            SELECT conv_id, role, text, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS n
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), prefixes AS (
+            SELECT *, count(*) OVER (PARTITION BY conv_id) AS n_turns, md5(string_agg(
+                coalesce(md5(role), '-') || coalesce(md5(text), '-'), ' ') OVER (PARTITION BY conv_id ORDER BY n)) AS prefix
+            FROM numbered
+        ), kept AS (
+            SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies FROM prefixes AS p
+            WHERE n = n_turns AND NOT EXISTS (
+                SELECT 1 FROM prefixes AS q WHERE q.n = p.n AND q.prefix = p.prefix AND q.n_turns > q.n)
+            GROUP BY n_turns, prefix
+        )
+        SELECT conv_id, CAST((n - 1) // 256 AS BIGINT) AS part, k.n_turns, n_copies, string_agg(
+            '<|im_start|>' || coalesce(role, 'unknown') || chr(10)
+            || regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1|>', 'g') || '<|im_end|>' || chr(10),
+            '' ORDER BY n) AS text
+        FROM numbered JOIN kept AS k USING (conv_id) GROUP BY conv_id, part, k.n_turns, n_copies""",
     "op10_source_mix": f"""
         WITH sizes AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents

@@ -6,30 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contactmill.llm import exact_dedup, mixing
+from contactmill.llm import byte_bpe, exact_dedup, mixing, rule_quality, set_sketch
+from contactmill.llm.common import read
 from contactmill.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The classifier learns from the labelled rows that are not held out; texts scored below 0.7 go."""
+    return rule_quality.keep_good(docs, rule_quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return set_sketch.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text of the mix, as digests; the ids decode to the text's bytes."""
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, stored=True)))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_good_texts),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
     ("mixing", mix_sources),
+    ("byte_bpe", encode_texts),
 ]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
