@@ -7,9 +7,11 @@ from the number of registers above, below and equal, together with the known set
 similarity follows, and candidates whose best similarity is far more likely than the threshold itself are dropped.
 Everything else is verified on the full shingle sets.
 
-Members of one bucket are never all paired with each other. In round t each bucket names up to 2**t centres, which meet
+Members of one bucket are never all paired with each other. In each round every bucket names a few centres, which meet
 the members in other components and leave the bucket. Verified links are contracted, and the rounds go on until what is
-left of every bucket is one component: every candidate pair has then been compared or lies in one component.
+left of every bucket is one component: every candidate pair has then been compared or lies in one component. Between
+rounds the shingles of the members left are counted: one that no other member holds cannot be shared, so far variants of
+a large group leave at once, and those with the fewest shingles of their own are the next centres.
 """
 
 from __future__ import annotations
@@ -275,44 +277,86 @@ def _links(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str, percen
     """Verified links (a, b) between nodes, one node for each set; enough of them to connect every component."""
     banded = heads.mapInArrow(_batches(_band_batch, _BANDED), "node bigint, n_shingles bigint, band bigint")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band")
-    live = materialize(banded.join(shared, "band").select("band", "node", "n_shingles", F.col("node").alias("component")))
+    live = banded.join(shared, "band").select("band", "node", "n_shingles", F.col("n_shingles").alias("common"), F.col("node").alias("component"))
+    live = materialize(live)
     wanted = heads.join(live.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "registers")
     wanted = materialize(wanted)
     texts = _texts(docs, id_col, text_col).join(wanted.select("node", "doc_id", "text_key"), ["doc_id", "text_key"])
-    texts = materialize(texts.select("node", "text").dropDuplicates(["node"]))
-    links, tested, turn = live.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False)), None, 0
+    texts = materialize(texts.dropDuplicates(["doc_id", "text_key"]).select("node", "text"))
+    links = live.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
+    tested, group, centres = links, links.select(F.col("a").alias("node"), F.col("b").alias("component")), 1
     while not live.isEmpty():
         # ranked in two steps, so that no task ranks a whole bucket: the first few of each part, then the first few of those
+        order = [F.col("n_shingles") - F.col("common"), F.col("node")]
         few = live.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(64)))
-        few = few.withColumn("_k", F.row_number().over(Window.partitionBy("band", "_part").orderBy("node"))).where(F.col("_k") <= 2**turn)
-        few = few.withColumn("_k", F.row_number().over(Window.partitionBy("band").orderBy("node"))).where(F.col("_k") <= 2**turn)
-        centre = materialize(few.select("band", F.col("node").alias("c"), F.col("n_shingles").alias("n_c"), F.col("component").alias("comp_c")))
-        fits = (100 * F.least("n_shingles", "n_c") >= percent * F.greatest("n_shingles", "n_c")) & (F.col("component") != F.col("comp_c"))
-        before = F.col("node") < F.col("c")
-        pairs = live.join(centre, "band").where(fits).select(
-            F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"),
-            F.when(before, F.col("n_shingles")).otherwise(F.col("n_c")).alias("n_a"),
-            F.when(before, F.col("n_c")).otherwise(F.col("n_shingles")).alias("n_b"),
+        few = few.withColumn("_k", F.row_number().over(Window.partitionBy("band", "_part").orderBy(*order))).where(F.col("_k") <= centres)
+        few = few.withColumn("_k", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("_k") <= centres)
+        centre = few.select("band", *[F.col(c).alias(f"_{c}") for c in ("node", "n_shingles", "common", "component")])
+        # the intersection has `common` elements at most, and a link needs percent / (100 + percent) of both sizes
+        fits = (100 + percent) * F.least("common", "_common") >= percent * (F.col("n_shingles") + F.col("_n_shingles"))
+        before = F.col("node") < F.col("_node")
+        pairs = live.join(centre, "band").where(fits & (F.col("component") != F.col("_component"))).select(
+            F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"),
+            F.when(before, F.col("n_shingles")).otherwise(F.col("_n_shingles")).alias("n_a"),
+            F.when(before, F.col("_n_shingles")).otherwise(F.col("n_shingles")).alias("n_b"),
         ).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        links = links.union(materialize(_verified(pairs, wanted, texts, percent)))
-        group = components(links)
-        still = live.join(centre.select("band", F.col("c").alias("node")), ["band", "node"], "left_anti").drop("component")
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if centres > 1 else pairs)
+        tested = tested.union(pairs.select("a", "b"))
+        found = materialize(_verified(pairs, wanted, texts, percent))
+        links, group = links.union(found), materialize(_grown(group, found))
+        still = live.join(centre.select("band", F.col("_node").alias("node")), ["band", "node"], "left_anti").drop("component")
         still = still.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        still = materialize(still.select("band", "node", "n_shingles", "component"))
-        mixed = still.groupBy("band").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q")
-        live = materialize(still.join(mixed.select("band"), "band"))
-        turn += 1
+        live = _open(materialize(_open(materialize(still.select(*live.columns)))), texts, percent)
+        centres *= 2
     return links
 
 
+def _open(live: DataFrame, texts: DataFrame | None = None, percent: int = 0) -> DataFrame:
+    """The members of buckets that hold several components.
+
+    With texts, members are first counted against each other: what a set has in common with the rest of `live` at all is
+    the most it can share with a partner, and a set with too little of that leaves.
+    """
+    if texts is not None:
+        held = materialize(
+            texts.join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_exploded, "node bigint, shingle bigint")
+        )
+        common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        common = held.join(common, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+        live = materialize(live.drop("common").join(common, "node").where(100 * F.col("common") >= percent * F.col("n_shingles")).select(*live.columns))
+        return materialize(_open(live))
+    mixed = live.groupBy("band").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q")
+    return live.join(mixed.select("band"), "band").select(*live.columns)
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every shingle of every text."""
+    for batch in batches:
+        for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+            hashes = shingle_hashes(text.as_py()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), node)), pa.array(hashes)], ["node", "shingle"])
+
+
+def _grown(group: DataFrame, found: DataFrame) -> DataFrame:
+    """The components (node, component) after more links between nodes."""
+    if found.isEmpty():
+        return group
+    at = found
+    for side in ("a", "b"):
+        own = group.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        at = at.join(own, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    joined = components(at.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    moved = group.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    moved = moved.select("node", F.coalesce("_to", "component").alias("component"))
+    return moved.union(joined.join(group, "node", "left_anti").select("node", "component"))
+
+
 def _verified(pairs: DataFrame, registers: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs that are linked: likely by their sketches, then checked on the full sets."""
     drawn = pairs
     for side in ("a", "b"):
         drawn = drawn.join(registers.select(F.col("node").alias(side), F.col("registers").alias(f"reg_{side}")), side)
-    read = materialize(drawn.mapInArrow(_batches(_near_batch(percent / 100), _PAIR), "a bigint, b bigint"))
+    read = drawn.mapInArrow(_batches(_near_batch(percent / 100), _PAIR), "a bigint, b bigint")
     for side in ("a", "b"):
         read = read.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
     return read.mapInArrow(_batches(_verify_batch(percent), _PAIR), "a bigint, b bigint")
