@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from contactmill.llm.common import whole_text
 from contactmill.session import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
 _MANY = 4096
 
 
@@ -59,11 +60,8 @@ class _Numbers(dict):
         return number
 
 
-_PIECES = "block bigint, number int, word string, doc_ids array<bigint>, lengths binary, sequence binary"
-_PIECES_ARROW = pa.schema([
-    ("block", pa.int64()), ("number", pa.int32()), ("word", pa.string()),
-    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("sequence", pa.binary()),
-])
+_WORDS = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.string())])
+_HEADS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("sequence", pa.binary())])
 
 
 class _Block:
@@ -78,37 +76,45 @@ class _Block:
         self.parts.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
         self.chars += chars
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        """The distinct words, numbered by frequency (small numbers pack better), and one row with their sequence."""
+    def _numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence of words, number of each word); the most frequent words have the smallest numbers, which pack best."""
         sequence = np.concatenate(self.parts) if self.parts else np.empty(0, np.uint32)
         order = np.argsort(-np.bincount(sequence, minlength=len(self.words)), kind="stable")
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        words = list(self.words)
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        return sequence, number
+
+    def distinct_words(self) -> Iterator[pa.RecordBatch]:
+        number, words = self._numbered()[1].astype(np.int32), list(self.words)
         for at in range(0, len(words), _MANY):
             part = words[at : at + _MANY]
-            given = [pa.array(np.full(len(part), self.key)), pa.array(place[at : at + _MANY].astype(np.int32)), pa.array(part)]
-            yield pa.RecordBatch.from_arrays(given + [pa.nulls(len(part), f.type) for f in _PIECES_ARROW][3:], schema=_PIECES_ARROW)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), self.key)), pa.array(number[at : at + _MANY]), pa.array(part)], schema=_WORDS
+            )
+
+    def head(self) -> Iterator[pa.RecordBatch]:
+        """One row with the documents and the sequence of their words."""
+        sequence, number = self._numbered()
         yield pa.RecordBatch.from_pydict({
-            "block": [self.key], "number": [None], "word": [None],
-            "doc_ids": [self.rows], "lengths": [packed(np.array(self.lengths))], "sequence": [packed(place[sequence])],
-        }, schema=_PIECES_ARROW)
+            "block": [self.key], "doc_ids": [self.rows], "lengths": [packed(np.array(self.lengths))], "sequence": [packed(number[sequence])],
+        }, schema=_HEADS)
+
 
+def _cut(pattern: str | None, block_chars: int, leave):
+    """Fills blocks with documents; `leave` says what of a full block goes on."""
 
-def _cut(pattern: str | None, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern)
-        block = None
+        find, block = splitter(pattern), None
         for batch in batches:
             for key, row, text in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
                 if block and block.chars + len(text) > block_chars:
-                    yield from block.batches()
+                    yield from leave(block)
                     block = None
                 block = block or _Block(key)
                 block.add(row, find(text), len(text))
         if block:
-            yield from block.batches()
+            yield from leave(block)
 
     return run
 
@@ -157,22 +163,30 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
-def _reassemble(table: pa.Table) -> pa.Table:
-    """The rows of one block: the ids of every document in the order of its words."""
+def _documents(table: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of the documents of one block: the ids of the words at their positions."""
     head = table.filter(table.column("sequence").is_valid())
     rows, sequence = head.column("doc_ids")[0].as_py(), unpacked(head.column("sequence")[0].as_py())
     bounds = np.concatenate([[0], np.cumsum(unpacked(head.column("lengths")[0].as_py()), dtype=np.int64)])
     sent = table.filter(table.column("sequence").is_null())
-    parts = [[unpacked(x) for x in sent.column(c).to_pylist()] for c in ("numbers", "n_ids", "ids")]
+    parts = [[unpacked(x.as_py()) for x in sent.column(c)] for c in ("numbers", "n_ids", "ids")]
     numbers, n_ids, ids = (np.concatenate(x) if x else np.empty(0, np.uint32) for x in parts)
     size, start = np.zeros((2, len(numbers)), np.int64)
     size[numbers] = n_ids
     start[numbers] = np.cumsum(n_ids, dtype=np.int64) - n_ids
-    found = []
-    for k in range(len(rows)):
+    for k, row in enumerate(rows):
         own = sequence[bounds[k] : bounds[k + 1]]
-        found.append(ids[_ranges(start[own], size[own])].astype("<u4").tobytes())
-    return pa.table({"doc_id": pa.array(rows, pa.int64()), "ids": pa.array(found, pa.binary())})
+        yield row, ids[_ranges(start[own], size[own])].astype("<u4")
+
+
+def _shuffled(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str | None, block_chars: int, stored: bool):
+    """Rows of blocks, grouped by block: what `_documents` reads."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
+    texts = (texts if stored else materialize(texts)).withColumn("key", F.monotonically_increasing_id())
+    words = texts.mapInArrow(_cut(pattern, block_chars, _Block.distinct_words), "block bigint, number int, word string")
+    sent = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(vocabulary), _ENCODED)
+    heads = texts.mapInArrow(_cut(pattern, block_chars, _Block.head), "block bigint, doc_ids array<bigint>, lengths binary, sequence binary")
+    return sent.unionByName(heads, allowMissingColumns=True).groupBy("block")
 
 
 def encode(
@@ -185,14 +199,13 @@ def encode(
     rows and null identifiers keep their rows; no rows give none. Other columns are not read. The text is read twice and
     has to come in the same partitions and order both times. A stored table does; say so by `stored`, or it is written.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
-    texts = (texts if stored else materialize(texts)).withColumn("key", F.monotonically_increasing_id())
-    pieces = texts.mapInArrow(_cut(pattern, block_chars), _PIECES)
-    words = pieces.where("sequence IS NULL").select("block", "number", "word").repartition("word").sortWithinPartitions("word")
-    sent = words.mapInArrow(_encode(vocabulary), _ENCODED)
-    heads = pieces.where("sequence IS NOT NULL").select("block", "doc_ids", "lengths", "sequence")
-    both = sent.unionByName(heads, allowMissingColumns=True)
-    return both.groupBy("block").applyInArrow(_reassemble, "doc_id bigint, ids binary")
+
+    def whole(table: pa.Table) -> pa.Table:
+        rows, found = zip(*((row, ids.tobytes()) for row, ids in _documents(table)), strict=True)
+        return pa.table({"doc_id": pa.array(rows, pa.int64()), "ids": pa.array(found, pa.binary())})
+
+    blocks = _shuffled(docs, id_col, text_col, vocabulary, pattern, block_chars, stored)
+    return blocks.applyInArrow(whole, "doc_id bigint, ids binary")
 
 
 @lru_cache(4)
@@ -218,9 +231,23 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of rows that `decode` returns."""
-    return decoded.select(
-        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def digests(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
+    pattern: str | None = None, block_chars: int = BLOCK_CHARS, stored: bool = False,
+) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; ids and decoded bytes stay in their task.
+
+    Rows are those of `encode`, decoded as by `decode`; the digests are of the ids as little-endian unsigned 32-bit numbers
+    and of the decoded bytes.
+    """
+
+    def summed(table: pa.Table) -> pa.Table:
+        look_up, out = token_bytes(vocabulary).__getitem__, []
+        for row, ids in _documents(table):
+            decoded = b"".join(map(look_up, ids.tolist()))
+            out.append((row, len(ids), sha256(ids.tobytes()).hexdigest(), sha256(decoded).hexdigest()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    blocks = _shuffled(docs, id_col, text_col, vocabulary, pattern, block_chars, stored)
+    return blocks.applyInArrow(summed, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

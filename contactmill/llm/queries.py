@@ -21,7 +21,7 @@ def op2_language(spark, sf_dir):
 
 
 def op3_byte_bpe(spark, sf_dir):
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), stored=True)))
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), stored=True)
 
 
 def op4_exact_duplicates(spark, sf_dir):

@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text of the mix, as digests; the ids decode to the text's bytes."""
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, stored=True)))
+    return byte_bpe.digests(docs, stored=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
