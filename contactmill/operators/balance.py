@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.genome import Genome, bin_table
 from contactmill.operators.binning import symmetrize
-from contactmill.session import materialize, materialize_layout
+from contactmill.session import RoundTables, materialize, materialize_layout, round_tables
 
 BIN = ["metacell", "gbin"]
 
@@ -47,17 +47,17 @@ def balance(
     blacklist: DataFrame | None = None,
     rescale_marginals: bool = True,
     tol: float = 1e-5,
-    max_iters: int = 200,
+    max_iters: int = 100,
     existing: DataFrame | None = None,
-    damped: bool = True,
+    damped: bool = False,
 ) -> DataFrame:
     """Weights per (metacell, chromosome, bin) that make all kept rows of value * w1 * w2 sum alike.
 
     Bins dropped by a filter get NULL. Metacells in `existing` are taken as they are. Every iteration joins the pixels,
     laid out once by their second bin, with the current weights; a map that has converged takes no further part.
     The plain step divides each weight by its relative row sum. It hardly moves the scales of loosely linked
-    chromosomes towards each other; every second step therefore takes the square root of that ratio, which has the
-    same fixed point and settles the slow directions. damped=False keeps to plain steps.
+    chromosomes towards each other; with damped=True every second step takes the square root of that ratio, which has
+    the same fixed point and settles the slow directions.
     Columns: metacell, chrom_ord, bin, weight, converged.
     """
     if cis_only and trans_only:
@@ -106,6 +106,21 @@ def balance(
 
     group = ["metacell", "chrom_ord"] if cis_only else ["metacell"]
     state = materialize(weights.withColumns({"done": F.lit(False), "scale": F.lit(None).cast("double")}))
+    with round_tables(maps.sparkSession) as rounds:
+        state = _iterated(state, sides, group, max_iters, tol, damped, rounds)
+    final = F.when((F.col("w") != 0) & F.col("scale").isNotNull(), F.col("w"))
+    if rescale_marginals:
+        final = final / F.sqrt("scale")
+    out = state.select("metacell", "chrom_ord", "bin", final.alias("weight"), F.col("done").alias("converged"))
+    if existing is not None:
+        out = existing.select("metacell", "chrom_ord", "bin", "weight", F.lit(True).alias("converged")).unionByName(out)
+    return out
+
+
+def _iterated(
+    state: DataFrame, sides: DataFrame, group: list[str], max_iters: int, tol: float, damped: bool, rounds: RoundTables
+) -> DataFrame:
+    """The weights after the iterations; the tables of past ones go as they are replaced."""
     for i in range(max_iters):
         active = state.where(~F.col("done"))
         other = active.select("metacell", F.col("gbin").alias("bin2"), F.col("w").alias("_w2"))
@@ -127,12 +142,7 @@ def balance(
             (F.col("done") | F.col("_mean").isNull() | (F.col("_var") < tol)).alias("done"),
             F.when(F.col("done"), F.col("scale")).otherwise(F.col("_mean")).alias("scale"),
         ))
+        rounds.turn()
         if state.where(~F.col("done")).isEmpty():
             break
-    final = F.when((F.col("w") != 0) & F.col("scale").isNotNull(), F.col("w"))
-    if rescale_marginals:
-        final = final / F.sqrt("scale")
-    out = state.select("metacell", "chrom_ord", "bin", final.alias("weight"), F.col("done").alias("converged"))
-    if existing is not None:
-        out = existing.select("metacell", "chrom_ord", "bin", "weight", F.lit(True).alias("converged")).unionByName(out)
-    return out
+    return state

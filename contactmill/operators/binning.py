@@ -11,6 +11,7 @@ from contactmill.scale import rank_within
 
 SHORT_RANGE_BP = 2500  # fixed value: shorter cis contacts are dropped unless both ends coincide
 PIXEL = ["cell_id", "chrom_ord", "bin1", "bin2"]
+PAIRED = ["chrom_ord", "chrom_ord2", "bin1", "bin2"]
 
 
 def drop_short_range(contacts: DataFrame, min_bp: int = SHORT_RANGE_BP) -> DataFrame:
@@ -85,6 +86,23 @@ def all_pixels(contacts: DataFrame, genome: Genome, resolution: int, one_based:
     )
 
 
+def paired_pixels(contacts: DataFrame, genome: Genome, resolution: int, one_based: bool = False) -> DataFrame:
+    """Counts of all contacts between listed chromosomes per cell: short ones and trans ones included.
+
+    The end that comes first in the genome is (chrom_ord, bin1), the other one (chrom_ord2, bin2).
+    """
+    weight = F.coalesce(F.col("count"), F.lit(1.0)) if "count" in contacts.columns else F.lit(1.0)
+    ends = [
+        F.struct(F.col(f"chrom_ord{i}").alias("chrom"), to_bin(F.col(f"pos{i}"), resolution, one_based).alias("bin")) for i in (1, 2)
+    ]
+    placed = locate(contacts, genome).select("cell_id", F.least(*ends).alias("_a"), F.greatest(*ends).alias("_b"), weight.alias("value"))
+    ordered = placed.select(
+        "cell_id", F.col("_a.chrom").alias("chrom_ord"), F.col("_b.chrom").alias("chrom_ord2"),
+        F.col("_a.bin").alias("bin1"), F.col("_b.bin").alias("bin2"), "value",
+    )
+    return ordered.groupBy("cell_id", *PAIRED).agg(F.sum("value").alias("value"))
+
+
 def coarsen(pixels: DataFrame, factor: int, keys: list[str] | None = None) -> DataFrame:
     """Pixels at `factor` times the bin width."""
     if factor < 1:

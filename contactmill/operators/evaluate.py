@@ -83,5 +83,6 @@ def summary(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def with_scores(metacells: DataFrame, scores: DataFrame) -> DataFrame:
-    """Depth columns and score columns of each metacell side by side."""
-    return metacells.join(scores.drop("cell_type", "cell_num"), "metacell", "left")
+    """Depth columns and score columns of each metacell side by side; scores it had before give way."""
+    fresh = scores.drop("cell_type", "cell_num")
+    return metacells.drop(*[c for c in fresh.columns if c != "metacell"]).join(fresh, "metacell", "left")

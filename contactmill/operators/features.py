@@ -251,31 +251,29 @@ def cell_covariates(pixels: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def _walk(dense: np.ndarray, restart: float, steps: int, tol: float) -> np.ndarray:
-    n = len(dense)
-    dense = dense - np.diag(np.diag(dense))
-    dense = dense + np.diag((dense.sum(axis=0) == 0).astype(float))
-    p = dense / (dense.sum(axis=0) + TINY)
-    eye = np.eye(n)
-    q = eye
-    for _ in range(steps):
-        new = (1 - restart) * eye + restart * (q @ p)
-        moved = np.linalg.norm(q - new)
-        q = new
-        if moved < tol:
-            break
-    return q - np.diag(np.diag(q))
+def _visits(smooth: np.ndarray, restart: float) -> np.ndarray:
+    """Where a walk is found in the long run when it starts in each bin (rows), without the starting bins themselves.
+
+    A walk goes on with probability `restart` and begins anew otherwise. Its limit Q obeys Q = (1 - r) I + r Q P, one linear
+    system; bins without partners keep to themselves.
+    """
+    n = len(smooth)
+    links = np.where(np.eye(n, dtype=bool), 0.0, smooth)
+    reach = links.sum(axis=0)
+    links[np.arange(n), np.arange(n)] = reach == 0
+    chances = links / np.where(reach == 0, 1.0, reach)
+    limit = np.linalg.solve((np.eye(n) - restart * chances).T, (1 - restart) * np.eye(n)).T
+    np.fill_diagonal(limit, 0.0)
+    return limit
 
 
 def random_walk_maps(
     pixels: DataFrame,
     genome: Genome,
     resolution: int,
+    max_bin: int,
     restart: float = 0.5,
     min_bin: int = 1,
-    max_bin: int = 100_000,
-    steps: int = 60,
-    tol: float = 1e-6,
 ) -> DataFrame:
     """Box-smoothed maps after a random walk with restart, at pairs with min_bin <= bin2 - bin1 < max_bin.
 
@@ -290,7 +288,7 @@ def random_walk_maps(
         np.add.at(upper, (pdf["bin1"].to_numpy(), pdf["bin2"].to_numpy()), pdf["value"].to_numpy())
         full = np.pad(upper + upper.T, 1)
         smooth = sum(full[i : i + n, j : j + n] for i in range(3) for j in range(3)) / 9.0
-        walked = _walk(smooth, restart, steps, tol)
+        walked = _visits(smooth, restart)
         b1, b2 = np.triu_indices(n, min_bin)
         near = b2 - b1 < max_bin
         b1, b2 = b1[near], b2[near]

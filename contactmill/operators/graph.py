@@ -294,21 +294,52 @@ def neighbor_feature_mean(edges: DataFrame, points: DataFrame, weighted: bool =
     return joined.groupBy("cell_id").agg(array_sum(share).alias("features"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """Communities by label moving on a weighted symmetric edge table (i, j, w): node, label.
+def coincident_edges(points: DataFrame) -> DataFrame:
+    """Edges of weight 1 in both directions between cells with equal features and the smallest of them."""
+    heads = points.groupBy("features").agg(F.min("cell_id").alias("j"))
+    tied = points.select(F.col("cell_id").alias("i"), "features").join(heads, "features").where(F.col("i") != F.col("j"))
+    tied = tied.select("i", "j", F.lit(1.0).alias("w"))
+    return tied.union(tied.select("j", "i", "w"))
 
-    Every node starts alone. In each round half of the nodes (a hash decides) join the neighbouring label of largest
-    modularity gain. The labelling of the best modularity seen is returned.
+
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0) -> DataFrame:
+    """Communities of a weighted symmetric edge table (i, j, w) by modularity: node, label.
+
+    Every node starts alone. Nodes move to the neighbouring label of largest gain until modularity stops rising; then the
+    labels become the nodes of a smaller graph, and so on until a level brings no gain. Nodes without an edge to another
+    one, such as those that only stand in a loop (i, i), keep a label of their own.
+    """
+    nodes = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct()
+    placed = materialize(nodes.withColumn("label", F.col("node")))
+    level = materialize(edges.where(F.col("i") != F.col("j")).select("i", "j", "w"))
+    total = level.agg(F.sum("w")).first()[0] or 0.0
+    score = float("-inf")
+    while total > 0:
+        labels, reached = _moved(level, total, resolution, seed)
+        if reached <= score + 1e-6:
+            break
+        score = reached
+        to = labels.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+        placed = materialize(placed.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
+        for side in ("i", "j"):
+            level = level.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), side)
+        level = materialize(level.groupBy(F.col("_i").alias("i"), F.col("_j").alias("j")).agg(F.sum("w").alias("w")))
+    return placed
+
+
+def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> tuple[DataFrame, float]:
+    """(labels (node, label, k), modularity) after local moves; loops (i, i) count into the strength k of a node.
+
+    In each round half of the nodes, drawn by a hash, move. Rounds end when three in a row bring nothing.
     """
-    edges = materialize(edges.where(F.col("i") != F.col("j")).select("i", "j", "w"))
     strength = edges.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("k"))
-    total = edges.agg(F.sum("w")).first()[0] or 0.0
     labels = materialize(strength.select("node", F.col("node").alias("label"), "k"))
-    best, best_score = labels, modularity(edges, labels, total, resolution)
-    for step in range(rounds):
+    best, best_score, idle, step = labels, modularity(edges, labels, total, resolution), 0, 0
+    while idle < 3:
         sizes = labels.groupBy("label").agg(F.sum("k").alias("volume"))
         reach = (
-            edges.join(labels.select(F.col("node").alias("j"), "label"), "j")
+            edges.where(F.col("i") != F.col("j"))
+            .join(labels.select(F.col("node").alias("j"), "label"), "j")
             .groupBy(F.col("i").alias("node"), "label")
             .agg(F.sum("w").alias("to"))
         )
@@ -324,18 +355,17 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, see
             .agg(F.max_by("label", stay).alias("to_label"), F.max(gain).alias("gain"))
         )
         turn = hash_key(F.col("node"), F.lit(step).cast("long"), seed=seed) % 2 == 0
-        moved = labels.join(choice, "node", "left").select(
+        labels = materialize(labels.join(choice, "node", "left").select(
             "node",
             F.when(turn & (F.col("gain") > 0), F.coalesce("to_label", "label")).otherwise(F.col("label")).alias("label"),
             "k",
-        )
-        labels = materialize(moved)
+        ))
         score = modularity(edges, labels, total, resolution)
-        if score > best_score + 1e-9:
+        idle = 0 if score > best_score + 1e-6 else idle + 1
+        if score > best_score:
             best, best_score = labels, score
-        elif step > 4 and score < best_score - 1e-9:
-            break
-    return best.select("node", "label")
+        step += 1
+    return best, best_score
 
 
 def modularity(edges: DataFrame, labels: DataFrame, total: float, resolution: float = 1.0) -> float:

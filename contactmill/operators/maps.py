@@ -49,15 +49,21 @@ def consensus_maps(pixels: DataFrame, cells: DataFrame, target_sum: float = 1e5)
     return metacell_pixels(scaled, cells)
 
 
+def cis_maps(maps: DataFrame) -> DataFrame:
+    """The maps inside chromosomes of maps that hold both ends' chromosomes."""
+    return maps.where(F.col("chrom_ord") == F.col("chrom_ord2")).drop("chrom_ord2")
+
+
 def coarsened_maps(maps: DataFrame, base: int, resolutions: Sequence[int]) -> dict[int, DataFrame]:
-    """Coarser maps, each from the largest finer resolution that divides it."""
+    """Coarser maps, each from the largest finer resolution that divides it; trans pixels too where maps hold them."""
+    keys = [*MAP, "chrom_ord2"] if "chrom_ord2" in maps.columns else MAP
     out = {base: maps}
     for resolution in sorted(set(resolutions) - {base}):
         finer = [r for r in out if resolution % r == 0]
         if not finer:
             raise ValueError(f"{resolution} is not a multiple of {base}")
         source = max(finer)
-        out[resolution] = coarsen(out[source], resolution // source, MAP)
+        out[resolution] = coarsen(out[source], resolution // source, keys)
     return out
 
 

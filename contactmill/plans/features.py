@@ -246,7 +246,7 @@ def box_smoothing(spark, sf):
 
 @query("M18_random_walk")
 def random_walk(spark, sf):
-    return _map_out(features.random_walk_maps(fx.pixels(spark, sf), GENOME, MB))
+    return _map_out(features.random_walk_maps(fx.pixels(spark, sf), GENOME, MB, max_bin=20))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contactmill.operators import balance, binning, evaluate, features, maps
 from contactmill.plans import fixtures as fx
 from contactmill.plans.catalog import big, query, r6, rounded
+from contactmill.plans.contacts import scratch_path
 from contactmill.plans.counts import BULK_SQL
 from contactmill.plans.scores import SCORES_SQL
 from contactmill.sources import stores
@@ -28,41 +29,95 @@ def contacts_by_metacell(spark, sf):
     return merged.groupBy("metacell").agg(F.count(F.lit(1)).alias("n"), F.min("pos1").alias("first_pos"), F.max("pos2").alias("last_pos"))
 
 
-@query("S12_merged_pairs", f"SELECT metacell, cell_id, chrom1, {big('pos1', 'pos1')}, chrom2, {big('pos2', 'pos2')} FROM raw_contacts JOIN cells USING (cell_id)")
+# a second grouping: one type moves, one is lost, and the twelfth metacell is dissolved
+AFTER_SQL = """regrouped AS (SELECT cell_id, label, CASE WHEN metacell = 12 THEN 1 WHEN label = 'type_3' AND metacell = 4 THEN 5 ELSE metacell END AS metacell
+  FROM cells WHERE label <> 'type_9')"""
+
+
+def regrouped(cells):
+    moved = F.when(F.col("metacell") == 12, 1).when((F.col("label") == "type_3") & (F.col("metacell") == 4), 5)
+    return cells.where(F.col("label") != "type_9").withColumn("metacell", moved.otherwise(F.col("metacell")).cast("long"))
+
+
+@query(
+    "S12_merged_pairs",
+    f"SELECT metacell, cell_id, chrom1, {big('pos1', 'pos1')}, chrom2, {big('pos2', 'pos2')} FROM raw_contacts JOIN regrouped USING (cell_id)",
+    AFTER_SQL,
+)
 def merged_pairs(spark, sf):
-    return stores.merged_pairs(fx.contacts(spark, sf), fx.cells(spark, sf))
+    """Written for one grouping, then for another, and read back."""
+    path, contacts = scratch_path(spark, "pairs"), fx.contacts(spark, sf)
+    for cells in (fx.cells(spark, sf), regrouped(fx.cells(spark, sf))):
+        stores.write_merged_pairs(stores.merged_pairs(contacts, cells), path)
+    return stores.read_merged_pairs(spark, path)
+
+
+# all contacts between listed chromosomes, as (c1, b1) <= (c2, b2) at one resolution
+def _paired_sql(res: int, bins: int, cells: str, name: str) -> str:
+    return f"""{name} AS (SELECT metacell, least(g1, g2) // {bins} AS chrom_ord, greatest(g1, g2) // {bins} AS chrom_ord2,
+  least(g1, g2) % {bins} AS bin1, greatest(g1, g2) % {bins} AS bin2, CAST(count(*) AS DOUBLE) AS value
+  FROM (SELECT r.cell_id, pos1 // {res} + {bins} * a.chrom_ord AS g1, pos2 // {res} + {bins} * b.chrom_ord AS g2
+    FROM raw_contacts r JOIN chrom_sizes a ON a.chrom = r.chrom1 JOIN chrom_sizes b ON b.chrom = r.chrom2)
+  JOIN {cells} USING (cell_id) GROUP BY 1, 2, 3, 4, 5)"""
 
 
-@query("S13_metacell_pixel_store", f"SELECT metacell, {big('chrom_ord', 'chrom_ord')}, bin1, bin2, value FROM mcpix500")
+_PAIRED_OUT = f"metacell, {big('chrom_ord', 'chrom_ord')}, {big('chrom_ord2', 'chrom_ord2')}, {big('bin1', 'bin1')}, {big('bin2', 'bin2')}, value"
+
+
+def _paired_long(df):
+    return df.withColumns({c: F.col(c).cast("long") for c in ("chrom_ord", "chrom_ord2")})
+
+
+@query(
+    "S13_metacell_pixel_store",
+    f"SELECT {big('500000', 'resolution')}, {_PAIRED_OUT} FROM half UNION ALL SELECT {big('1000000', 'resolution')}, {_PAIRED_OUT} FROM whole",
+    ",\n".join([AFTER_SQL, _paired_sql(500_000, 40, "regrouped", "half"), _paired_sql(1_000_000, 20, "regrouped", "whole")]),
+)
 def metacell_pixel_store(spark, sf):
-    return _long(metacell_maps(spark, sf, 500_000))
+    """Built for one grouping, brought up to date for another, and read back at both stored levels."""
+    path, contacts = scratch_path(spark, "pixels"), fx.contacts(spark, sf)
+    for cells in (fx.cells(spark, sf), regrouped(fx.cells(spark, sf))):
+        stores.refresh_metacell_pixels(contacts, cells, GENOME, 500_000, path, levels=[MB])
+    back = [
+        stores.read_metacell_pixels(spark, f"{path}/pixels", "pair", r).select(F.lit(r).cast("long").alias("resolution"), "*")
+        for r in (500_000, MB)
+    ]
+    return _paired_long(back[0].unionByName(back[1]))
 
 
 @query("S14_cell_pixel_store", f"SELECT cell_id, {big('bin1 + 20 * chrom_ord', 'gbin1')}, {big('bin2 + 20 * chrom_ord', 'gbin2')}, value FROM pix")
 def cell_pixel_store(spark, sf):
-    return stores.cell_pixels_genome_wide(fx.pixels(spark, sf), GENOME, MB)
+    path = scratch_path(spark, "cells")
+    stores.write_cell_pixels(fx.pixels(spark, sf), GENOME, MB, path)
+    return spark.read.parquet(path).where(F.col("resolution") == MB).drop("resolution")
 
 
 @query(
     "S15_changed_metacells",
-    """SELECT DISTINCT metacell FROM (SELECT unnest([a.metacell, b.metacell]) AS metacell FROM cells a FULL OUTER JOIN
-  (SELECT cell_id, CASE WHEN label = 'type_3' AND metacell = 4 THEN 5 ELSE metacell END AS metacell FROM cells WHERE label <> 'type_9') b
+    """SELECT DISTINCT metacell FROM (SELECT unnest([a.metacell, b.metacell]) AS metacell FROM cells a FULL OUTER JOIN regrouped b
   USING (cell_id) WHERE a.metacell IS DISTINCT FROM b.metacell) WHERE metacell IS NOT NULL""",
+    AFTER_SQL,
 )
 def changed_metacells(spark, sf):
+    """What a manifest saved for one grouping finds stale under another."""
     cells = fx.cells(spark, sf)
-    moved = F.when((F.col("label") == "type_3") & (F.col("metacell") == 4), 5).otherwise(F.col("metacell"))
-    after = cells.where(F.col("label") != "type_9").withColumn("metacell", moved.cast("long"))
-    return stores.changed_metacells(cells, after)
+    manifest = stores.Manifest(spark, scratch_path(spark, "manifest"))
+    manifest.save(cells, {"resolution": MB})
+    return manifest.stale(regrouped(cells), {"resolution": MB})
 
 
-@query(
-    "A16_metacell_pixels",
-    f"SELECT metacell, {big('g1', 'gbin1')}, {big('g2', 'gbin2')}, sum(n) AS value FROM (SELECT cell_id, least(pos1 // 1000000 + 20 * c1, pos2 // 1000000 + 20 * c2) AS g1, greatest(pos1 // 1000000 + 20 * c1, pos2 // 1000000 + 20 * c2) AS g2, CAST(count(*) AS DOUBLE) AS n FROM located GROUP BY 1, 2, 3) JOIN cells USING (cell_id) GROUP BY 1, 2, 3",
-)
+@query("A16_metacell_pixels", f"SELECT {_PAIRED_OUT} FROM whole", _paired_sql(1_000_000, 20, "cells", "whole"))
 def metacell_pixels(spark, sf):
-    pixels = binning.all_pixels(fx.contacts(spark, sf), GENOME, MB)
-    return maps.metacell_pixels(pixels, fx.cells(spark, sf), ["gbin1", "gbin2"])
+    return _paired_long(paired_maps(spark, sf, MB))
+
+
+def paired_maps(spark, sf, resolution):
+    return maps.metacell_pixels(binning.paired_pixels(fx.contacts(spark, sf), GENOME, resolution), fx.cells(spark, sf), binning.PAIRED)
+
+
+def genome_wide_maps(spark, sf):
+    """Filtered contacts in genome-wide bins, as the balancing check takes them."""
+    return maps.metacell_pixels(binning.all_pixels(fx.contacts(spark, sf), GENOME, MB), fx.cells(spark, sf), ["gbin1", "gbin2"])
 
 
 FLOOR_SQL = """floors AS (SELECT cell_id, chrom_ord, quantile_cont(value, 0.2) AS f FROM sym GROUP BY 1, 2),
@@ -90,14 +145,13 @@ def consensus_maps(spark, sf):
 
 @query(
     "A19_coarsened_maps",
-    f"""SELECT {big('1000000', 'resolution')}, metacell, {big('chrom_ord', 'chrom_ord')}, {big('bin1 // 2', 'bin1')}, {big('bin2 // 2', 'bin2')}, sum(value) AS value
-FROM mcpix500 GROUP BY 2, 3, 4, 5 UNION ALL SELECT {big('5000000', 'resolution')}, metacell, {big('chrom_ord', 'chrom_ord')},
-  {big('bin1 // 10', 'bin1')}, {big('bin2 // 10', 'bin2')}, sum(value) AS value FROM mcpix500 GROUP BY 2, 3, 4, 5""",
+    f"SELECT {big('1000000', 'resolution')}, {_PAIRED_OUT} FROM whole UNION ALL SELECT {big('5000000', 'resolution')}, {_PAIRED_OUT} FROM coarse",
+    _paired_sql(1_000_000, 20, "cells", "whole") + ",\n" + _paired_sql(5_000_000, 4, "cells", "coarse"),
 )
 def coarsened_maps(spark, sf):
-    levels = maps.coarsened_maps(metacell_maps(spark, sf, 500_000), 500_000, [MB, 5 * MB])
-    tagged = [_long(levels[r]).select(F.lit(r).cast("long").alias("resolution"), "metacell", "chrom_ord", "bin1", "bin2", "value") for r in (MB, 5 * MB)]
-    return tagged[0].unionByName(tagged[1])
+    levels = maps.coarsened_maps(paired_maps(spark, sf, 500_000), 500_000, [MB, 5 * MB])
+    tagged = [levels[r].select(F.lit(r).cast("long").alias("resolution"), "*") for r in (MB, 5 * MB)]
+    return _paired_long(tagged[0].unionByName(tagged[1]))
 
 
 @query(
@@ -245,9 +299,21 @@ oe AS (SELECT dn.{key}, bin1, bin2, CASE WHEN x.bin IS NOT NULL OR y.bin IS NOT
   LEFT JOIN bad x ON x.{key} = dn.{key} AND x.bin = bin1 LEFT JOIN bad y ON y.{key} = dn.{key} AND y.bin = bin2)"""
 
 
-_CHR3 = "SELECT metacell, bin1, bin2, value FROM mcpix500 WHERE chrom_ord = 2"
+# a unit is a metacell or cell and a chromosome
+_MC_MAPS = "SELECT metacell * 6 + chrom_ord AS unit, bin1, bin2, value FROM mcpix500"
+_MC_UNITS = "SELECT DISTINCT c.metacell * 6 + x.chrom_ord AS unit FROM cells c, chrom_sizes x"
+_OF_UNIT = f"{big('unit // 6', 'metacell')}, {big('unit % 6', 'chrom_ord')}"
 _CHR3_CUT = "SELECT metacell, bin1 - 5 AS bin1, bin2 - 5 AS bin2, value FROM mcpix500 WHERE chrom_ord = 2 AND bin1 >= 5 AND bin2 < 25"
-_ALL_MC = "SELECT DISTINCT metacell FROM cells"
+
+
+def whole_maps(spark, sf, pixels, keys, bins):
+    """Raw dense maps of every chromosome of every key row; all six chromosomes have the same number of bins."""
+    units = keys.select("*", F.explode(F.array(*[F.lit(i) for i in range(6)])).alias("chrom_ord"))
+    return maps.dense_region(units, binning.symmetrize(pixels, double_diagonal=False), 0, bins)
+
+
+def metacell_whole_maps(spark, sf):
+    return whole_maps(spark, sf, metacell_maps(spark, sf, 500_000), metacells(spark, sf), 40)
 
 
 def dense_maps(spark, sf, keys, first=0, stop=40):
@@ -261,14 +327,19 @@ def metacells(spark, sf):
     return fx.cells(spark, sf).select("metacell").distinct()
 
 
-@query("A20_decay_curve", f"SELECT metacell, {big('d', 'distance')}, {r6('e', 'expected')} FROM curve", oe_sql(_ALL_MC, _CHR3, "metacell", 40))
+@query("A20_decay_curve", f"SELECT {_OF_UNIT}, {big('d', 'distance')}, {r6('e', 'expected')} FROM curve", oe_sql(_MC_UNITS, _MC_MAPS, "unit", 40))
 def decay_curve(spark, sf):
-    return maps.decay_curve(dense_maps(spark, sf, metacells(spark, sf)), ["metacell"]).withColumn("expected", rounded("expected"))
+    return _long(maps.decay_curve(metacell_whole_maps(spark, sf), maps.MAP)).withColumn("expected", rounded("expected"))
 
 
-@query("A21_low_coverage_bins", f"SELECT cell_id, {big('bin', 'bin')} FROM bad", oe_sql("SELECT cell_id FROM cells", "SELECT cell_id, bin1, bin2, value FROM pix WHERE chrom_ord = 2", "cell_id", 20))
+@query(
+    "A21_low_coverage_bins",
+    f"SELECT {big('unit // 6', 'cell_id')}, {big('unit % 6', 'chrom_ord')}, {big('bin', 'bin')} FROM bad",
+    oe_sql("SELECT c.cell_id * 6 + x.chrom_ord AS unit FROM cells c, chrom_sizes x", "SELECT cell_id * 6 + chrom_ord AS unit, bin1, bin2, value FROM pix", "unit", 20),
+)
 def low_coverage_bins(spark, sf):
-    return maps.low_coverage_bins(dense_cells(spark, sf, fx.cells(spark, sf).select("cell_id")), ["cell_id"])
+    dense = whole_maps(spark, sf, fx.pixels(spark, sf), fx.cells(spark, sf).select("cell_id"), 20)
+    return _long(maps.low_coverage_bins(dense, ["cell_id", "chrom_ord"]))
 
 
 def dense_cells(spark, sf, keys):
@@ -276,33 +347,32 @@ def dense_cells(spark, sf, keys):
     return maps.dense_region(keys, binning.symmetrize(cut, double_diagonal=False), 0, 20)
 
 
-@query("W3_smoothed_curve", f"SELECT metacell, {big('d', 'distance')}, {r6('e', 'expected')} FROM smooth", oe_sql(_ALL_MC, _CHR3, "metacell", 40))
+@query("W3_smoothed_curve", f"SELECT {_OF_UNIT}, {big('d', 'distance')}, {r6('e', 'expected')} FROM smooth", oe_sql(_MC_UNITS, _MC_MAPS, "unit", 40))
 def smoothed_curve(spark, sf):
     from contactmill.operators.insulation import gaussian_smooth
 
-    curve = maps.decay_curve(dense_maps(spark, sf, metacells(spark, sf)), ["metacell"])
-    return gaussian_smooth(curve, ["metacell"], "distance", "expected", 40).withColumn("expected", rounded("expected"))
+    curve = maps.decay_curve(metacell_whole_maps(spark, sf), maps.MAP)
+    return _long(gaussian_smooth(curve, maps.MAP, "distance", "expected", 40)).withColumn("expected", rounded("expected"))
 
 
 _OE_OUT = "SELECT {key}, " + big("bin1", "bin1") + ", " + big("bin2", "bin2") + ", " + r6("value", "value") + " FROM oe"
 
 
-@query("M21_observed_expected", _OE_OUT.format(key="metacell"), oe_sql(_ALL_MC, _CHR3, "metacell", 40))
+@query("M21_observed_expected", _OE_OUT.format(key=_OF_UNIT), oe_sql(_MC_UNITS, _MC_MAPS, "unit", 40))
 def observed_expected(spark, sf):
-    out = maps.observed_over_expected(dense_maps(spark, sf, metacells(spark, sf)), ["metacell"], 40)
-    return out.withColumn("value", rounded("value"))
+    out = maps.observed_over_expected(metacell_whole_maps(spark, sf), maps.MAP, 40)
+    return _long(out).withColumn("value", rounded("value"))
 
 
 @query(
     "J5_expected_join",
-    f"SELECT dn.metacell, {big('bin1', 'bin1')}, {big('bin2', 'bin2')}, {r6('dn.value', 'observed')}, {r6('c.e', 'expected')} FROM dn JOIN curve c ON c.metacell = dn.metacell AND c.d = abs(bin2 - bin1)",
-    oe_sql(_ALL_MC, _CHR3, "metacell", 40),
+    f"SELECT {_OF_UNIT}, {big('bin1', 'bin1')}, {big('bin2', 'bin2')}, {r6('dn.value', 'observed')}, {r6('c.e', 'expected')} FROM dn JOIN curve c USING (unit) WHERE c.d = abs(bin2 - bin1)",
+    oe_sql(_MC_UNITS, _MC_MAPS, "unit", 40),
 )
 def expected_join(spark, sf):
-    dense = dense_maps(spark, sf, metacells(spark, sf))
-    curve = maps.decay_curve(dense, ["metacell"])
-    paired = dense.withColumn("distance", F.abs(F.col("bin2") - F.col("bin1"))).join(curve, ["metacell", "distance"])
-    return paired.select("metacell", "bin1", "bin2", rounded("value", "observed"), rounded("expected"))
+    dense = metacell_whole_maps(spark, sf)
+    paired = dense.withColumn("distance", F.abs(F.col("bin2") - F.col("bin1"))).join(maps.decay_curve(dense, maps.MAP), [*maps.MAP, "distance"])
+    return _long(paired.select(*maps.MAP, "bin1", "bin2", rounded("value", "observed"), rounded("expected")))
 
 
 @query("R5_metacell_region_oe", _OE_OUT.format(key="metacell"), oe_sql("SELECT 3 AS metacell", _CHR3_CUT, "metacell", 20))
@@ -366,14 +436,14 @@ FROM (SELECT *, avg(marg) FILTER (WHERE marg <> 0) OVER (PARTITION BY metacell)
 )
 def balance_steps(spark, sf):
     """Three plain steps, for the exact check."""
-    weights = balance.balance(metacell_pixels(spark, sf), GENOME, MB, max_iters=3, damped=False)
+    weights = balance.balance(genome_wide_maps(spark, sf), GENOME, MB, max_iters=3)
     return _long(weights).select("metacell", "chrom_ord", "bin", rounded("weight"))
 
 
 @query("M20_balance_weights")
 def balance_weights(spark, sf):
-    """Up to 25 damped steps; thin maps may stay unconverged, as the flag says."""
-    weights = balance.balance(metacell_pixels(spark, sf), GENOME, MB, max_iters=25)
+    """The default settings; thin maps may stay unconverged, as the flag says."""
+    weights = balance.balance(genome_wide_maps(spark, sf), GENOME, MB)
     return _long(weights).withColumn("weight", rounded("weight"))
 
 

@@ -20,6 +20,14 @@ def _name_of(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where null equals null; the key columns of the left side stay."""
+    own = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    other = right.withColumnsRenamed(own)
+    same = [left[k].eqNullSafe(other[own[k]]) for k in keys]
+    return left.join(other, same).drop(*own.values())
+
+
 def rank_within(
     df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "rank"
 ) -> DataFrame:
@@ -35,7 +43,7 @@ def rank_within(
     runs = placed.groupBy(*groups, "_part").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_len"))
     earlier = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.select(*groups, "_part", "_first", F.coalesce(F.sum("_len").over(earlier), F.lit(0)).alias("_before"))
-    return placed.join(starts, [*groups, "_part"]).select(
+    return _joined(placed, starts, [*groups, "_part"]).select(
         *df.columns, (F.col("_pos") - F.col("_first") + F.col("_before") + 1).alias(name)
     )
 
@@ -44,7 +52,7 @@ def quantile_within(df: DataFrame, groups: Sequence[str], value: str, q: float,
     """Exact linearly interpolated quantile of `value` per group (one row in total for no groups)."""
     ranked = rank_within(df.select(*groups, value).where(F.col(value).isNotNull()), groups, [value], "_r")
     if groups:
-        sized = ranked.join(ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), list(groups))
+        sized = _joined(ranked, ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), groups)
     else:
         sized = ranked.withColumn("_n", ranked.select(F.count(F.lit(1))).scalar())
     spot = (F.col("_n") - 1) * F.lit(float(q))
@@ -82,7 +90,7 @@ def running_sum(
     starts = chunks.select(*groups, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*groups, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumn("_local", F.sum(amount).over(inside))
-    return local.join(starts, [*groups, "_chunk"]).select(
+    return _joined(local, starts, [*groups, "_chunk"]).select(
         *df.columns, (F.col("_local") + F.col("_before")).alias(name)
     )
 
@@ -90,4 +98,4 @@ def running_sum(
 def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
     """Attach group totals by a partial aggregate and an equi join (splittable under skew, unlike a window)."""
     sums = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return df.join(sums, list(keys))
+    return _joined(df, sums, keys)

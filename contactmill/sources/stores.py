@@ -7,6 +7,7 @@ small ones, so that neither one task nor one file holds a whole hot group.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from contactmill.genome import Genome, bin_table
 from contactmill.operators import binning
 
+METACELL_PIXELS = "chrom_ord INT, chrom_ord2 INT, bin1 LONG, bin2 LONG, value DOUBLE, metacell LONG"
+
 
 def merged_pairs(contacts: DataFrame, cells: DataFrame) -> DataFrame:
     """All contacts with the metacell of their cell."""
@@ -23,11 +26,11 @@ def merged_pairs(contacts: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def write_merged_pairs(pairs: DataFrame, path: str) -> None:
-    """Tab-separated contacts, one folder per metacell, a header at the start of each file."""
+    """Tab-separated contacts, one folder per metacell, a header at the start of each file; folders written before go."""
     (
         pairs.hint("rebalance", "metacell")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .option("header", True)
         .option("sep", "\t")
         .partitionBy("metacell")
@@ -40,16 +43,25 @@ def read_merged_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(layout).option("header", True).option("sep", "\t").csv(path)
 
 
-def write_metacell_pixels(pixels: DataFrame, path: str, source: str, resolution: int) -> None:
-    """Pixels under source=/resolution=/metacell= folders, sorted so that region reads skip row groups."""
+def write_metacell_pixels(
+    pixels: DataFrame, path: str, source: str, resolution: int, replaced: Sequence[int] | None = None
+) -> None:
+    """Pixels under source=/resolution=/metacell= folders, sorted so that region reads skip row groups.
+
+    All folders of this source and resolution are written anew. With `replaced`, those of these metacells only: they go
+    first, so that a metacell that is gone, or has no pixels any more, leaves nothing behind.
+    """
+    spark, folder = pixels.sparkSession, f"{path}/source={source}/resolution={resolution}"
+    for metacell in replaced or ():
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/metacell={metacell}")
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
     (
-        pixels.withColumns({"source": F.lit(source), "resolution": F.lit(resolution)})
-        .hint("rebalance", "metacell")
+        pixels.hint("rebalance", "metacell")
         .sortWithinPartitions("metacell", "chrom_ord", "bin1", "bin2")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source", "resolution", "metacell")
-        .parquet(path)
+        .write.mode("overwrite" if replaced is None else "append")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("metacell")
+        .parquet(folder)
     )
 
 
@@ -60,8 +72,8 @@ def write_bins(spark: SparkSession, genome: Genome, resolution: int, path: str)
 
 
 def read_metacell_pixels(spark: SparkSession, path: str, source: str, resolution: int) -> DataFrame:
-    table = spark.read.parquet(path)
-    return table.where((F.col("source") == source) & (F.col("resolution") == resolution)).drop("source", "resolution")
+    """metacell, chrom_ord, chrom_ord2, bin1, bin2, value of all contacts; `maps.cis_maps` takes those inside chromosomes."""
+    return spark.read.schema(METACELL_PIXELS).parquet(f"{path}/source={source}/resolution={resolution}")
 
 
 def cell_pixels_genome_wide(pixels: DataFrame, genome: Genome, resolution: int) -> DataFrame:
@@ -144,18 +156,32 @@ class Manifest:
 
 
 def refresh_metacell_pixels(
-    contacts: DataFrame, cells: DataFrame, genome: Genome, resolution: int, path: str, force: bool = False
-) -> str:
-    """Bring the pixel store up to date, rebuilding only metacells whose members changed. Returns what was done."""
-    from contactmill.operators.maps import metacell_pixels
+    contacts: DataFrame, cells: DataFrame, genome: Genome, resolution: int, path: str, force: bool = False,
+    levels: Sequence[int] = (), one_based: bool = False,
+) -> str:
+    """Bring the pixel store up to date, rebuilding only metacells whose members changed. Returns what was done.
+
+    A metacell's pixels sum all its contacts between listed chromosomes, trans and short ones included. Coarser `levels`
+    are stored beside the base resolution and belong to the manifest like everything else that decides the content.
+    """
+    from contactmill.operators.maps import coarsened_maps, metacell_pixels
 
     manifest = Manifest(contacts.sparkSession, f"{path}/manifest-{resolution}")
-    parameters = {"resolution": resolution, "chroms": [list(c) for c in genome.chroms]}
+    parameters = {
+        "resolution": resolution, "chroms": [list(c) for c in genome.chroms], "levels": sorted(set(levels)), "one_based": one_based,
+    }
     stale = manifest.stale(cells, parameters, force)
-    if stale is not None and stale.isEmpty():
+    replaced = None if stale is None else [r["metacell"] for r in stale.collect()]  # as many as there are metacells at most
+    if replaced == []:
         return "skipped"
     members = cells if stale is None else cells.join(stale, "metacell", "left_semi")
-    pixels = metacell_pixels(binning.cis_pixels(contacts, genome, resolution), members)
-    write_metacell_pixels(pixels, f"{path}/pixels", "pair", resolution)
+    base = metacell_pixels(binning.paired_pixels(contacts, genome, resolution, one_based), members, binning.PAIRED)
+    write_metacell_pixels(base, f"{path}/pixels", "pair", resolution, replaced)
+    stored = read_metacell_pixels(contacts.sparkSession, f"{path}/pixels", "pair", resolution)
+    if replaced is not None:
+        stored = stored.where(F.col("metacell").isin(replaced))
+    for level, table in coarsened_maps(stored, resolution, levels).items():
+        if level != resolution:
+            write_metacell_pixels(table, f"{path}/pixels", "pair", level, replaced)
     manifest.save(cells, parameters)
     return "rebuilt" if stale is None else "updated"

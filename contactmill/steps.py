@@ -42,12 +42,12 @@ def process_and_load(
     stored = None if force_process else stores.read_views(spark, path)
     have = set() if stored is None else {r["resolution"] for r in stored.select("resolution").distinct().collect()}
     pixels, views = {}, {}
-    for i, resolution in enumerate(ordered):
+    scales = {r: scaler_data if isinstance(scaler_data, bool) else scaler_data[i] for i, r in enumerate(resolutions)}
+    for resolution in ordered:
         pixels[resolution] = materialize(binning.cis_pixels(contacts, genome, resolution))
         if resolution not in have:
-            scale = scaler_data if isinstance(scaler_data, bool) else scaler_data[i]
             table = pipeline.cell_features(pixels[resolution], cells, genome, resolution)
-            components, _ = pipeline.view_of(table, scale, n_components)
+            components, _ = pipeline.view_of(table, scales[resolution], n_components)
             stores.write_views(components, resolution, path)
         views[resolution] = stores.read_views(spark, path).where(F.col("resolution") == resolution).drop("resolution")
     return Study(genome, ordered, cells, contacts, pixels, views)
@@ -75,7 +75,8 @@ def recommend_metacell_num(
     ref_view: int = 1_000_000,
 ) -> tuple[int, int]:
     """Range of K from the depth of graph communities."""
-    edges = graph.adaptive_kernel(study.views[ref_view], n_neighbors, "union")
+    view = study.views[ref_view]
+    edges = graph.adaptive_kernel(view, n_neighbors, "union").select("i", "j", "w").union(graph.coincident_edges(view))
     found = graph.communities(edges, resolution_param)
     clustered = study.cells.join(found.select(F.col("node").alias("cell_id"), F.col("label").alias("cluster")), "cell_id")
     total = stats.recommend_total(stats.recommend_per_cluster(clustered, target_depth_min, target_depth_max)).first()
@@ -135,24 +136,25 @@ def aggregate_metacell_pairs(
     mcool_resolutions: Sequence[int] = (),
     force_aggregate: bool = False,
     write_pairs: bool = True,
+    one_based: bool = False,
 ) -> Study:
-    """Metacell maps from contacts at a base resolution and its multiples, kept in stores under output_dir.
+    """Metacell maps from all contacts at a base resolution and its multiples, kept in stores under output_dir.
 
-    A second run rebuilds only the metacells whose members changed.
+    A second run rebuilds only the metacells whose members changed. The study's `pair` maps are those inside
+    chromosomes, `pair_all` hold the trans pixels too (chrom_ord2).
     """
     spark = study.cells.sparkSession
+    levels = sorted({resolution, *(mcool_resolutions or study.resolutions)})
     done = stores.refresh_metacell_pixels(
-        study.contacts, study.cells, study.genome, resolution, output_dir, force_aggregate
+        study.contacts, study.cells, study.genome, resolution, output_dir, force_aggregate, levels, one_based
     )
     if write_pairs and done != "skipped":
         stores.write_merged_pairs(stores.merged_pairs(study.contacts, study.cells), f"{output_dir}/pairs")
     stores.write_bins(spark, study.genome, resolution, f"{output_dir}/bins")
-    live = study.cells.select("metacell").distinct()  # a metacell without members keeps its old folder
-    base = stores.read_metacell_pixels(spark, f"{output_dir}/pixels", "pair", resolution).join(live, "metacell", "left_semi")
-    levels = maps.coarsened_maps(base, resolution, list(mcool_resolutions or study.resolutions))
     found = dict(study.maps)
-    for level, table in levels.items():
-        found[("pair", level)] = table if level == resolution else materialize(table)
+    for level in levels:
+        table = stores.read_metacell_pixels(spark, f"{output_dir}/pixels", "pair", level)
+        found[("pair", level)], found[("pair_all", level)] = maps.cis_maps(table), table
     return study.having(maps=found)
 
 

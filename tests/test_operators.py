@@ -60,7 +60,7 @@ def test_insulation_against_dense_squares(spark):
 
 def test_random_walk_against_dense(spark):
     rows = random_pixels(6, cells=2)
-    got = features.random_walk_maps(frame(spark, rows), GENOME, 100, min_bin=1, max_bin=4).toPandas()
+    got = features.random_walk_maps(frame(spark, rows), GENOME, 100, 4).toPandas()
     for (cell, chrom), part in got.groupby(["cell_id", "chrom_ord"]):
         m = dense(rows, cell, chrom)
         m, n = m + m.T, len(m)

@@ -70,3 +70,37 @@ def test_communities_find_two_cliques(spark):
     labels = graph.communities(df).toPandas().set_index("node")["label"]
     assert labels[list(range(6))].nunique() == 1 and labels[list(range(6, 12))].nunique() == 1
     assert labels[0] != labels[6]
+
+
+def test_every_cell_gets_a_community(spark):
+    """Coinciding points have no distance to form a kernel from; they belong together all the same."""
+    points = [(i, [0.0, 0.0]) for i in range(20)] + [(20 + i, [5.0 + 0.1 * i, 3.0 - 0.2 * (i % 3)]) for i in range(10)] + [(99, [400.0, 400.0])]
+    df = spark.createDataFrame(points, "cell_id LONG, features ARRAY<DOUBLE>")
+    edges = graph.adaptive_kernel(df, 5).select("i", "j", "w").union(graph.coincident_edges(df))
+    labels = graph.communities(edges).toPandas().set_index("node")["label"]
+    assert len(labels) == 31 and labels[list(range(20))].nunique() == 1
+    alone = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0)], "i LONG, j LONG, w DOUBLE")
+    assert {(r["node"], r["label"]) for r in graph.communities(alone).collect()} == {(1, 1), (2, 2)}
+
+
+def test_null_groups_are_groups(spark):
+    rows = [("a", 1.0), (None, 2.0), (None, 3.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+    ranked = scale.rank_within(df, ["g"], ["v"]).collect()
+    assert sorted((r["g"] or "", r["v"], r["rank"]) for r in ranked) == [("", 2.0, 1), ("", 3.0, 2), ("", 5.0, 3), ("a", 1.0, 1)]
+    summed = scale.running_sum(df, ["g"], ["v"], "v", "s").collect()
+    assert sorted(r["s"] for r in summed) == [1.0, 2.0, 5.0, 10.0]
+    assert {r["quantile"] for r in scale.quantile_within(df, ["g"], "v", 0.5).collect()} == {1.0, 3.0}
+
+
+def test_loops_clear_their_tables(spark, tmp_path):
+    import os
+
+    from contactmill.session import materialize, round_tables
+
+    kept = []
+    with round_tables(spark) as rounds:
+        for i in range(5):
+            kept.append(materialize(spark.range(i + 1)).inputFiles()[0].removeprefix("file:").replace("///", "/"))
+            rounds.turn()
+    assert [os.path.exists(p) for p in kept] == [False] * 4 + [True] or [os.path.exists(p) for p in kept] == [False] * 3 + [True] * 2

@@ -107,8 +107,39 @@ def test_only_changed_metacells_are_rebuilt(spark, fitted, experiment):
     moved = fitted.cells.withColumn("metacell", F.when(F.col("cell_id") == 0, 99).otherwise(F.col("metacell")).cast("long"))
     assert stores.refresh_metacell_pixels(fitted.contacts, moved, *args) == "updated"
     got = stores.read_metacell_pixels(spark, f"{out}/pixels", "pair", 1_000_000).where("metacell = 99")
-    mine = fitted.contacts.where("cell_id = 0 and chrom1 = chrom2 and (abs(pos2 - pos1) >= 2500 or pos1 = pos2)").count()
-    assert got.select(F.sum("value")).first()[0] == mine
+    assert got.select(F.sum("value")).first()[0] == fitted.contacts.where("cell_id = 0").count()
+
+
+def store_totals(spark, out, level):
+    table = stores.read_metacell_pixels(spark, f"{out}/pixels", "pair", level)
+    return {r["metacell"]: r["n"] for r in table.groupBy("metacell").agg(F.sum("value").alias("n")).collect()}
+
+
+def test_stores_forget_what_is_gone(spark, tmp_path):
+    """Short and trans contacts count; a metacell that is dissolved, or has no contacts any more, leaves nothing behind."""
+    genome = Genome((("chr1", 4000), ("chr2", 4000)))
+    rows = [(c, "chr1", 100 * c, other, 100 * c + 700) for c in range(6) for other in ("chr1", "chr2")] + [(0, "chr1", 5, "chr9", 5)]
+    rows = [r for r in rows if r[0] != 5]  # the last cell has none
+    contacts = spark.createDataFrame(rows, "cell_id LONG, chrom1 STRING, pos1 LONG, chrom2 STRING, pos2 LONG")
+    out, layout = str(tmp_path / "out"), "cell_id LONG, metacell LONG"
+    groupings = [
+        ([1, 1, 2, 2, 3, 3], {1: 4, 2: 4, 3: 2}, "rebuilt"),
+        ([1, 1, 2, 2, 1, 3], {1: 6, 2: 4}, "updated"),  # metacell 3 keeps a cell without contacts
+        ([1, 1, 1, 1, 1, 1], {1: 10}, "updated"),
+    ]
+    for labels, want, done in groupings:
+        cells = spark.createDataFrame(list(enumerate(labels)), layout)
+        assert stores.refresh_metacell_pixels(contacts, cells, genome, 1000, out, levels=[2000]) == done
+        assert store_totals(spark, out, 1000) == store_totals(spark, out, 2000) == want
+        stores.write_merged_pairs(stores.merged_pairs(contacts, cells), f"{out}/pairs")
+        assert stores.read_merged_pairs(spark, f"{out}/pairs").count() == len(rows)
+    assert stores.refresh_metacell_pixels(contacts, cells, genome, 1000, out, levels=[4000]) == "rebuilt"
+    assert store_totals(spark, out, 4000) == {1: 10}
+
+
+def test_scores_can_be_taken_twice(fitted):
+    once = steps.evaluate(fitted)[2]
+    assert steps.evaluate(once)[2].metacells.select("purity").count() == fitted.metacells.count()
 
 
 def test_cell_store_and_signals(spark, study, experiment):
