@@ -95,7 +95,9 @@ def _stencil(bin_: Column, n: Column, center: float, side: float) -> Column:
 def smoothed_cell_maps(pixels: DataFrame, genome: Genome, resolution: int) -> DataFrame:
     """Symmetric per-cell maps under a 3x3 separable Gaussian (sigma 1, mirrored edges), divided by their total.
 
-    Each pixel sends its weighted value to at most nine neighbours; work is proportional to the pixels.
+    Each pixel sends its weighted value to at most nine neighbours, of which those below the diagonal are left out: the
+    maps are symmetric, and the lower triangle is mirrored after the sum. Mirrored edges keep the mass, so the total is
+    that of the pixels.
     """
     side, center, _ = gaussian_taps(1.0, 1)
     n = genome.n_bins(F.col("chrom_ord"), resolution)
@@ -103,12 +105,14 @@ def smoothed_cell_maps(pixels: DataFrame, genome: Genome, resolution: int) -> Da
         symmetrize(pixels)
         .select(*CELL_MAP, "value", "bin2", F.explode(_stencil(F.col("bin1"), n, center, side)).alias("r"))
         .select(*CELL_MAP, "value", "r", F.explode(_stencil(F.col("bin2"), n, center, side)).alias("c"))
+        .where(F.col("r.to") <= F.col("c.to"))
     )
     smooth = spread.groupBy(*CELL_MAP, F.col("r.to").alias("bin1"), F.col("c.to").alias("bin2")).agg(
         F.sum(F.col("value") * F.col("r.tap") * F.col("c.tap")).alias("value")
     )
-    shared = with_totals(smooth, CELL_MAP, _sum=F.sum("value"))
-    return shared.select(*CELL_MAP, "bin1", "bin2", (F.col("value") / (F.col("_sum") + TINY)).alias("value"))
+    total = pixels.groupBy(*CELL_MAP).agg((2.0 * F.sum("value")).alias("_sum"))
+    shared = smooth.join(total, CELL_MAP).withColumn("value", F.col("value") / (F.col("_sum") + TINY)).drop("_sum")
+    return symmetrize(shared, double_diagonal=False)
 
 
 def box_smoothed(maps: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:

@@ -6,6 +6,7 @@ Random draws are arithmetic hashes of row keys, so every run and every retry dra
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from contactmill.functions.draws import hash_key, unit_draw
 from contactmill.genome import Genome
 from contactmill.operators.binning import symmetrize
 from contactmill.scale import rank_within
+from contactmill.session import materialize
 
 EDGE = ["cell_id", "chrom_ord", "bin1", "bin2"]
 
@@ -95,17 +97,44 @@ def negatives(
 
     A draw below pair_ratio changes one node, else all three; accepted triples have 1 < bin2 - bin1 < max_bin and no
     contact within their 3x3 neighbourhood. Each slot takes its first accepted try of `tries`; a slot whose tries all
-    fail gives none. Tries are rows, so a slot costs `tries` short rows and no driver loop.
+    fail gives none. Slots try in rounds, one try first and then twice as many as before; only slots still open go on,
+    so most slots cost one short row.
     """
     n = genome.n_bins(F.col("chrom_ord"), resolution)
     slots = positives.select(*EDGE).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1))).alias("slot")
     )
+    keys = ["of_cell_id", "of_bin1", "of_bin2", "chrom_ord", "slot"]
+    open_slots, done, first_try, width = materialize(slots), [], 1, 1
+    while first_try <= tries:
+        last = min(tries, first_try + width - 1)
+        made = _tried(open_slots, n, n_cells, max_bin, pair_ratio, seed, first_try, last)
+        # one row per distinct candidate meets the contacts, however many slots drew it
+        taken = near_contacts(made.select(*EDGE).distinct(), pixels, n)
+        first = F.min_by(F.struct("cell_id", "bin1", "bin2"), "attempt")
+        free = materialize(made.join(taken, EDGE, "left_anti").groupBy(*keys).agg(first.alias("_e")))
+        done.append(free)
+        first_try, width = last + 1, width * 2
+        if first_try > tries:
+            break
+        filled = free.select("chrom_ord", "slot", *[F.col(f"of_{c}").alias(c) for c in ("cell_id", "bin1", "bin2")])
+        open_slots = materialize(open_slots.join(filled, [*EDGE, "slot"], "left_anti"))
+        if open_slots.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done).select(
+        *keys, F.col("_e.cell_id").alias("cell_id"), F.col("_e.bin1").alias("bin1"), F.col("_e.bin2").alias("bin2")
+    )
+
+
+def _tried(
+    slots: DataFrame, n: Column, n_cells: int, max_bin: int, pair_ratio: float, seed: int, first: int, last: int
+) -> DataFrame:
+    """The corrupted triples of tries first..last of every slot that keep to the distance band."""
     base = [F.col(c).cast("long") for c in (*EDGE, "slot")]
     change = hash_key(*base, F.lit(1).cast("long"), seed=seed) % 3
     easy = unit_draw(*base, F.lit(2).cast("long"), seed=seed) <= pair_ratio
     drawn = slots.withColumns({"change": change, "one_node": easy}).select(
-        "*", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("attempt")
+        "*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("attempt")
     )
     step = [*base, F.col("attempt").cast("long")]
 
@@ -117,28 +146,18 @@ def negatives(
     any_cell = pick(3, zero, F.lit(n_cells).cast("long"))
     new1 = pick(4, F.greatest(zero, F.col("bin2") - max_bin), F.least(n, F.col("bin2") + max_bin))
     new2 = pick(5, F.greatest(zero, F.col("bin2") - max_bin), F.least(n, F.col("bin2") + max_bin))
-    all1 = pick(6, zero, n)
-    tries_df = drawn.withColumn("_all1", all1)
+    tries = drawn.withColumn("_all1", pick(6, zero, n))
     all2 = pick(7, F.greatest(zero, F.col("_all1") - max_bin), F.least(n, F.col("_all1") + max_bin))
     one = F.col("one_node")
     cell = F.when(one & (F.col("change") != 0), F.col("cell_id")).otherwise(any_cell)
     b1 = F.when(one, F.when(F.col("change") == 1, new1).otherwise(F.col("bin1"))).otherwise(F.col("_all1"))
     b2 = F.when(one, F.when(F.col("change") == 2, new2).otherwise(F.col("bin2"))).otherwise(all2)
-    made = tries_df.select(
+    made = tries.select(
         *[F.col(c).alias(f"of_{c}") for c in ("cell_id", "bin1", "bin2")], "chrom_ord", "slot", "attempt",
         cell.alias("cell_id"), F.least(b1, b2).alias("bin1"), F.greatest(b1, b2).alias("bin2"),
-    )
+    )
     span = F.col("bin2") - F.col("bin1")
-    banded = made.where((span > 1) & (span < max_bin))
-    # one row per distinct candidate meets the contacts, however many slots drew it
-    candidates = banded.select(*EDGE).distinct()
-    taken = near_contacts(candidates, pixels, n)
-    free = banded.join(taken, EDGE, "left_anti")
-    keys = ["of_cell_id", "of_bin1", "of_bin2", "chrom_ord", "slot"]
-    first = F.min_by(F.struct("cell_id", "bin1", "bin2"), "attempt")
-    return free.groupBy(*keys).agg(first.alias("_e")).select(
-        *keys, F.col("_e.cell_id").alias("cell_id"), F.col("_e.bin1").alias("bin1"), F.col("_e.bin2").alias("bin2")
-    )
+    return made.where((span > 1) & (span < max_bin))
 
 
 def negatives_per_positive(n_edges: Column, n_cells: Column, genome: Genome, resolution: int) -> Column:

@@ -110,10 +110,41 @@ def negative_table(spark, sf):
     pix = fx.pixels(spark, sf)
     positives = pix.where(F.col("bin2") - F.col("bin1") >= 2)
     n_cells = fx.cells(spark, sf).count()
-    return sampling.negatives(positives, pix, GENOME, MB, n_cells, per_positive=2, max_bin=12, tries=5, seed=9)
+    return sampling.negatives(positives, pix, GENOME, MB, n_cells, per_positive=2, max_bin=12, seed=9)
 
 
-@query("M35_negatives")
+def _pick_sql(salt: int, low: str, high: str) -> str:
+    draw = hash_key_sql("cell_id", "chrom_ord", "bin1", "bin2", "slot", "attempt", str(salt), seed=9)
+    return f"({low} + CAST(floor({draw} / CAST({MODULUS} AS DOUBLE) * ({high} - {low})) AS BIGINT))"
+
+
+def _base_sql(salt: int) -> str:
+    return hash_key_sql("cell_id", "chrom_ord", "bin1", "bin2", "slot", str(salt), seed=9)
+
+
+_NEAR = ("greatest(0, bin2 - 12)", "least(20, bin2 + 12)")
+NEGATIVE_SQL = f"""slots AS (SELECT cell_id, chrom_ord, bin1, bin2, slot, {_base_sql(1)} % 3 AS change,
+    {_base_sql(2)} / CAST({MODULUS} AS DOUBLE) <= 0.5 AS easy
+  FROM (SELECT cell_id, chrom_ord, bin1, bin2, unnest([0, 1]) AS slot FROM pix WHERE bin2 - bin1 >= 2)),
+attempts AS (SELECT *, {_pick_sql(3, "0", "(SELECT count(*) FROM cells)")} AS anycell, {_pick_sql(4, *_NEAR)} AS n1, {_pick_sql(5, *_NEAR)} AS n2,
+    {_pick_sql(6, "0", "20")} AS a1 FROM (SELECT *, unnest(range(1, 51)) AS attempt FROM slots)),
+corrupted AS (SELECT *, {_pick_sql(7, "greatest(0, a1 - 12)", "least(20, a1 + 12)")} AS a2 FROM attempts),
+triples AS (SELECT *, CASE WHEN easy AND change <> 0 THEN cell_id ELSE anycell END AS nc,
+    CASE WHEN NOT easy THEN a1 WHEN change = 1 THEN n1 ELSE bin1 END AS x1, CASE WHEN NOT easy THEN a2 WHEN change = 2 THEN n2 ELSE bin2 END AS x2
+  FROM corrupted),
+banded AS (SELECT cell_id AS of_cell_id, chrom_ord, bin1 AS of_bin1, bin2 AS of_bin2, slot, attempt, nc AS cell_id, least(x1, x2) AS b1,
+    greatest(x1, x2) AS b2 FROM triples WHERE abs(x1 - x2) > 1 AND abs(x1 - x2) < 12),
+wide AS (SELECT DISTINCT cell_id, chrom_ord, bin1 + i AS b1, bin2 + j AS b2 FROM sym CROSS JOIN (SELECT unnest([-1, 0, 1]) AS i)
+  CROSS JOIN (SELECT unnest([-1, 0, 1]) AS j) WHERE bin1 <= 18 AND bin2 <= 18),
+free AS (SELECT * FROM banded ANTI JOIN wide USING (cell_id, chrom_ord, b1, b2))"""
+
+
+@query(
+    "M35_negatives",
+    f"""SELECT of_cell_id, of_bin1, of_bin2, {big('chrom_ord', 'chrom_ord')}, slot, arg_min(cell_id, attempt) AS cell_id,
+  arg_min(b1, attempt) AS bin1, arg_min(b2, attempt) AS bin2 FROM free GROUP BY of_cell_id, of_bin1, of_bin2, chrom_ord, slot""",
+    NEGATIVE_SQL,
+)
 def negatives(spark, sf):
     return negative_table(spark, sf).withColumn("chrom_ord", F.col("chrom_ord").cast("long"))
 
