@@ -9,7 +9,7 @@ from contactmill.plans import fixtures as fx
 from contactmill.plans.catalog import big, query, r6, rounded
 from contactmill.plans.neighbours import points
 
-SETTINGS = model.Settings(n_metacells=8, max_iter=2, max_franke_wolfe_iters=20, size_sync=5)
+SETTINGS = model.Settings(n_metacells=8, max_iter=2)
 
 
 def unit_views(spark, sf):
@@ -17,7 +17,7 @@ def unit_views(spark, sf):
 
 
 def start(spark, sf, settings=SETTINGS):
-    return model.initialize(unit_views(spark, sf), settings, seed=32, n_micro=16)
+    return model.initialize(unit_views(spark, sf), settings, seed=32, n_micro=24)
 
 
 @query("M24_waypoints")

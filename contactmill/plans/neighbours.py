@@ -12,11 +12,11 @@ from contactmill.plans.catalog import big, query, r6, rounded
 
 K = 15
 
-KNN_SQL = """nv AS (SELECT view_id, cell_id, list_transform(features, lambda x: x / sqrt(list_sum(list_transform(features, lambda y: y * y)))) AS f FROM views),
-pairs AS (SELECT a.view_id, a.cell_id, b.cell_id AS neighbor, list_distance(a.f, b.f) AS distance
+KNN_SQL = """nv AS MATERIALIZED (SELECT view_id, cell_id, list_transform(features, lambda x: x / sqrt(list_sum(list_transform(features, lambda y: y * y)))) AS f FROM views),
+pairs AS MATERIALIZED (SELECT a.view_id, a.cell_id, b.cell_id AS neighbor, list_distance(a.f, b.f) AS distance
   FROM nv a JOIN nv b ON a.view_id = b.view_id AND a.cell_id <> b.cell_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY view_id, cell_id ORDER BY distance, neighbor) AS rank FROM pairs),
-near AS (SELECT * FROM ranked WHERE rank <= 14),
+near AS MATERIALIZED (SELECT * FROM ranked WHERE rank <= 14),
 sig AS (SELECT view_id, cell_id, distance AS sigma FROM (SELECT *, row_number() OVER (PARTITION BY view_id, cell_id ORDER BY distance) AS r
   FROM near WHERE distance > 0) WHERE r = 7),
 uni AS (SELECT view_id, cell_id AS i, neighbor AS j FROM near WHERE distance > 0 UNION SELECT view_id, neighbor, cell_id FROM near WHERE distance > 0),
