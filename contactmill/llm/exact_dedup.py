@@ -78,6 +78,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = exact_duplicates(docs, id_col, text_col).where("kept").select(
         F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest")
     )
-    marked = docs.withColumn("_own_digest", F.unhex(F.sha2(normalised(text_col), 256)))
-    same = marked[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]) & (marked["_own_digest"] == kept["_kept_digest"])
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_own_digest"]).drop("_own_digest")
+    digest = F.unhex(F.sha2(normalised(text_col), 256))
+    marked = docs.select(F.struct("*").alias("doc"), F.col(f"`{id_col}`").alias("_id"), digest.alias("_own_digest"))
+    same = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_digest") == F.col("_kept_digest"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["_id", "_own_digest"]).select("doc.*")

@@ -158,12 +158,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, pieces = mix(docs, id_col, text_col, **settings)
     spans = pieces.groupBy("_row", "pass").agg(F.sum(F.col("last") - F.col("first")).alias("_words"))
     shares = rows.join(spans, "_row").select("_own", "size", "_words")
-    one = docs.withColumn("_own", _own(id_col, text_col)).dropDuplicates(["_own"])
+    one = docs.select(F.struct("*").alias("doc"), _own(id_col, text_col).alias("_own")).dropDuplicates(["_own"])
     out = one.join(shares, "_own")
-    whole = F.col("_words") >= F.col("size")
-    lead = F.slice(F.regexp_extract_all(whole_text(text_col), F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1)), 1, F.col("_words").cast("int"))
-    out = out.withColumn(text_col, F.when(whole, F.col(f"`{text_col}`")).otherwise(F.array_join(lead, "")))
+    whole, text = F.col("_words") >= F.col("size"), F.col(f"doc.`{text_col}`")
+    parts = F.regexp_extract_all(text.cast("string"), F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    cut = F.when(whole, text).otherwise(F.array_join(F.slice(parts, 1, F.col("_words").cast("int")), ""))
+    given = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {text_col: cut}
     if "n_chars" in docs.columns:
-        counted = F.length(text_col).cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(counted))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        counted = F.length(cut).cast(docs.schema["n_chars"].dataType)
+        given["n_chars"] = F.when(whole, given["n_chars"]).otherwise(counted)
+    return out.select(*[value.alias(c) for c, value in given.items()])
