@@ -316,7 +316,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0) -> Dat
     score = float("-inf")
     while total > 0:
         labels, reached = _moved(level, total, resolution, seed)
-        if reached <= score + 1e-6:
+        if reached <= score + 1e-4:
             break
         score = reached
         to = labels.select(F.col("node").alias("label"), F.col("label").alias("_to"))
@@ -330,12 +330,12 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0) -> Dat
 def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> tuple[DataFrame, float]:
     """(labels (node, label, k), modularity) after local moves; loops (i, i) count into the strength k of a node.
 
-    In each round half of the nodes, drawn by a hash, move. Rounds end when three in a row bring nothing.
+    In each round half of the nodes, drawn by a hash, move. Rounds end when two in a row bring next to nothing.
     """
     strength = edges.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("k"))
     labels = materialize(strength.select("node", F.col("node").alias("label"), "k"))
     best, best_score, idle, step = labels, modularity(edges, labels, total, resolution), 0, 0
-    while idle < 3:
+    while idle < 2:
         sizes = labels.groupBy("label").agg(F.sum("k").alias("volume"))
         reach = (
             edges.where(F.col("i") != F.col("j"))
@@ -361,7 +361,7 @@ def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> tupl
             "k",
         ))
         score = modularity(edges, labels, total, resolution)
-        idle = 0 if score > best_score + 1e-6 else idle + 1
+        idle = 0 if score > best_score + 1e-4 else idle + 1
         if score > best_score:
             best, best_score = labels, score
         step += 1
