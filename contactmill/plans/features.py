@@ -82,20 +82,42 @@ brow AS (SELECT chrom_ord, bin, batch, sum(s) / any_value(n) / 20 AS b FROM srow
   JOIN (SELECT batch, count(*) AS n FROM cells GROUP BY 1) USING (batch) GROUP BY 1, 2, 3),
 arow AS (SELECT chrom_ord, bin, sum(s) / (SELECT count(*) FROM cells) / 20 AS a FROM srow GROUP BY 1, 2),
 fixedm AS (SELECT m.cell_id, m.chrom_ord, m.bin1, m.bin2, m.value * a.a / (b.b + 1e-15) AS value FROM smap m JOIN cells c USING (cell_id)
-  JOIN brow b ON b.chrom_ord = m.chrom_ord AND b.bin = m.bin1 AND b.batch = c.batch JOIN arow a ON a.chrom_ord = m.chrom_ord AND a.bin = m.bin1)"""
+  JOIN brow b ON b.chrom_ord = m.chrom_ord AND b.bin = m.bin1 AND b.batch = c.batch JOIN arow a ON a.chrom_ord = m.chrom_ord AND a.bin = m.bin1),
+cover AS (SELECT g.chrom_ord, t.batch, g.bin, coalesce(b.b, 0) AS b, coalesce(a.a, 0) AS a FROM grid g
+  CROSS JOIN (SELECT DISTINCT batch FROM cells) t LEFT JOIN brow b ON b.chrom_ord = g.chrom_ord AND b.bin = g.bin AND b.batch = t.batch
+  LEFT JOIN arow a ON a.chrom_ord = g.chrom_ord AND a.bin = g.bin),
+poor AS (SELECT chrom_ord, batch FROM (
+    SELECT chrom_ord, batch, rank() OVER (PARTITION BY chrom_ord, batch ORDER BY b) AS rb, rank() OVER (PARTITION BY chrom_ord, batch ORDER BY a) AS ra
+    FROM cover WHERE a > 0) GROUP BY 1, 2 HAVING corr(rb, ra) < 0.8)"""
 
 
 @query(
     "M5_batch_corrected",
-    f"""SELECT {_MAP_COLS}, {r6('value / sum(value) OVER (PARTITION BY cell_id, chrom_ord)', 'value')} FROM fixedm""",
+    f"""SELECT {_MAP_COLS}, {r6('value', 'value')} FROM (
+  SELECT f.cell_id, f.chrom_ord, bin1, bin2, f.value / sum(f.value) OVER (PARTITION BY f.cell_id, f.chrom_ord) AS value
+  FROM fixedm f JOIN cells c USING (cell_id) JOIN poor p ON p.chrom_ord = f.chrom_ord AND p.batch = c.batch
+  UNION ALL SELECT m.cell_id, m.chrom_ord, bin1, bin2, m.value FROM smap m JOIN cells c USING (cell_id)
+  WHERE (m.chrom_ord, c.batch) NOT IN (SELECT (chrom_ord, batch) FROM poor))""",
     CORRECT_SQL,
 )
 def batch_corrected(spark, sf):
-    """With the threshold above 1 every batch counts as poor, so all maps are corrected."""
+    """Batches that agree less than the default with the bulk are corrected, the others left."""
     maps, cells = smoothed(spark, sf), fx.cells(spark, sf)
     coverage = features.batch_coverage(maps, cells, GENOME, MB)
     agreement = features.batch_agreement(coverage)
-    return _map_out(features.batch_corrected(maps, cells, coverage, agreement, below=1.1))
+    return _map_out(features.batch_corrected(maps, cells, coverage, agreement))
+
+
+@query(
+    "M5_every_batch_corrected",
+    f"""SELECT {_MAP_COLS}, {r6('value / sum(value) OVER (PARTITION BY cell_id, chrom_ord)', 'value')} FROM fixedm""",
+    CORRECT_SQL,
+)
+def every_batch_corrected(spark, sf):
+    """With the threshold above 1 every batch counts as poor, so all maps are corrected."""
+    maps, cells = smoothed(spark, sf), fx.cells(spark, sf)
+    coverage = features.batch_coverage(maps, cells, GENOME, MB)
+    return _map_out(features.batch_corrected(maps, cells, coverage, features.batch_agreement(coverage), below=1.1))
 
 
 def entries(spark, sf):
