@@ -168,9 +168,13 @@ def scaled_features(spark, sf):
 
 @query("M10_chromosome_svd")
 def chromosome_svd(spark, sf):
+    """Ranks by the rule, components fitted on the cells that pass on each chromosome."""
     from contactmill.operators.pipeline import chromosome_embedding
+    from contactmill.operators.stats import quality_flags
 
-    out = chromosome_embedding(scaled(spark, sf), fx.cells(spark, sf).select("cell_id"), GENOME, MB, rank=4)
+    pix, cells = fx.pixels(spark, sf), fx.cells(spark, sf)
+    flags = quality_flags(pix, cells, features.pseudo_bulk(pix, GENOME, MB), GENOME, MB)
+    out = chromosome_embedding(scaled(spark, sf), cells.select("cell_id"), GENOME, MB, flags=flags)
     return out.select("cell_id", F.posexplode("features").alias("pos", "value")).withColumn("value", rounded("value"))
 
 
