@@ -7,11 +7,11 @@ from the number of registers above, below and equal, together with the known set
 similarity follows, and candidates whose best similarity is far more likely than the threshold itself are dropped.
 Everything else is verified on the full shingle sets.
 
-Members of one bucket are never all paired with each other. In each round every bucket names a few centres, which meet
-the members in other components and leave the bucket. Verified links are contracted, and the rounds go on until what is
-left of every bucket is one component: every candidate pair has then been compared or lies in one component. Between
-rounds the shingles of the members left are counted: one that no other member holds cannot be shared, so far variants of
-a large group leave at once, and those with the fewest shingles of their own are the next centres.
+Members of one bucket are never paired with each other: all meet the bucket's first member, its centre, and verified links
+are contracted. In most buckets one component is left then. Members of the others are few, and among these all pairs of
+different components that may be linked are found by their rarest shingles, with a bound on what they can share (prefix
+and position filters), which is exact and leaves apart the far variants of one text that every register-based test lets
+through. These pairs are verified on the full sets, too.
 """
 
 from __future__ import annotations
@@ -270,63 +270,58 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[f"`{id_col}`"].cast("bigint").eqNullSafe(kept["_kept_id"]), "left_semi")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(f"`{id_col}`").cast("bigint").alias("_id"))
+    return rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")), "left_semi").select("doc.*")
 
 
 def _links(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Verified links (a, b) between nodes, one node for each set; enough of them to connect every component."""
     banded = heads.mapInArrow(_batches(_band_batch, _BANDED), "node bigint, n_shingles bigint, band bigint")
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band")
-    live = banded.join(shared, "band").select("band", "node", "n_shingles", F.col("n_shingles").alias("common"), F.col("node").alias("component"))
-    live = materialize(live)
-    wanted = heads.join(live.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "registers")
-    wanted = materialize(wanted)
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "n_shingles")).alias("centre")).where("_n > 1")
+    live = materialize(banded.join(shared.select("band", "centre"), "band").select("band", "node", "n_shingles", F.col("centre.node").alias("centre"), F.col("centre.n_shingles").alias("n_centre")))
+    wanted = materialize(heads.join(live.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "registers"))
     texts = _texts(docs, id_col, text_col).join(wanted.select("node", "doc_id", "text_key"), ["doc_id", "text_key"])
     texts = materialize(texts.dropDuplicates(["doc_id", "text_key"]).select("node", "text"))
-    links = live.select(F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
-    tested, group, centres = links, links.select(F.col("a").alias("node"), F.col("b").alias("component")), 1
-    while not live.isEmpty():
-        # ranked in two steps, so that no task ranks a whole bucket: the first few of each part, then the first few of those
-        order = [F.col("n_shingles") - F.col("common"), F.col("node")]
-        few = live.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(64)))
-        few = few.withColumn("_k", F.row_number().over(Window.partitionBy("band", "_part").orderBy(*order))).where(F.col("_k") <= centres)
-        few = few.withColumn("_k", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("_k") <= centres)
-        centre = few.select("band", *[F.col(c).alias(f"_{c}") for c in ("node", "n_shingles", "common", "component")])
-        # the intersection has `common` elements at most, and a link needs percent / (100 + percent) of both sizes
-        fits = (100 + percent) * F.least("common", "_common") >= percent * (F.col("n_shingles") + F.col("_n_shingles"))
-        before = F.col("node") < F.col("_node")
-        pairs = live.join(centre, "band").where(fits & (F.col("component") != F.col("_component"))).select(
-            F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"),
-            F.when(before, F.col("n_shingles")).otherwise(F.col("_n_shingles")).alias("n_a"),
-            F.when(before, F.col("_n_shingles")).otherwise(F.col("n_shingles")).alias("n_b"),
-        ).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if centres > 1 else pairs)
-        tested = tested.union(pairs.select("a", "b"))
-        found = materialize(_verified(pairs, wanted, texts, percent))
-        links, group = links.union(found), materialize(_grown(group, found))
-        still = live.join(centre.select("band", F.col("_node").alias("node")), ["band", "node"], "left_anti").drop("component")
-        still = still.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        live = _open(materialize(_open(materialize(still.select(*live.columns)))), texts, percent)
-        centres *= 2
-    return links
-
-
-def _open(live: DataFrame, texts: DataFrame | None = None, percent: int = 0) -> DataFrame:
-    """The members of buckets that hold several components.
-
-    With texts, members are first counted against each other: what a set has in common with the rest of `live` at all is
-    the most it can share with a partner, and a set with too little of that leaves.
+    fits = 100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre")
+    rest = live.where(F.col("node") != F.col("centre"))
+    pairs = rest.where(fits).select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("n_centre").alias("n_a"), F.col("n_shingles").alias("n_b")).distinct()
+    links = materialize(_checked(_likely(pairs, wanted, percent), texts, percent))
+    placed = rest.join(components(links), "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q")
+    left = materialize(placed.join(mixed, "band", "left_semi").select("node", "n_shingles", "component").distinct())
+    return links.union(materialize(_checked(_prefix_pairs(left, texts, percent), texts, percent)))
+
+
+def _prefix_pairs(left: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of nodes of different components that may be linked, by their rarest shingles.
+
+    Shingles are ordered by the number of nodes that hold them. Linked sets share one of the first n - percent n + 1 of
+    either, and of the shorter one even of the first n - least + 1, where `least` is what a link to a set of equal size
+    shares. If the first one they share stands at places i and j, they share 1 + min(n_a - i, n_b - j) at most (places from
+    1), so variants of one text with many shingles of their own do not meet. Pairs within the largest component of a
+    shingle's nodes are not formed.
     """
-    if texts is not None:
-        held = materialize(
-            texts.join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_exploded, "node bigint, shingle bigint")
-        )
-        common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        common = held.join(common, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-        live = materialize(live.drop("common").join(common, "node").where(100 * F.col("common") >= percent * F.col("n_shingles")).select(*live.columns))
-        return materialize(_open(live))
-    mixed = live.groupBy("band").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q")
-    return live.join(mixed.select("band"), "band").select(*live.columns)
+    held = materialize(texts.join(left.select("node"), "node", "left_semi").mapInArrow(_exploded, "node bigint, shingle bigint"))
+    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("_in")).where("_in > 1")
+    shared = held.join(common, "shingle").join(left, "node")
+    place = Window.partitionBy("node").orderBy("_in", "shingle")
+    ranked = shared.withColumn("_k", F.row_number().over(place)).withColumn("_shared", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    ranked = ranked.withColumn("place", F.col("_k") + F.col("n_shingles") - F.col("_shared"))
+    size, least = F.col("n_shingles"), F.ceil(2 * percent * F.col("n_shingles") / (100 + percent))
+    first = ranked.where(F.col("place") <= size - F.ceil(size * percent / 100) + 1)
+    first = materialize(first.select("shingle", "node", "n_shingles", "component", "place", (F.col("place") <= size - least + 1).alias("early")))
+    largest = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("_n"))
+    largest = largest.groupBy("shingle").agg(F.max_by("component", F.struct("_n", "component")).alias("_largest"))
+    x = first.join(largest, "shingle").where(F.col("component") != F.col("_largest")).drop("_largest").alias("x")
+    y = first.alias("y")
+    shorter = F.struct("x.n_shingles", "x.node") < F.struct("y.n_shingles", "y.node")
+    most = 1 + F.least(F.col("x.n_shingles") - F.col("x.place"), F.col("y.n_shingles") - F.col("y.place"))
+    meets = (
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+        & F.when(shorter, F.col("x.early")).otherwise(F.col("y.early"))
+        & ((100 + percent) * most >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles")))
+    )
+    return x.join(y, meets).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,26 +332,15 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), node)), pa.array(hashes)], ["node", "shingle"])
 
 
-def _grown(group: DataFrame, found: DataFrame) -> DataFrame:
-    """The components (node, component) after more links between nodes."""
-    if found.isEmpty():
-        return group
-    at = found
+def _likely(pairs: DataFrame, registers: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule a link out."""
     for side in ("a", "b"):
-        own = group.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-        at = at.join(own, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-    joined = components(at.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    moved = group.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
-    moved = moved.select("node", F.coalesce("_to", "component").alias("component"))
-    return moved.union(joined.join(group, "node", "left_anti").select("node", "component"))
+        pairs = pairs.join(registers.select(F.col("node").alias(side), F.col("registers").alias(f"reg_{side}")), side)
+    return pairs.mapInArrow(_batches(_near_batch(percent / 100), _PAIR), "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, registers: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are linked: likely by their sketches, then checked on the full sets."""
-    drawn = pairs
+def _checked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked, by their full sets."""
     for side in ("a", "b"):
-        drawn = drawn.join(registers.select(F.col("node").alias(side), F.col("registers").alias(f"reg_{side}")), side)
-    read = drawn.mapInArrow(_batches(_near_batch(percent / 100), _PAIR), "a bigint, b bigint")
-    for side in ("a", "b"):
-        read = read.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return read.mapInArrow(_batches(_verify_batch(percent), _PAIR), "a bigint, b bigint")
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return pairs.mapInArrow(_batches(_verify_batch(percent), _PAIR), "a bigint, b bigint")
