@@ -27,7 +27,7 @@ from contactmill.llm.common import whole_text
 from contactmill.session import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 _MANY = 4096
 
 
