@@ -116,11 +116,11 @@ def _tree(codes: np.ndarray, cuts: list[np.ndarray], target: np.ndarray, depth:
 def _lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> tuple[float, np.ndarray]:
     """(intercept, weights) by accelerated proximal gradient steps."""
     n = len(y)
-    step = 4.0 / (np.linalg.norm(x, 2) ** 2 / n + 1.0)
+    step = 4.0 / (np.linalg.eigvalsh((x.T @ x).astype(float))[-1] / n + 1.0)
     w = v = np.zeros(x.shape[1] + 1)
     momentum = 1.0
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-(x @ v[1:] + v[0]))) - y
+        error = 1 / (1 + np.exp(-(x @ v[1:].astype(np.float32) + np.float32(v[0])))) - y
         moved = v - step * np.concatenate([[error.mean()], x.T @ error / n])
         moved[1:] = np.sign(moved[1:]) * np.maximum(np.abs(moved[1:]) - step * penalty, 0)
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
@@ -157,9 +157,15 @@ def fit_arrays(
     ranges = {c: tuple(map(float, np.quantile(columns[c], (0.025, 0.975)))) for c in names}
     ranges = {c: r for c, r in ranges.items() if r[1] > r[0]}
     clipped = np.stack([np.clip(columns[c], *ranges[c]) for c in ranges], axis=1) if ranges else np.empty((n, 0))
-    x = np.concatenate([np.stack([r.holds(columns) for r in rules], axis=1).astype(float), clipped], axis=1) if rules else clipped
-    centre, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    start, weights = _lasso_logistic((x - centre) / spread, label.astype(float), penalty, rounds)
+    x = np.empty((n, len(rules) + clipped.shape[1]), np.float32)  # the one large array of a fit, scaled in place
+    for k, rule in enumerate(rules):
+        x[:, k] = rule.holds(columns)
+    x[:, len(rules) :] = clipped
+    centre = x.mean(axis=0, dtype=float)
+    x -= centre.astype(np.float32)
+    spread = np.maximum(np.sqrt((x**2).mean(axis=0, dtype=float)), 1e-3)
+    x /= spread.astype(np.float32)
+    start, weights = _lasso_logistic(x, label.astype(np.float32), penalty, rounds)
     weights = weights / spread
     out = Ensemble(float(start - weights @ centre))
     out.rules = [(float(w), r) for w, r in zip(weights, rules, strict=False) if abs(w) > 1e-6]
@@ -207,7 +213,8 @@ def score(
 
 def keep_good(docs: DataFrame, model: Ensemble, text_col: str = "text", accept: float = 0.7) -> DataFrame:
     """The rows of docs whose text scores at least `accept`, with all their columns."""
-    taken = {c.lower() for c in docs.columns}
-    name = next(n for k in range(len(taken) + 1) if (n := f"_statistics{k}") not in taken)
-    known = docs.withColumn(name, F.struct(*[c.cast("double").alias(n) for n, c in statistics(whole_text(text_col)).items()]))
-    return known.where(model.column({n: F.col(f"{name}.{n}") for n in statistics(F.lit(""))}) >= accept).drop(name)
+    known = {f"_{n}": c.cast("double") for n, c in statistics(whole_text(text_col)).items()}
+    # below a projection with a row number the filter cannot slip, where each rule would compute the statistics anew
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in known.items()])
+    scored = rows.select("doc", model.column({n: F.col(f"_{n}") for n in statistics(F.lit(""))}).alias("score"), "row")
+    return scored.where((F.col("score") >= accept) & (F.col("row") >= 0)).select("doc.*")
