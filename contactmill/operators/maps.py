@@ -119,14 +119,16 @@ def region_map(
     resolution: int,
     *,
     symmetric: bool = False,
+    double_diagonal: bool = False,
     weights: DataFrame | None = None,
     log1p: bool = True,
     zero_diagonal: bool = True,
 ) -> DataFrame:
     """Displayed square region of the maps named by the key rows (metacell or cell_id).
 
-    `symmetric` says the maps already hold both triangles; upper-triangle maps are mirrored without doubling the
-    diagonal, as a fetch from a pixel store does. Weights apply before mirroring.
+    `symmetric` says the maps already hold both triangles; upper-triangle maps are mirrored after the cut, so that the
+    region reaches the scan. Their diagonal is taken once, as a fetch from a pixel store does, or twice, as M + M^T has it.
+    Weights apply before mirroring.
     """
     order, first, stop = region_bounds(genome, chrom, start, end, resolution)
     cut = in_region(maps, order, first, stop)
@@ -134,7 +136,7 @@ def region_map(
     if weights is not None:
         cut = balanced(cut, weights)
     if not symmetric:
-        cut = symmetrize(cut, double_diagonal=False)
+        cut = symmetrize(cut, double_diagonal=double_diagonal)
     grid = dense_region(keys, cut, first, stop)
     return grid.withColumn("value", displayed(F.col("value"), log1p, zero_diagonal))
 

@@ -247,8 +247,7 @@ _FIRST_CELL = "SELECT min(cell_id) AS cell_id FROM cells WHERE metacell = 3"
 )
 def cell_region(spark, sf):
     first = fx.cells(spark, sf).where(F.col("metacell") == 3).agg(F.min("cell_id").alias("cell_id"))
-    full = binning.symmetrize(fx.pixels(spark, sf))
-    out = maps.region_map(full, first, GENOME, "chr1", 0, 10_000_000, MB, symmetric=True)
+    out = maps.region_map(fx.pixels(spark, sf), first, GENOME, "chr1", 0, 10_000_000, MB, double_diagonal=True)
     return out.withColumn("value", rounded("value"))
 
 

@@ -236,8 +236,8 @@ def cell_region(
     key = study.cells.where(F.col("cell_id") == cell_id).select("cell_id")
     plain = observed_expected
     table = maps.region_map(
-        binning.symmetrize(study.pixels[resolution]), key, study.genome, chrom, start, end, resolution,
-        symmetric=True, log1p=log1p and not plain, zero_diagonal=fill_diagonal_zero and not plain,
+        study.pixels[resolution], key, study.genome, chrom, start, end, resolution,
+        double_diagonal=True, log1p=log1p and not plain, zero_diagonal=fill_diagonal_zero and not plain,
     )
     return _enhanced(study, table, ["cell_id"], chrom, start, end, resolution) if plain else table
 
