@@ -278,7 +278,9 @@ def _links(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str, percen
     """Verified links (a, b) between nodes, one node for each set; enough of them to connect every component."""
     banded = heads.mapInArrow(_batches(_band_batch, _BANDED), "node bigint, n_shingles bigint, band bigint")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "n_shingles")).alias("centre")).where("_n > 1")
-    live = materialize(banded.join(shared.select("band", "centre"), "band").select("band", "node", "n_shingles", F.col("centre.node").alias("centre"), F.col("centre.n_shingles").alias("n_centre")))
+    live = materialize(banded.join(shared.select("band", "centre"), "band").select(
+        "band", "node", "n_shingles", F.col("centre.node").alias("centre"), F.col("centre.n_shingles").alias("n_centre")
+    ))
     wanted = materialize(heads.join(live.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "registers"))
     texts = _texts(docs, id_col, text_col).join(wanted.select("node", "doc_id", "text_key"), ["doc_id", "text_key"])
     texts = materialize(texts.dropDuplicates(["doc_id", "text_key"]).select("node", "text"))
