@@ -158,10 +158,11 @@ def fit(
     doc_id = F.col(f"`{id_col}`")
     usable = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & ~held_out(doc_id))
     ids = usable.select(doc_id.alias("_id"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
-    # by the hash, about twice the rows wanted of each language are left to be ranked, however many it has
-    sizes = ids.groupBy("_lang").agg((2.0 * rows_per_language / F.count(F.lit(1))).alias("_share"))
+    # by the hash, about twice the rows wanted of each language are left to be ranked, however many it has; the sample
+    # has no room for more languages than rows, which bounds the table that is broadcast
+    sizes = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(sample_rows)
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
-    ids = ids.join(sizes, "_lang").where(place < F.col("_share"))
+    ids = ids.join(F.broadcast(sizes), "_lang").where(place * F.col("_n") < 2.0 * rows_per_language)
     turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     drawn = ids.withColumn("_turn", turn).where(F.col("_turn") <= rows_per_language)
     drawn = drawn.orderBy("_turn", "_lang").limit(sample_rows).select("_id").distinct()
