@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.llm import bpe
-from contactmill.llm.common import whole_text
+from contactmill.llm.common import short_batches, whole_text
 from contactmill.session import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -129,7 +129,7 @@ def _encode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = bpe.ranks_of(vocabulary)
         word, ids = None, []
-        for batch in batches:
+        for batch in _gathered(batches, 4 * _MANY):
             encoded, which = [], np.empty(batch.num_rows, np.int64)
             for k, found in enumerate(batch.column("word").to_pylist()):
                 if found != word or not encoded:
@@ -157,6 +157,18 @@ def _encode(vocabulary: str):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many: words are short, and what leaves together packs better."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0] + size[0] - 1, start[1] .., one after the other."""
     ends = np.cumsum(size)
@@ -181,7 +193,7 @@ def _documents(table: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
 
 def _shuffled(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str | None, block_chars: int, stored: bool):
     """Rows of blocks, grouped by block: what `_documents` reads."""
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
+    texts = short_batches(docs).select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
     texts = (texts if stored else materialize(texts)).withColumn("key", F.monotonically_increasing_id())
     words = texts.mapInArrow(_cut(pattern, block_chars, _Block.distinct_words), "block bigint, number int, word string")
     sent = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(vocabulary), _ENCODED)

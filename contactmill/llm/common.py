@@ -15,6 +15,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, whose session from now on hands at most `rows` rows at once to Python: texts are long, and workers are small."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def whole_text(column: str) -> Column:
     """The text of a column of any type; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactmill.llm.common import whole_text
+from contactmill.llm.common import short_batches, whole_text
 from contactmill.session import materialize
 
 BASE = 1.2
@@ -45,7 +45,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -164,7 +164,7 @@ def _sketch_batch(batch: pa.RecordBatch) -> dict:
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key, text: the first two name a text even where a doc_id repeats with another text."""
     text = whole_text(text_col)
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return short_batches(docs).select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
