@@ -6,8 +6,9 @@ every path the text length and the punctuation per text are taken, spread over t
 Gaussian, multiplied, and cut at a share of their standard deviation. The smallest element that holds most of what passes is
 the content; its short paragraphs and headings, which no ratio could keep, belong to it.
 
-What is never article text, whatever its ratios, has no path: scripts, forms, navigation and the like by their tags, and
-adverts, notices, sidebars and comments by their class, id or role.
+What is never article text, whatever its ratios, has no path: scripts, forms, navigation and the like by their tags, role or
+hidden state. Adverts, notices, sidebars and comments are left out by their class or id, but a name only votes: an element
+that holds most of the text with high ratios stays, whatever it is called, and so does everything where nothing would be left.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp noframes iframe".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded "
+    "mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none".split()
 )
 _ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -46,8 +48,8 @@ _CLOSED_BY_SIBLING = {
 }
 _SCOPES = frozenset("table ul ol dl select article section div main body html".split())
 _NEVER = frozenset(
-    "head script style noscript template nav footer aside form button select textarea input iframe object svg math canvas "
-    "audio video dialog menu title noframes xmp search".split()
+    "head script style noscript template nav footer aside form button select textarea input iframe object svg canvas "
+    "audio video dialog menu title noframes xmp search annotation annotation-xml".split()
 )
 _NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # Words that name parts around an article in class and id attributes.
@@ -59,6 +61,11 @@ _NEVER_NAMES = frozenset(
     "recommended recommendations more-stories trending popular comment comments comment-list respond reply replies disqus "
     "discussion reactions tags tagcloud taglist hidden".split()
 )
+_COMMENT_NAMES = frozenset("comment comments comment-list respond reply replies disqus discussion reactions".split())
+#: Parts of a name that say something about the element they stand on; what follows does not name it (has-sidebar).
+_ABOUT = frozenset("has no not non with without is in category cat tag tagged topic format type".split())
+_MARKS = frozenset("h1 article main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTENT_NAMES = frozenset("article content main body text story post entry".split())
 
 _TAG = re.compile(
@@ -75,8 +82,18 @@ class _Element:
     path: str
     up: _Element | None
     excluded: bool
+    votes: frozenset[str] = frozenset()
     length: int = 0
     good: int = 0
+    marked: bool = False
+    dropped: bool = False
+
+    def line(self) -> Iterator[_Element]:
+        """The element and all that it stands in."""
+        e = self
+        while e is not None:
+            yield e
+            e = e.up
 
 
 @dataclass
@@ -128,11 +145,11 @@ class _Page:
             self.block += 1
         if tag in _VOID:
             return
-        names, excluded = "", self.at.excluded or tag in _NEVER
+        names, excluded, votes = "", self.at.excluded or tag in _NEVER, frozenset()
         if attributes and not excluded:
-            names, excluded = _described(tag, attributes)
+            names, excluded, votes = _described(tag, attributes)
         excluded = excluded or (tag == "header" and not self._inside("article", "main"))
-        self.at = _Element(tag, f"{self.at.path}/{tag}{names}", self.at, excluded)
+        self.at = _Element(tag, f"{self.at.path}/{tag}{names}", self.at, excluded, votes)
 
     def _inside(self, *tags: str) -> bool:
         e = self.at
@@ -161,22 +178,34 @@ class _Page:
             self.at = e.up
 
 
-def _described(tag: str, attributes: str) -> tuple[str, bool]:
-    """(what of the class and id goes into the path, whether the attributes exclude the element)."""
-    found, excluded = {}, False
+def _listed(word: str) -> set[str]:
+    """The listed names that a class or id consists of; parts behind has-, no-, with- and the like are not its names."""
+    own = []
+    for part in word.split("-"):
+        if part in _ABOUT:
+            break
+        own.append(part)
+    return {word, *own} & _NEVER_NAMES
+
+
+def _described(tag: str, attributes: str) -> tuple[str, bool, frozenset[str]]:
+    """(what of the class and id goes into the path, whether the attributes exclude the element, names that vote against it)."""
+    found = {}
     for match in _ATTRIBUTE.finditer(attributes):
         found.setdefault(match[1].lower(), next((unescape(v) for v in match.groups()[1:] if v is not None), ""))
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     words = set(_NAME.findall(names))
-    parts = {part for word in words for part in word.split("-")}
     style = found.get("style", "").replace(" ", "").lower()
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        excluded = True
-    elif set(found.get("role", "").lower().split()) & _NEVER_ROLES:
-        excluded = True
-    elif (words | parts) & _NEVER_NAMES and tag not in ("html", "body", "main"):
-        excluded = not (tag == "article" and parts & _CONTENT_NAMES and not parts & {"comment", "comments", "reply"})
-    return (f".{' '.join(sorted(words))}" if words and tag in ("div", "section", "td", "ul") else ""), excluded
+    excluded = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+    excluded = excluded or bool(set(found.get("role", "").lower().split()) & _NEVER_ROLES)
+    votes: set[str] = set()
+    if not excluded and tag not in ("html", "body", "main"):
+        votes = {name for word in _NAME.findall(names.replace("_", "-")) for name in _listed(word)}
+        if votes and tag == "article":
+            parts = {part for word in words for part in word.split("-")}
+            votes = set() if parts & _CONTENT_NAMES and not parts & {"comment", "comments", "reply"} else votes
+    path = f".{' '.join(sorted(words))}" if words and tag in ("div", "section", "td", "ul") else ""
+    return path, excluded, frozenset(votes)
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:
@@ -201,6 +230,44 @@ def _ratios(texts: list[_Text]) -> np.ndarray:
     return length * (1.0 + marks)
 
 
+def _passing(texts: list[_Text], cut: float) -> np.ndarray:
+    fused = _ratios(texts)
+    return fused >= min(cut * fused.std(), fused.max())
+
+
+def _unnamed(texts: list[_Text], cut: float, most: float) -> list[_Text]:
+    """The texts outside of elements that are dropped for their names.
+
+    A named element is a wrapper, and stays, if it holds most of what passes in it and in the page without names. Where a
+    wrapper holds a headline, article or main element, only such wrappers stay; without one, comments do not, nor does
+    anything beside an article or main element with passing text. If nothing would stay, names count for nothing.
+    """
+    named = {id(e): e for t in texts for e in t.element.line() if e.votes}
+    if not named:
+        return texts
+    for t, passes in zip(texts, _passing(texts, cut), strict=True):
+        marked = False
+        for e in t.element.line():
+            marked = marked or (e.tag in _MARKS and not e.votes & _COMMENT_NAMES)
+            e.marked = e.marked or marked
+            e.good += t.n_chars if passes else 0
+    others = [t for t in texts if not any(e.votes or e.tag in _HEADINGS for e in t.element.line())]
+    passing = [t for t, passes in zip(others, _passing(others, cut), strict=True) if passes] if others else []
+    free, anchored = sum(t.n_chars for t in passing), any(e.tag in ("article", "main") for t in passing for e in t.element.line())
+    wrappers = [e for e in named.values() if e.good and e.good >= most * (e.good + free)]
+    if any(e.marked for e in wrappers):
+        wrappers = [e for e in wrappers if e.marked]
+    else:
+        wrappers = [] if anchored else [e for e in wrappers if not e.votes & _COMMENT_NAMES]
+    stays = {id(e) for e in wrappers}
+    kept = [t for t in texts if all(id(e) in stays for e in t.element.line() if e.votes)]
+    for t in texts:
+        for e in t.element.line():
+            e.good = 0
+            e.dropped = bool(kept and e.votes and id(e) not in stays)
+    return kept or texts
+
+
 def main_text(html: str | None, cut: float = CUT, most: float = MOST) -> str:
     """The main text of a page; white space inside a block is one space, blocks are joined by one space."""
     page = _Page(html or "")
@@ -213,21 +280,17 @@ def main_text(html: str | None, cut: float = CUT, most: float = MOST) -> str:
             texts.append(t)
     if not texts:
         return ""
-    fused = _ratios(texts)
-    good = fused >= min(cut * fused.std(), fused.max())
+    texts = _unnamed(texts, cut, most)
+    good = _passing(texts, cut)
     for t, passes in zip(texts, good, strict=True):
-        e = t.element
-        while e is not None:
+        for e in t.element.line():
             e.length += t.n_chars
             e.good += t.n_chars if passes else 0
-            e = e.up
     root = _content(texts, sum(t.n_chars for t, passes in zip(texts, good, strict=True) if passes), most)
     parts, block = [], None
     for t in page.texts:
-        e = t.element
-        while e is not None and e is not root:
-            e = e.up
-        if e is root:
+        line = list(t.element.line())
+        if root in line and not any(e.dropped for e in line):
             if block is not None and t.block != block:
                 parts.append(" ")
             parts.append(t.text)
@@ -259,7 +322,7 @@ def extract(
 ) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points of text).
 
-    Null and empty html, and pages without text outside the excluded parts, give the empty text. Repeated rows and null
+    Null and empty html, and pages without text outside the parts that their tags exclude, give the empty text. Repeated rows and null
     identifiers keep their rows; no rows give none. The html is read whole. Other columns are not read.
     """
 

@@ -34,6 +34,22 @@ def test_main_text(html, want):
     assert html_content.main_text(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    (page(f'<div class="post has-sidebar">{ARTICLE}</div>'), WANT),
+    (page(f'<div id="content" class="content no-sidebar"><article>{ARTICLE}</article></div><div class="sidebar">{LONG}</div>'), WANT),
+    (page(f'<div class="post category-social tag-cookies">{ARTICLE}</div>'), WANT),
+    (page(f'<article class="with-share">{ARTICLE}<div class="share">Like, share.</div></article>'), WANT),
+    (page(f'<div class="widget"><article>{ARTICLE}</article></div><div class="comments"><p>{LONG * 20}</p></div>'), WANT),
+    (page(f'<div class="social">{ARTICLE}<div class="comments"><p>{LONG * 20}</p></div></div>'), WANT),
+    (page(f'<div class="modal"><p>{LONG}</p></div>'), LONG.strip()),
+    (page(f'<div class="story">{ARTICLE}</div><div class="comments"><p>{LONG * 20}</p></div>'), WANT),
+    (page(f'<div class="comment">{LONG}</div>'), LONG.strip()),
+    (page(f"<article><p>{LONG}</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>"), f"{LONG.strip()} So x=1."),
+])
+def test_names_only_vote(html, want):
+    assert html_content.main_text(html) == want
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", page(f"<article>{ARTICLE}</article>")), (1, "u", page(f"<article>{ARTICLE}</article>")), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "word " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(1))
