@@ -4,7 +4,8 @@ Every text of a page hangs at the end of a path of tags from the root. Template
 share paths with short texts without punctuation, the article's paragraphs share paths with long punctuated ones. So for
 every path the text length and the punctuation per text are taken, spread over the page in text order, smoothed with a
 Gaussian, multiplied, and cut at a share of their standard deviation. The smallest element that holds most of what passes is
-the content; its short paragraphs and headings, which no ratio could keep, belong to it.
+the content; its short paragraphs and headings, which no ratio could keep, belong to it. Whatever else passes is content too:
+its whole paragraph joins in page order, and so do the headings right before content and the headline above it.
 
 What is never article text, whatever its ratios, has no path: scripts, forms, navigation and the like by their tags, role or
 hidden state. Adverts, notices, sidebars and comments are left out by their class or id, but a name only votes: an element
@@ -95,6 +96,9 @@ class _Element:
             yield e
             e = e.up
 
+    def within(self, other: _Element) -> bool:
+        return any(e is other for e in self.line())
+
 
 @dataclass
 class _Text:
@@ -287,10 +291,14 @@ def main_text(html: str | None, cut: float = CUT, most: float = MOST) -> str:
             e.length += t.n_chars
             e.good += t.n_chars if passes else 0
     root = _content(texts, sum(t.n_chars for t, passes in zip(texts, good, strict=True) if passes), most)
+    outside = [t for t, passes in zip(texts, good, strict=True) if passes and not t.element.within(root)]
+    kept = {id(root), *(id(_paragraph(t.element)) for t in outside)}
+    kept |= _headings(texts, kept, _common([root, *(t.element for t in outside)]))
+    blocks = {t.block for t in outside}  # a paragraph without an element of its own
     parts, block = [], None
     for t in page.texts:
         line = list(t.element.line())
-        if root in line and not any(e.dropped for e in line):
+        if (t.block in blocks or any(id(e) in kept for e in line)) and not any(e.dropped for e in line):
             if block is not None and t.block != block:
                 parts.append(" ")
             parts.append(t.text)
@@ -298,6 +306,36 @@ def main_text(html: str | None, cut: float = CUT, most: float = MOST) -> str:
     return " ".join("".join(parts).split())
 
 
+def _paragraph(element: _Element) -> _Element | None:
+    """The paragraph, item, quotation or heading that an element belongs to, None if it has none."""
+    e = element
+    while e is not None and e.tag in _INLINE:
+        e = e.up
+    return e if e is not None and e.tag in _HEADINGS | {"p", "li", "blockquote", "dd", "dt", "td", "th", "pre", "figcaption"} else None
+
+
+def _common(elements: list[_Element]) -> _Element:
+    """The smallest element that all the elements stand in."""
+    ways = [list(e.line())[::-1] for e in elements]
+    return next(same[0] for same in reversed(list(zip(*ways, strict=False))) if all(e is same[0] for e in same))
+
+
+def _headings(texts: list[_Text], kept: set[int], common: _Element) -> set[int]:
+    """Headings with nothing but headings between them and content, and first-level ones in what encloses all content."""
+    found, follows, below = set(), False, False
+    for t in reversed(texts):
+        line = list(t.element.line())
+        if any(id(e) in kept for e in line):
+            follows = below = True
+            continue
+        heading = next((e for e in line if e.tag in _HEADINGS), None)
+        if heading is not None and (follows or below and heading.tag == "h1" and heading.within(common)):
+            found.add(id(heading))
+        else:
+            follows = False
+    return found
+
+
 def _content(texts: list[_Text], total: int, most: float) -> _Element:
     """The smallest element that holds most of the content, an enclosing article or main element rather than a part of it."""
     best = None

@@ -50,6 +50,21 @@ def test_names_only_vote(html, want):
     assert html_content.main_text(html) == want
 
 
+MORE = "Another long sentence, with marks; and it goes on for a while, too. "
+
+
+@pytest.mark.parametrize("html, want", [
+    (page(f"<div class=story><h1>Head</h1><div class=lead><p>{MORE}</p></div><div class=text>{f'<p>{MORE * 2}</p>' * 8}</div></div>"), f"Head {MORE * 17}".strip()),
+    (page(f"<article><h1>Head</h1><p>{LONG * 9}</p></article><article><h2>Part</h2><p>{LONG}</p></article>"), f"Head {LONG * 9}Part {LONG}".strip()),
+    (page(f"<section><p>{LONG}</p></section><section><p>{LONG * 9}</p><p>End.</p></section>"), f"{LONG * 10}End."),
+    (page(f"<h1>Head</h1><p>By <a>me</a></p><div class=text><p>{LONG * 9}</p></div>{MORE * 4}<i>more</i> of it"), None),
+    (page(f"<div><h1>Head</h1><div>{MORE * 4}<b>and</b> so on.</div></div><div>{f'<p>{LONG}</p>' * 9}</div>"), f"Head {MORE * 4}and so on. {LONG * 9}".strip()),
+])
+def test_all_that_passes_is_kept(html, want):
+    got = html_content.main_text(html)
+    assert got == (want or f"Head By me {LONG * 9}{MORE * 4}more of it")
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", page(f"<article>{ARTICLE}</article>")), (1, "u", page(f"<article>{ARTICLE}</article>")), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "word " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(1))
