@@ -6,6 +6,9 @@ every distinct word gets a number, and the positions of the words are kept as th
 1. each (block, distinct word) goes to the task that owns the word, sorted by word, where each word is encoded once;
 2. the ids go back to the block, which puts them at the word's positions and cuts the result at the documents.
 
+Documents are cut once: the words of a block and its head (documents and sequence) leave the same task and take both shuffles
+together, so no second scan has to meet the same partitions.
+
 A word occurs once per block at most, so no frequent word can overload a task, and a block is bounded by its characters.
 Decoding looks the ids up in the token-byte table, whose size the vocabulary fixes.
 """
@@ -60,8 +63,11 @@ class _Numbers(dict):
         return number
 
 
-_WORDS = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.string())])
-_HEADS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("sequence", pa.binary())])
+_HEAD = "doc_ids array<bigint>, lengths binary, sequence binary"
+_HEAD_FIELDS = [("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("sequence", pa.binary())]
+#: Rows of words, and one row with the head of each block.
+_CUT = f"block bigint, number int, word string, {_HEAD}"
+_CUT_ARROW = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.string()), *_HEAD_FIELDS])
 
 
 class _Block:
@@ -84,24 +90,21 @@ class _Block:
         number[order] = np.arange(len(order), dtype=np.uint32)
         return sequence, number
 
-    def distinct_words(self) -> Iterator[pa.RecordBatch]:
-        number, words = self._numbered()[1].astype(np.int32), list(self.words)
+    def leave(self) -> Iterator[pa.RecordBatch]:
+        """The distinct words, then one row with the documents and the sequence of their words."""
+        (sequence, number), words = self._numbered(), list(self.words)
         for at in range(0, len(words), _MANY):
             part = words[at : at + _MANY]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), self.key)), pa.array(number[at : at + _MANY]), pa.array(part)], schema=_WORDS
-            )
-
-    def head(self) -> Iterator[pa.RecordBatch]:
-        """One row with the documents and the sequence of their words."""
-        sequence, number = self._numbered()
+            columns = [pa.array(np.full(len(part), self.key)), pa.array(number[at : at + _MANY].astype(np.int32)), pa.array(part)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(part), t) for _, t in _HEAD_FIELDS)], schema=_CUT_ARROW)
         yield pa.RecordBatch.from_pydict({
-            "block": [self.key], "doc_ids": [self.rows], "lengths": [packed(np.array(self.lengths))], "sequence": [packed(number[sequence])],
-        }, schema=_HEADS)
+            "block": [self.key], "number": [None], "word": [None],
+            "doc_ids": [self.rows], "lengths": [packed(np.array(self.lengths))], "sequence": [packed(number[sequence])],
+        }, schema=_CUT_ARROW)
 
 
-def _cut(pattern: str | None, block_chars: int, leave):
-    """Fills blocks with documents; `leave` says what of a full block goes on."""
+def _cut(pattern: str | None, block_chars: int):
+    """Fills blocks with documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, block = splitter(pattern), None
@@ -109,27 +112,31 @@ def _cut(pattern: str | None, block_chars: int, leave):
             for key, row, text in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
                 if block and block.chars + len(text) > block_chars:
-                    yield from leave(block)
+                    yield from block.leave()
                     block = None
                 block = block or _Block(key)
                 block.add(row, find(text), len(text))
         if block:
-            yield from leave(block)
+            yield from block.leave()
 
     return run
 
 
-_ENCODED = "block bigint, numbers binary, n_ids binary, ids binary"
-_ENCODED_ARROW = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("n_ids", pa.binary()), ("ids", pa.binary())])
+_SENT = ("numbers", "n_ids", "ids")
+_ENCODED = f"block bigint, numbers binary, n_ids binary, ids binary, {_HEAD}"
+_ENCODED_ARROW = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in _SENT), *_HEAD_FIELDS])
 
 
 def _encode(vocabulary: str):
-    """Rows of one task sorted by word: every word is encoded where it begins; the ids leave grouped by block."""
+    """Rows of one task sorted by word: every word is encoded where it begins; the ids leave grouped by block, heads as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = bpe.ranks_of(vocabulary)
         word, ids = None, []
         for batch in _gathered(batches, 4 * _MANY):
+            if batch.schema.names == _ENCODED_ARROW.names:
+                yield batch
+                continue
             encoded, which = [], np.empty(batch.num_rows, np.int64)
             for k, found in enumerate(batch.column("word").to_pylist()):
                 if found != word or not encoded:
@@ -145,23 +152,31 @@ def _encode(vocabulary: str):
             blocks, numbers = np.asarray(batch.column("block")), np.asarray(batch.column("number"))
             order = np.argsort(blocks, kind="stable")
             cuts = np.flatnonzero(np.diff(blocks[order], prepend=blocks[order[0]] - 1))
-            out = {"block": [], "numbers": [], "n_ids": [], "ids": []}
+            out = {"block": [], **{c: [] for c in _SENT}}
             for rows in np.split(order, cuts[1:]):
                 own = which[rows]
                 out["block"].append(int(blocks[rows[0]]))
                 out["numbers"].append(packed(numbers[rows]))
                 out["n_ids"].append(packed(sizes[own]))
                 out["ids"].append(packed(flat[_ranges(start[own], sizes[own])]))
+            out |= {c: pa.nulls(len(out["block"]), t) for c, t in _HEAD_FIELDS}
             yield pa.RecordBatch.from_pydict(out, schema=_ENCODED_ARROW)
 
     return run
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at least so many: words are short, and what leaves together packs better."""
+    """The words in batches of at least so many: they are short, and what leaves together packs better; heads as encoded rows."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        held.append(batch)
+        heads = batch.column("sequence").is_valid()
+        if heads.true_count:
+            found = batch.filter(heads)
+            columns = {name: found.column(name) for name in ("block", *(c for c, _ in _HEAD_FIELDS))}
+            columns |= {c: pa.nulls(found.num_rows, pa.binary()) for c in _SENT}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in _ENCODED_ARROW.names], schema=_ENCODED_ARROW)
+            batch = batch.filter(batch.column("sequence").is_null())
+        held.append(batch.select(["block", "number", "word"]))
         if sum(b.num_rows for b in held) >= rows:
             yield pa.concat_batches(held)
             held = []
@@ -195,10 +210,9 @@ def _shuffled(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, patt
     """Rows of blocks, grouped by block: what `_documents` reads."""
     texts = short_batches(docs).select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
     texts = (texts if stored else materialize(texts)).withColumn("key", F.monotonically_increasing_id())
-    words = texts.mapInArrow(_cut(pattern, block_chars, _Block.distinct_words), "block bigint, number int, word string")
-    sent = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(vocabulary), _ENCODED)
-    heads = texts.mapInArrow(_cut(pattern, block_chars, _Block.head), "block bigint, doc_ids array<bigint>, lengths binary, sequence binary")
-    return sent.unionByName(heads, allowMissingColumns=True).groupBy("block")
+    rows = texts.mapInArrow(_cut(pattern, block_chars), _CUT)
+    owner = F.coalesce(F.col("word"), F.col("block").cast("string"))  # heads are spread over all tasks
+    return rows.repartition(owner).sortWithinPartitions("word").mapInArrow(_encode(vocabulary), _ENCODED).groupBy("block")
 
 
 def encode(
@@ -208,8 +222,8 @@ def encode(
     """One row per row of docs: doc_id (bigint), ids (little-endian unsigned 32-bit numbers).
 
     Every match of the pattern is encoded separately, without special tokens. Null and empty texts have no ids. Repeated
-    rows and null identifiers keep their rows; no rows give none. Other columns are not read. The text is read twice and
-    has to come in the same partitions and order both times. A stored table does; say so by `stored`, or it is written.
+    rows and null identifiers keep their rows; no rows give none. Other columns are not read. The text is read once; a task
+    that runs again has to meet the same rows in the same order. In a stored table it does; say so by `stored`, or it is written.
     """
 
     def whole(table: pa.Table) -> pa.Table:

@@ -237,3 +237,15 @@ def test_compiled_rules_agree_with_arrays(spark):
     got = {r.i: r.score for r in frame.select("i", model.column({c: frame[c] for c in columns}).alias("score")).collect()}
     assert [got[i] for i in range(500)] == pytest.approx((1 / (1 + np.exp(-total))).tolist())
     assert np.mean((1 / (1 + np.exp(-total)) > 0.5) == label) > 0.97
+
+
+def test_encode_scans_documents_once(spark, tmp_path):
+    """The scan's partitions follow the cores known when it is planned: documents must not be cut from two scans."""
+    rows = [(i, f"text {i} of {i % 7} " * (i % 5 + 1)) for i in range(400)]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(path)
+    blocks = byte_bpe._shuffled(spark.read.parquet(path), "doc_id", "text", byte_bpe.VOCABULARY, None, 1000, True)
+    plan = blocks.count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1, plan
+    encoded = byte_bpe.encode(spark.read.parquet(path), block_chars=1000, stored=True)
+    assert {(r.doc_id, bytes(r.decoded).decode()) for r in byte_bpe.decode(encoded).collect()} == set(rows)
