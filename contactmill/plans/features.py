@@ -293,7 +293,7 @@ def top_percent_embedding(spark, sf):
     from contactmill.operators.pipeline import top_percent_embedding as embed
 
     cells = fx.cells(spark, sf).select("cell_id")
-    out = embed(fx.pixels(spark, sf), cells, GENOME, MB, dim=5, chrom_rank=12)
+    out = embed(fx.pixels(spark, sf), cells, GENOME, MB, dim=5)
     return _dims(out)
 
 

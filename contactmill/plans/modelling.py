@@ -9,7 +9,7 @@ from contactmill.plans import fixtures as fx
 from contactmill.plans.catalog import big, query, r6, rounded
 from contactmill.plans.neighbours import points
 
-SETTINGS = model.Settings(n_metacells=8, max_iter=2)
+SETTINGS = model.Settings(n_metacells=8)
 
 
 def unit_views(spark, sf):
@@ -129,7 +129,7 @@ def objective(spark, sf):
 @query("M29_respawn")
 def respawn(spark, sf):
     """A high threshold makes several groups starve."""
-    settings = model.Settings(n_metacells=8, max_franke_wolfe_iters=20, size_sync=5, min_size_threshold=0.1)
+    settings = model.Settings(n_metacells=8, min_size_threshold=0.1)
     state = start(spark, sf, settings)
     state.A = model.update_memberships(state, settings)
     model.respawn(state, settings)
