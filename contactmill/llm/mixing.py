@@ -10,6 +10,7 @@ blocks by which the schedule fell short of a target follow at the end.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,15 @@ def _own(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{id_col}`"), whole_text(text_col))
 
 
+def _rest(docs: DataFrame, columns: Sequence[str]) -> Column:
+    """A hash of the columns that tells null from any value; 0 without columns."""
+    if not columns:
+        return F.lit(0).cast("bigint")
+    maps = {c for c in columns if "map<" in docs.schema[c].dataType.simpleString()}
+    values = [F.to_json(F.struct(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*values, *[F.col(f"`{c}`").isNull() for c in columns])
+
+
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0
 ) -> DataFrame:
@@ -105,26 +115,28 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 1024,
+    other_cols: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces) of the mix.
 
     rows: one per row of docs, in a table: _row, doc_id, source, size, source_size, target. pieces: what the mix takes:
-    _row, slot, pass (0 or 1), first, last; words first..last (from 0, last excluded) of that row's text go into the slot.
+    _row, slot, pass (from 0), first, last; words first..last (from 0, last excluded) of that row's text go into the slot.
 
     A size is the number of runs without ASCII white space; null and blank texts have size 0 and give no piece. Repeated
     rows count as often as they stand there. Null sources form one source, the last. Documents are shuffled inside their
-    source by the hash of their identifier, so reruns agree. No rows give no rows. Other columns are not read.
+    source by the hash of their identifier, so reruns agree. No rows give no rows. Of other
+    columns only `other_cols` are read: they tell rows apart that are equal in identifier and text.
     """
     sizes = materialize(docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(text_col).alias("size"),
-        _own(id_col, text_col).alias("_own"),
+        _own(id_col, text_col).alias("_own"), _rest(docs, other_cols).alias("_rest"),
     ).withColumn("_row", F.monotonically_increasing_id()))
     targets = materialize(source_targets(sizes, weights, share, cap))
     known = targets.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
     rows = sizes.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    filled = rows.where("size > 0").select("_row", "doc_id", "_own", "size", "source_no", "source_size", "target")
-    placed = running_sum(filled, ["source_no"], [F.md5(F.col("doc_id").cast("string")), "doc_id", "_own"], "size", "_upto")
-    passes = placed.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+    filled = rows.where("size > 0").select("_row", "doc_id", "_own", "_rest", "size", "source_no", "source_size", "target")
+    placed = running_sum(filled, ["source_no"], [F.md5(F.col("doc_id").cast("string")), "doc_id", "_own", *(["_rest"] if other_cols else [])], "size", "_upto")
+    passes = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max(ceil(cap), 1) - 1)))).withColumn(
         "_start", F.col("_upto") - F.col("size") + F.col("pass") * F.col("source_size")
     ).where(F.col("_start") < F.round("target"))
     cut = passes.withColumn("block", F.explode(F.sequence(
@@ -153,13 +165,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A source's stream ends inside one document at most, so at most one text per source is cut; `n_chars`, where docs has
     it, is counted anew for that one. Documents without words and those beyond their source's target give no row. Rows
-    equal in identifier and text are interchangeable: one of them stands for all and is repeated as often as all are.
+    equal in all columns are interchangeable: one of them stands for all and is repeated as often as all are.
     """
-    rows, pieces = mix(docs, id_col, text_col, **settings)
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows, pieces = mix(docs, id_col, text_col, other_cols=others, **settings)
     spans = pieces.groupBy("_row", "pass").agg(F.sum(F.col("last") - F.col("first")).alias("_words"))
-    shares = rows.join(spans, "_row").select("_own", "size", "_words")
-    one = docs.select(F.struct("*").alias("doc"), _own(id_col, text_col).alias("_own")).dropDuplicates(["_own"])
-    out = one.join(shares, "_own")
+    shares = rows.join(spans, "_row").select("_own", "_rest", "size", "_words")
+    one = docs.select(F.struct("*").alias("doc"), _own(id_col, text_col).alias("_own"), _rest(docs, others).alias("_rest"))
+    out = one.dropDuplicates(["_own", "_rest"]).join(shares, ["_own", "_rest"])
     whole, text = F.col("_words") >= F.col("size"), F.col(f"doc.`{text_col}`")
     parts = F.regexp_extract_all(text.cast("string"), F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1))
     cut = F.when(whole, text).otherwise(F.array_join(F.slice(parts, 1, F.col("_words").cast("int")), ""))

@@ -123,6 +123,20 @@ def test_mixed_documents_hold_what_is_taken(odd_docs, no_docs):
     assert mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_mix_passes_follow_the_cap(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "ab"[i > 0]) for i in range(30)], "doc_id long, text string, source string")
+    rows = mixing.mixed_sizes(docs, weights=(5, 1), cap=4.5).collect()
+    assert {(r.source_size, r.target, r.taken) for r in rows if r.doc_id == 0} == {(4, 18.0, 18)}
+    assert sum(r.taken for r in rows) == 180
+
+
+def test_mix_tells_rows_with_equal_text_apart(spark):
+    rows = [(1, "a b c", s, {"n": n}) for s in ("x", "y", None) for n in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string, int>")
+    got = mixing.mixed_documents(docs, weights=(1,), share=2.0).collect()
+    assert Counter((r.source, r.more["n"]) for r in got) == {(s, n): 2 for s in ("x", "y", None) for n in (1, 2)}
+
+
 def test_schedule_interleaves_sources(spark):
     targets = spark.createDataFrame([("a", 1, 90_000, 50_000.0), ("b", 2, 90_000, 20_000.0)], "source string, source_no bigint, source_size bigint, target double")
     rows = sorted(mixing.schedule(targets, 100).collect(), key=lambda r: r.slot)
