@@ -147,6 +147,7 @@ def proofs(
         *[c.alias(n) for n, c in extra.items()],
     )
     items = ["doc_id", *extra]
+    leaves = materialize(leaves)  # ranks are taken from two passes; only the first may read texts
     groups = materialize(_climbed(rank_within(leaves, ["_tree"], ["doc_id", "_digest"], "_rank"), items))
     subroots = groups.where("_block = 0").select("_tree", F.col("_root").alias("_digest"))
     ordered = rank_within(subroots, [], ["_tree"], "_rank").withColumn("_name", F.col("_tree"))
