@@ -28,7 +28,7 @@ SCALE = 256.0
 LIMIT = 1 << 56  # components saturate here, so that coefficients fit in 64 bits
 EXACT = 1 << 27  # coefficients up to here have squared distances that fit in 64 bits
 LONG = (1 << 63) - 1
-ROWS = 4096  # vectors searched at once
+ROWS = 1024  # vectors searched at once
 
 
 def transform(x: np.ndarray) -> np.ndarray:
@@ -69,21 +69,37 @@ def _first_least(values: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np
 
 
 def _search(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums stand in a full table while most centroids are left, and in a list of what is left afterwards."""
     n, k = len(vectors), len(centroids)
-    rows, cents = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
-    sums, starts, done, best = np.zeros(n * k, vectors.dtype), np.arange(n) * k, 0, None
+    every, best, done = np.arange(n), None, 0
+    sums, rows, cents = np.zeros((n, k), vectors.dtype), None, None
     for stop in STOPS:
-        away = vectors[rows, done:stop] - centroids[cents, done:stop]
-        sums, done = sums + (away * away).sum(axis=1), stop
-        lead = _first_least(sums, starts, rows)
+        if rows is None:
+            for j in range(done, stop):
+                away = vectors[:, j, None] - centroids[:, j]
+                sums += away * away
+            lead, least = sums.argmin(axis=1), sums.min(axis=1)
+        else:
+            away = vectors[rows, done:stop] - centroids[cents, done:stop]
+            sums = sums + (away * away).sum(axis=1)
+            places = _first_least(sums, starts, rows)
+            lead, least = cents[places], sums[places]
+        done = stop
         if stop == WIDTH:
-            return cents[lead], sums[lead] // WIDTH
-        rest = vectors[:, stop:] - centroids[cents[lead], stop:]
-        full = sums[lead] + (rest * rest).sum(axis=1)
+            return lead, least // WIDTH
+        rest = vectors[:, stop:] - centroids[lead, stop:]
+        full = least + (rest * rest).sum(axis=1)
         best = full if best is None else np.minimum(best, full)
-        alive = (sums <= best[rows]).astype(bool)
-        rows, cents, sums = rows[alive], cents[alive], sums[alive]
-        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        if rows is None:
+            alive = (sums <= best[:, None]).astype(bool)
+            if 4 * np.count_nonzero(alive) > n * k:
+                continue
+            rows, cents = np.nonzero(alive)
+            sums = sums[rows, cents]
+        else:
+            alive = (sums <= best[rows]).astype(bool)
+            rows, cents, sums = rows[alive], cents[alive], sums[alive]
+        starts = np.searchsorted(rows, every)
     raise AssertionError("the last stop is the width")
 
 
