@@ -15,15 +15,16 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 
 
-def query(name: str, sql: str | None = None, ctes: str = "") -> Callable[[Query], Query]:
-    """Register a query; `sql` selects from the prelude's tables, `ctes` adds more of them."""
+def query(name: str, sql: str | None = None, ctes: str = "", recursive: bool = False) -> Callable[[Query], Query]:
+    """Register a query; `sql` selects from the prelude's tables, `ctes` adds more of them, perhaps recursive ones."""
 
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = PRELUDE + (",\n" + ctes if ctes else "") + "\n" + sql
+            prelude = PRELUDE.replace("WITH", "WITH RECURSIVE", 1) if recursive else PRELUDE
+            ORACLES[name] = prelude + (",\n" + ctes if ctes else "") + "\n" + sql
         return fn
 
     return register
