@@ -2,161 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactmill.functions.draws import hash_key
 from contactmill.operators.binning import symmetrize
+from contactmill.operators.nearest import knn, knn_join
 from contactmill.scale import quantile_within, with_totals
-from contactmill.session import materialize
-
-BLOCK_ROWS = 2048  # vectors on either side of one distance block
-MAX_PIVOTS = 1024  # pivots per part; their vectors go to every task
-_FOUND = "part LONG, cell_id LONG, neighbor LONG, distance DOUBLE"
-
-
-def _pivots(data: DataFrame, counts: dict[int, int]) -> dict[int, np.ndarray]:
-    """A reproducible sample of data vectors per part, about the square root of its size, at most MAX_PIVOTS."""
-    out = {}
-    for part, n in counts.items():
-        wanted = max(1, min(MAX_PIVOTS, int(n**0.5), -(-n // 64)))
-        chosen = data.where(F.col("part") == part).orderBy(F.xxhash64("cell_id"), "cell_id").limit(wanted)
-        out[part] = np.array([r["features"] for r in chosen.select("features").toLocalIterator()])
-    return out
-
-
-def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T, 0.0))
-
-
-def _nearest(queries: pd.DataFrame, data: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
-    """Exact k nearest of one block: a fast product finds candidates, differences give their distances."""
-    x, y = np.stack(queries["features"].to_numpy()), np.stack(data["d_features"].to_numpy())
-    qid, did = queries["cell_id"].to_numpy(), data["neighbor"].to_numpy()
-    rough = (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T
-    if exclude_self:
-        rough[qid[:, None] == did[None]] = np.inf
-    take = min(k, len(did))
-    limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-    slack = 1e-9 * (1.0 + (x**2).sum(1) + (y**2).sum(1).max())
-    near = (rough <= (limit + slack)[:, None]) & np.isfinite(rough)
-    qi, di = np.nonzero(near)
-    exact = np.sqrt(((x[qi] - y[di]) ** 2).sum(1))
-    order = np.lexsort((did[di], exact, qi))
-    qi, di, exact = qi[order], di[order], exact[order]
-    place = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
-    keep = place < k
-    return pd.DataFrame({
-        "part": int(queries["part"].iloc[0]), "cell_id": qid[qi[keep]], "neighbor": did[di[keep]], "distance": exact[keep],
-    })
-
-
-def _visit(visits: DataFrame, data: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """k nearest within the pivot group each visit names; both sides are split into blocks of bounded size."""
-    groups = ["part", "pivot"]
-    load = (
-        visits.groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("_q"))
-        .join(data.groupBy(*groups).agg(F.count(F.lit(1)).alias("_d")), groups)
-        .select(
-            *groups,
-            F.ceil(F.col("_q") / BLOCK_ROWS).alias("_chunks"),
-            F.ceil(F.col("_d") / BLOCK_ROWS).alias("_subs"),
-        )
-    )
-    spread = F.xxhash64("cell_id")
-    asked = visits.join(load, groups).select(
-        "part", "pivot", F.pmod(spread, F.col("_chunks")).alias("chunk"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_subs") - 1)).alias("sub"), "cell_id", "features",
-    )
-    held = data.join(load, groups).select(
-        "part", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("chunk"),
-        F.pmod(spread, F.col("_subs")).alias("sub"), "cell_id", "features",
-    ).toDF("d_part", "d_pivot", "d_chunk", "d_sub", "neighbor", "d_features")
-    block = ["part", "pivot", "chunk", "sub"]
-
-    def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"part": [], "cell_id": [], "neighbor": [], "distance": []})
-        return _nearest(q, d, k, exclude_self)
-
-    theirs = held.groupBy(*[f"d_{b}" for b in block])
-    return asked.groupBy(*block).cogroup(theirs).applyInPandas(search, _FOUND)
-
-
-def _top(found: DataFrame, k: int) -> DataFrame:
-    place = Window.partitionBy("part", "cell_id").orderBy("distance", "neighbor")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-
-
-def knn_join(queries: DataFrame, data: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """Exact k nearest data rows of every query row in the same part (euclidean, ties by id).
-
-    Both tables: part LONG, cell_id LONG, features ARRAY<DOUBLE>. Result: part, cell_id, neighbor, distance, rank.
-
-    Data rows belong to their nearest pivot. A first visit searches the query's own pivot group and bounds its k-th
-    distance; a second one visits only groups that a triangle inequality cannot rule out. Pairs are never emitted:
-    each block returns at most k rows per query.
-    """
-    counts = {r["part"]: r["n"] for r in data.groupBy("part").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    pivots = _pivots(data, counts)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.copy()
-            pivot, away = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf))
-            parts = pdf["part"].to_numpy()
-            for p in np.unique(parts):
-                at = np.flatnonzero(parts == p)
-                d = _to_pivots(np.stack(pdf["features"].to_numpy()[at]), pivots[p])
-                pivot[at], away[at] = d.argmin(1), d.min(1)
-            yield pdf.assign(pivot=pivot, away=away)
-
-    layout = "part LONG, cell_id LONG, features ARRAY<DOUBLE>, pivot LONG, away DOUBLE"
-    columns = ["part", "cell_id", "features"]
-    held = materialize(data.select(F.col("part").cast("long").alias("part"), *columns[1:]).mapInPandas(assign, layout))
-    same = queries is data
-    asked = held if same else materialize(
-        queries.select(F.col("part").cast("long").alias("part"), *columns[1:])
-        .where(F.col("part").isin(list(counts)))
-        .mapInPandas(assign, layout)
-    )
-    first = materialize(_visit(asked.select(*columns, "pivot"), held, k, exclude_self))
-    bounds = first.groupBy("part", "cell_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound")
-    )
-    radius = {
-        (r["part"], r["pivot"]): r["radius"]
-        for r in held.groupBy("part", "pivot").agg(F.max("away").alias("radius")).toLocalIterator()  # one row per pivot
-    }
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, part in pdf.groupby("part"):
-                d = _to_pivots(np.stack(part["features"].to_numpy()), pivots[int(p)])
-                reach = np.array([radius.get((int(p), j), -np.inf) for j in range(len(pivots[int(p)]))])
-                bound = part["bound"].fillna(np.inf).to_numpy()
-                need = d - reach[None] <= bound[:, None] + 1e-6
-                need[:, np.isneginf(reach)] = False
-                need[np.arange(len(part)), part["pivot"].to_numpy()] = False
-                row, pivot = np.nonzero(need)
-                chosen = part.iloc[row]
-                yield chosen[columns].assign(pivot=pivot.astype(np.int64))
-
-    wider = asked.join(bounds, ["part", "cell_id"], "left").select(*columns, "pivot", "bound")
-    visits = materialize(wider.mapInPandas(plan, "part LONG, cell_id LONG, features ARRAY<DOUBLE>, pivot LONG"))
-    second = _visit(visits, held, k, exclude_self)
-    return _top(first.unionByName(second), k)
-
-
-def knn(points: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """k nearest other cells of every cell; points: cell_id, features (and part, to keep several sets apart)."""
-    keyed = points if "part" in points.columns else points.withColumn("part", F.lit(0).cast("long"))
-    return knn_join(keyed, keyed, k, exclude_self)
+from contactmill.session import materialize, materialize_layout
 
 
 def bandwidths(neighbors: DataFrame, nth: int) -> DataFrame:
@@ -305,20 +158,18 @@ def coincident_edges(points: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0) -> DataFrame:
     """Communities of a weighted symmetric edge table (i, j, w) by modularity: node, label.
 
-    Every node starts alone. Nodes move to the neighbouring label of largest gain until modularity stops rising; then the
-    labels become the nodes of a smaller graph, and so on until a level brings no gain. Nodes without an edge to another
+    Every node starts alone. Nodes move to the neighbouring label of largest gain until no node gains by a move; then the
+    labels become the nodes of a smaller graph, and so on until no node of a level moves. Nodes without an edge to another
     one, such as those that only stand in a loop (i, i), keep a label of their own.
     """
     nodes = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct()
     placed = materialize(nodes.withColumn("label", F.col("node")))
     level = materialize(edges.where(F.col("i") != F.col("j")).select("i", "j", "w"))
     total = level.agg(F.sum("w")).first()[0] or 0.0
-    score = float("-inf")
     while total > 0:
-        labels, reached = _moved(level, total, resolution, seed)
-        if reached <= score + 1e-4:
+        labels = _moved(level, total, resolution, seed)
+        if labels is None:
             break
-        score = reached
         to = labels.select(F.col("node").alias("label"), F.col("label").alias("_to"))
         placed = materialize(placed.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
         for side in ("i", "j"):
@@ -327,45 +178,73 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0) -> Dat
     return placed
 
 
-def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> tuple[DataFrame, float]:
-    """(labels (node, label, k), modularity) after local moves; loops (i, i) count into the strength k of a node.
+_NOISE = 1e-12  # of a node's strength: gains below it are rounding
+LAST_MOVERS = 50
+
+
+def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> DataFrame | None:
+    """Labels (node, label) after local moves, or None where no node gains by one; loops (i, i) count into strengths.
 
-    In each round half of the nodes, drawn by a hash, move. Rounds end when two in a row bring next to nothing.
+    In each round the gaining nodes of one half, drawn by a hash, move; gaining nodes of the other half wait for the next.
+    Once few move, only nodes that moved, waited, or have a neighbour that moved are looked at again: nothing changed for the
+    others but volumes. Weights to the own label, kept per node, and volumes give the modularity of each round without another
+    look at the edges. A level is over when at most one node in LAST_MOVERS still gains, whatever the size of the graph:
+    labels go on to move as nodes of the next level, and only a level on which no node gains at all is the last. Four rounds
+    in a row that do not raise modularity end a level, too (moves at the same time can undo each other).
     """
+    spark = edges.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    loops = edges.where(F.col("i") == F.col("j")).agg(F.sum("w")).first()[0] or 0.0
+    links = materialize_layout(edges.where(F.col("i") != F.col("j")).repartition(width, "i"))
     strength = edges.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("k"))
-    labels = materialize(strength.select("node", F.col("node").alias("label"), "k"))
-    best, best_score, idle, step = labels, modularity(edges, labels, total, resolution), 0, 0
-    while idle < 2:
-        sizes = labels.groupBy("label").agg(F.sum("k").alias("volume"))
+    state = materialize(strength.select("node", F.col("node").alias("label"), "k", F.lit(0.0).alias("own")))
+    best, best_score, idle, step, active = None, float("-inf"), 0, 0, None
+    while True:
+        volumes = state.groupBy("label").agg(F.sum("k").alias("volume"))
+        seen = links if active is None else links.join(active, "i", "left_semi")
         reach = (
-            edges.where(F.col("i") != F.col("j"))
-            .join(labels.select(F.col("node").alias("j"), "label"), "j")
-            .groupBy(F.col("i").alias("node"), "label")
-            .agg(F.sum("w").alias("to"))
-        )
-        own = labels.select("node", F.col("label").alias("own"), "k")
+            seen.join(state.select(F.col("node").alias("j"), "label"), "j")
+            .groupBy(F.col("i").alias("node"), "label").agg(F.sum("w").alias("to"))
+        )
+        mine = state.select("node", F.col("label").alias("_l"), "k")
         # the node itself does not count into the volume of its own label
-        volume = F.col("volume") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
-        gain = F.col("to") - F.lit(resolution) * F.col("k") * volume / F.lit(total)
-        stay = F.struct(gain.alias("gain"), (F.col("label") == F.col("own")).alias("stays"), (-F.col("label")).alias("l"))
-        choice = (
-            reach.join(own, "node")
-            .join(sizes, "label")
-            .groupBy("node")
-            .agg(F.max_by("label", stay).alias("to_label"), F.max(gain).alias("gain"))
+        held = F.col("volume") - F.when(F.col("label") == F.col("_l"), F.col("k")).otherwise(F.lit(0.0))
+        gain = F.col("to") - F.lit(resolution) * F.col("k") * held / F.lit(total)
+        offers = reach.join(mine, "node").join(volumes, "label").withColumn("gain", gain)
+        choice = offers.groupBy("node").agg(
+            F.max(F.when(F.col("label") != F.col("_l"), F.struct("gain", (-F.col("label")).alias("l")))).alias("_best"),
+            F.max(F.when(F.col("label") == F.col("_l"), F.col("to"))).alias("_to"),
         )
-        turn = hash_key(F.col("node"), F.lit(step).cast("long"), seed=seed) % 2 == 0
-        labels = materialize(labels.join(choice, "node", "left").select(
-            "node",
-            F.when(turn & (F.col("gain") > 0), F.coalesce("to_label", "label")).otherwise(F.col("label")).alias("label"),
-            "k",
-        ))
-        score = modularity(edges, labels, total, resolution)
-        idle = 0 if score > best_score + 1e-4 else idle + 1
+        own = F.when(F.col("_seen"), F.coalesce("_to", F.lit(0.0))).otherwise(F.col("own"))
+        stay = own - F.lit(resolution) * F.col("k") * (F.col("volume") - F.col("k")) / F.lit(total)
+        gains = F.col("_seen") & (F.col("_best.gain") > stay + F.col("k") * _NOISE)
+        turn = hash_key(F.col("node"), F.lit(step // 2).cast("long"), seed=seed) % 2 == step % 2
+        looked = state.join(choice.withColumn("_seen", F.lit(True)), "node", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+        result = materialize(
+            looked.join(volumes, "label").withColumn("_gains", F.coalesce(gains, F.lit(False))).select(
+                "node", "label", "k", own.alias("own"), (F.col("_gains") & turn).alias("moved"), (F.col("_gains") & ~turn).alias("waits"),
+                F.when(F.col("_gains") & turn, -F.col("_best.l")).otherwise(F.col("label")).alias("to"),
+            )
+        )
+        sums = result.groupBy("label").agg(
+            F.sum("k").alias("v"), F.sum("own").alias("o"), F.count_if("moved").alias("m"), F.count_if("waits").alias("w"),
+            F.count(F.lit(1)).alias("n"),
+        ).agg(F.sum(F.col("v") * F.col("v")), F.sum("o"), F.sum("m"), F.sum("w"), F.sum("n")).first()
+        score = (sums[1] + loops) / total - resolution * sums[0] / (total * total)
         if score > best_score:
-            best, best_score = labels, score
-        step += 1
-    return best, best_score
+            # the labels of the first round are the nodes themselves
+            best, best_score, idle = result.select("node", "label") if best_score > float("-inf") else None, score, 0
+        else:
+            idle += 1
+        gaining, moved = sums[2] + sums[3], sums[2]
+        if gaining == 0 or idle >= 4 or (step > 1 and gaining * LAST_MOVERS <= sums[4] and best is not None):
+            break
+        active = None
+        if moved * 8 < sums[4]:
+            touched = links.join(result.where("moved").select(F.col("node").alias("j")), "j", "left_semi").select("i")
+            active = touched.union(result.where("moved OR waits").select("node")).distinct()
+        state, step = result.select("node", F.col("to").alias("label"), "k", "own"), step + 1
+    return best
 
 
 def modularity(edges: DataFrame, labels: DataFrame, total: float, resolution: float = 1.0) -> float:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactmill import scale
-from contactmill.operators import graph
+from contactmill.operators import graph, nearest
 
 
 @pytest.fixture(scope="module")
@@ -44,24 +44,79 @@ def test_running_sum_and_mean_ranks(spark, skewed):
         assert ranks[(g, v)] == part["r"].iloc[0]
 
 
-@pytest.mark.parametrize("block", [40, 2048])
-def test_nearest_neighbours_are_exact(spark, monkeypatch, block):
-    """A third of the points sit in one tight cluster; small blocks force splits on both sides."""
-    monkeypatch.setattr(graph, "BLOCK_ROWS", block)
+def brute_neighbours(queries, data, k, same):
+    """(query, rank) -> (neighbour, distance) by all distances; ids are row numbers."""
+    d = np.sqrt(((queries[:, None] - data[None]) ** 2).sum(-1))
+    if same:
+        np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return near, np.take_along_axis(d, near, axis=1)
+
+
+def vectors(spark, x, part=None):
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "cell_id LONG, features ARRAY<DOUBLE>").repartition(4)
+    return df if part is None else df.withColumn("part", F.lit(part).cast("long"))
+
+
+def same_neighbours(got, near, far):
+    got = got.toPandas().sort_values(["cell_id", "rank"])
+    assert (got.groupby("cell_id").size() == near.shape[1]).all()
+    assert got["cell_id"].nunique() == len(near)
+    assert np.allclose(got["distance"].to_numpy().reshape(near.shape), far)
+    assert (got["neighbor"].to_numpy().reshape(near.shape) == near).all()
+
+
+@pytest.mark.parametrize("leaf, fan, room", [(2048, 32, 64 << 20), (40, 4, 64 << 20), (12, 3, 0)])
+def test_nearest_neighbours_are_exact(spark, monkeypatch, leaf, fan, room):
+    """A third of the points sit in one tight cluster; small leaves force levels, no room for pivots forces the join."""
+    monkeypatch.setattr(nearest, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(nearest, "FAN", fan)
+    monkeypatch.setattr(nearest, "PIVOT_BYTES", room)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 5)) * 3
     x[:140] = 8 + 0.01 * rng.normal(size=(140, 5))
     x[200] = x[201]
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "cell_id LONG, features ARRAY<DOUBLE>")
-    got = graph.knn(df, 6).toPandas()
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    assert len(got) == 2400
-    for i, part in got.groupby("cell_id"):
-        order = np.lexsort((np.arange(400), d[i]))[:6]
-        part = part.sort_values("rank")
-        assert np.allclose(part["distance"], d[i][order])
-        assert part["neighbor"].tolist() == order.tolist()
+    report = {}
+    same_neighbours(graph.knn(vectors(spark, x), 6, report=report), *brute_neighbours(x, x, 6, True))
+    assert report["queries"] == 400 and (report["visits"] == 400) == (leaf == 2048)
+    asked = rng.normal(size=(90, 5)) * 4
+    found = graph.knn_join(vectors(spark, asked, 0), vectors(spark, x, 0), 3, exclude_self=False)
+    same_neighbours(found, *brute_neighbours(asked, x, 3, False))
+
+
+def test_crowds_of_equal_vectors(spark, monkeypatch):
+    """A third of all rows share one vector, more than a leaf takes; they are answered without a search."""
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 30)
+    monkeypatch.setattr(nearest, "FAN", 4)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    x[rng.choice(300, 100, replace=False)] = 0.25
+    same_neighbours(graph.knn(vectors(spark, x), 5), *brute_neighbours(x, x, 5, True))
+    asked = np.vstack([x[:20], np.full((3, 4), 0.25)])
+    found = graph.knn_join(vectors(spark, asked, 0), vectors(spark, x, 0), 5, exclude_self=False)
+    same_neighbours(found, *brute_neighbours(asked, x, 5, False))
+
+
+def test_twenty_thousand_points_in_fifty_dimensions(spark):
+    """Exact beyond one leaf, in clusters as cells are; most of about 32 leaves are ruled out."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 50)) * 4
+    x = centres[rng.integers(0, 40, 20_000)] + 0.3 * rng.normal(size=(20_000, 50))
+    df = spark.createDataFrame(pd.DataFrame({"cell_id": np.arange(len(x)), "features": list(x)}))
+    report = {}
+    got = graph.knn(df, 14, report=report).toPandas().sort_values(["cell_id", "rank"])
+    near, far = np.zeros((len(x), 14), int), np.zeros((len(x), 14))
+    for a in range(0, len(x), 1000):
+        rough = (x[a : a + 1000] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[a : a + 1000] @ x.T
+        rough[np.arange(1000), np.arange(a, a + 1000)] = np.inf
+        few = np.argpartition(rough, 30, axis=1)[:, :30]
+        exact = np.sqrt(((x[a : a + 1000, None] - x[few]) ** 2).sum(-1))
+        order = np.lexsort((few, exact), axis=1)[:, :14]
+        near[a : a + 1000], far[a : a + 1000] = np.take_along_axis(few, order, 1), np.take_along_axis(exact, order, 1)
+    assert (got["neighbor"].to_numpy().reshape(near.shape) == near).all()
+    assert np.allclose(got["distance"].to_numpy().reshape(far.shape), far)
+    assert report["visits"] / report["queries"] < 16, report
 
 
 def test_communities_find_two_cliques(spark):
