@@ -16,12 +16,14 @@ KEY_MODULUS = 2147483648
 
 def hash_key(*keys: Column, seed: int = 0) -> Column:
     """A 32-bit number per key tuple, well spread and order dependent."""
-    mixed = reduce(
-        lambda acc, key: F.pmod((acc + F.pmod(key, F.lit(KEY_MODULUS))), F.lit(KEY_MODULUS)) * MULTIPLIER % MODULUS,
-        keys,
-        F.lit(seed).cast("long"),
+    return hash_further(F.lit(seed).cast("long"), *keys)
+
+
+def hash_further(start: Column, *keys: Column) -> Column:
+    """hash_key of longer tuples from the hash of their common beginning."""
+    return reduce(
+        lambda acc, key: F.pmod((acc + F.pmod(key, F.lit(KEY_MODULUS))), F.lit(KEY_MODULUS)) * MULTIPLIER % MODULUS, keys, start
     )
-    return mixed
 
 
 def hash_key_sql(*keys: str, seed: int = 0) -> str:

@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactmill.functions.draws import hash_key, unit_draw
+from contactmill.functions.draws import MODULUS, hash_further, hash_key, unit_draw
 from contactmill.genome import Genome
 from contactmill.operators.binning import symmetrize
 from contactmill.scale import rank_within
-from contactmill.session import materialize
+from contactmill.session import materialize, materialize_layout
 
 EDGE = ["cell_id", "chrom_ord", "bin1", "bin2"]
 
@@ -81,6 +81,24 @@ def near_contacts(candidates: DataFrame, pixels: DataFrame, n: Column) -> DataFr
     return hit.select(*candidates.columns).distinct()
 
 
+def forbidden(pixels: DataFrame, n: Column, max_bin: int) -> DataFrame:
+    """Every (cell_id, chrom_ord, bin1, bin2) with 1 < bin2 - bin1 < max_bin that has a stored contact within its 3x3
+    neighbourhood, once. Contacts in the last bin of a chromosome forbid nothing.
+
+    Stored contacts are upper-triangle: mirrored ones reach no further than the diagonal band that is left out anyway.
+    """
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    spots = F.array(*[F.struct((F.col("bin1") + i).alias("bin1"), (F.col("bin2") + j).alias("bin2")) for i, j in steps])
+    reached = pixels.where((F.col("bin1") < n - 1) & (F.col("bin2") < n - 1)).select(*EDGE).distinct()
+    wide = reached.select("cell_id", "chrom_ord", F.inline(spots)).where(F.col("bin1") >= 0)
+    return wide.where(_in_band(max_bin)).distinct()
+
+
+def _in_band(max_bin: int) -> Column:
+    span = F.col("bin2") - F.col("bin1")
+    return (span > 1) & (span < max_bin)
+
+
 def negatives(
     positives: DataFrame,
     pixels: DataFrame,
@@ -97,67 +115,74 @@ def negatives(
 
     A draw below pair_ratio changes one node, else all three; accepted triples have 1 < bin2 - bin1 < max_bin and no
     contact within their 3x3 neighbourhood. Each slot takes its first accepted try of `tries`; a slot whose tries all
-    fail gives none. Slots try in rounds, one try first and then twice as many as before; only slots still open go on,
-    so most slots cost one short row.
+    fail gives none. Contacts are widened once to all triples they forbid. Slots try in rounds, one try first and then
+    twice as many as before; a try is one row and one anti join, and only slots still open go on. What a try draws follows
+    from its slot and number, so rounds pass on numbers only.
     """
     n = genome.n_bins(F.col("chrom_ord"), resolution)
-    slots = positives.select(*EDGE).select(
+    blocked = materialize_layout(forbidden(pixels, n, max_bin).repartition(*EDGE))
+    slots = positives.select(*[F.col(c).alias(f"of_{c}") for c in EDGE]).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1))).alias("slot")
     )
-    keys = ["of_cell_id", "of_bin1", "of_bin2", "chrom_ord", "slot"]
-    open_slots, done, first_try, width = materialize(slots), [], 1, 1
+
+    base = hash_key(*[F.col(c).cast("long") for c in (*[f"of_{c}" for c in EDGE], "slot")], seed=seed)
+
+    def drawn(table: DataFrame) -> DataFrame:
+        return _drawn(table, n, n_cells, max_bin, pair_ratio)
+
+    open_slots = materialize(slots.withColumns({"_slot": F.monotonically_increasing_id(), "_base": base}))
+    done, first_try, width = [], 1, 1
     while first_try <= tries:
         last = min(tries, first_try + width - 1)
-        made = _tried(open_slots, n, n_cells, max_bin, pair_ratio, seed, first_try, last)
-        # one row per distinct candidate meets the contacts, however many slots drew it
-        taken = near_contacts(made.select(*EDGE).distinct(), pixels, n)
-        first = F.min_by(F.struct("cell_id", "bin1", "bin2"), "attempt")
-        free = materialize(made.join(taken, EDGE, "left_anti").groupBy(*keys).agg(first.alias("_e")))
-        done.append(free)
+        made = drawn(open_slots.withColumn("attempt", F.explode(F.sequence(F.lit(first_try), F.lit(last)))))
+        free = made.where(_in_band(max_bin)).select("_slot", "attempt", *EDGE).join(blocked, EDGE, "left_anti")
+        found = free.groupBy("_slot").agg(F.min("attempt").alias("attempt"))
+        tried = materialize(open_slots.join(found, "_slot", "left"))
+        done.append(tried.where(F.col("attempt").isNotNull()))
+        open_slots = tried.where(F.col("attempt").isNull()).drop("attempt")
         first_try, width = last + 1, width * 2
-        if first_try > tries:
-            break
-        filled = free.select("chrom_ord", "slot", *[F.col(f"of_{c}").alias(c) for c in ("cell_id", "bin1", "bin2")])
-        open_slots = materialize(open_slots.join(filled, [*EDGE, "slot"], "left_anti"))
         if open_slots.isEmpty():
             break
-    return reduce(DataFrame.unionByName, done).select(
-        *keys, F.col("_e.cell_id").alias("cell_id"), F.col("_e.bin1").alias("bin1"), F.col("_e.bin2").alias("bin2")
+    return drawn(reduce(DataFrame.unionByName, done)).select(
+        "of_cell_id", "of_bin1", "of_bin2", "chrom_ord", "slot", "cell_id", "bin1", "bin2"
     )
 
 
-def _tried(
-    slots: DataFrame, n: Column, n_cells: int, max_bin: int, pair_ratio: float, seed: int, first: int, last: int
-) -> DataFrame:
-    """The corrupted triples of tries first..last of every slot that keep to the distance band."""
-    base = [F.col(c).cast("long") for c in (*EDGE, "slot")]
-    change = hash_key(*base, F.lit(1).cast("long"), seed=seed) % 3
-    easy = unit_draw(*base, F.lit(2).cast("long"), seed=seed) <= pair_ratio
-    drawn = slots.withColumns({"change": change, "one_node": easy}).select(
-        "*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("attempt")
-    )
-    step = [*base, F.col("attempt").cast("long")]
+def _drawn(slots: DataFrame, n: Column, n_cells: int, max_bin: int, pair_ratio: float) -> DataFrame:
+    """slots (of_cell_id, of_chrom_ord, of_bin1, of_bin2, slot, _base, attempt) with the triple that this try draws.
+
+    _base hashes what a slot is; draws go on from it, so each costs one step.
+    """
+
+    def long(number: int) -> Column:
+        return F.lit(number).cast("long")
+
+    def fixed(**values: Column) -> Column:
+        """Columns that later steps read instead of repeating the arithmetic behind them."""
+        return F.inline(F.array(F.struct(*[v.alias(name) for name, v in values.items()])))
 
     def pick(salt: int, low: Column, high: Column) -> Column:
         """An id in [low, high)."""
-        return low + F.floor(unit_draw(*step, F.lit(salt).cast("long"), seed=seed) * (high - low)).cast("long")
-
-    zero = F.lit(0).cast("long")
-    any_cell = pick(3, zero, F.lit(n_cells).cast("long"))
-    new1 = pick(4, F.greatest(zero, F.col("bin2") - max_bin), F.least(n, F.col("bin2") + max_bin))
-    new2 = pick(5, F.greatest(zero, F.col("bin2") - max_bin), F.least(n, F.col("bin2") + max_bin))
-    tries = drawn.withColumn("_all1", pick(6, zero, n))
-    all2 = pick(7, F.greatest(zero, F.col("_all1") - max_bin), F.least(n, F.col("_all1") + max_bin))
-    one = F.col("one_node")
-    cell = F.when(one & (F.col("change") != 0), F.col("cell_id")).otherwise(any_cell)
-    b1 = F.when(one, F.when(F.col("change") == 1, new1).otherwise(F.col("bin1"))).otherwise(F.col("_all1"))
-    b2 = F.when(one, F.when(F.col("change") == 2, new2).otherwise(F.col("bin2"))).otherwise(all2)
-    made = tries.select(
-        *[F.col(c).alias(f"of_{c}") for c in ("cell_id", "bin1", "bin2")], "chrom_ord", "slot", "attempt",
-        cell.alias("cell_id"), F.least(b1, b2).alias("bin1"), F.greatest(b1, b2).alias("bin2"),
-    )
-    span = F.col("bin2") - F.col("bin1")
-    return made.where((span > 1) & (span < max_bin))
+        draw = hash_further(F.col("_try"), long(salt)) / F.lit(float(MODULUS))
+        return low + F.floor(draw * (high - low)).cast("long")
+
+    change = hash_further(F.col("_base"), long(1)) % 3
+    easy = hash_further(F.col("_base"), long(2)) / F.lit(float(MODULUS)) <= pair_ratio
+    zero, of2, kept = long(0), F.col("of_bin2"), slots.columns
+    tries = slots.withColumn("chrom_ord", F.col("of_chrom_ord")).select(
+        *kept, "chrom_ord", fixed(_change=change, _one=easy, _try=hash_further(F.col("_base"), F.col("attempt").cast("long")))
+    )
+    low, high = F.greatest(zero, of2 - max_bin), F.least(n, of2 + max_bin)
+    tries = tries.select("*", fixed(
+        _cell=pick(3, zero, long(n_cells)), _new1=pick(4, low, high), _new2=pick(5, low, high), _all1=pick(6, zero, n)
+    ))
+    around = F.greatest(zero, F.col("_all1") - max_bin), F.least(n, F.col("_all1") + max_bin)
+    tries = tries.select("*", fixed(_all2=pick(7, *around)))
+    one = F.col("_one")
+    cell = F.when(one & (F.col("_change") != 0), F.col("of_cell_id")).otherwise(F.col("_cell"))
+    b1 = F.when(one, F.when(F.col("_change") == 1, F.col("_new1")).otherwise(F.col("of_bin1"))).otherwise(F.col("_all1"))
+    b2 = F.when(one, F.when(F.col("_change") == 2, F.col("_new2")).otherwise(of2)).otherwise(F.col("_all2"))
+    return tries.select(*kept, "chrom_ord", cell.alias("cell_id"), F.least(b1, b2).alias("bin1"), F.greatest(b1, b2).alias("bin2"))
 
 
 def negatives_per_positive(n_edges: Column, n_cells: Column, genome: Genome, resolution: int) -> Column:
