@@ -16,15 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.functions.vectors import array_sum, scaled
-from contactmill.session import materialize
+from contactmill.operators.tiles import check_gram_size, components, randomized_svd
 
-MAX_GRAM_BYTES = 2 << 30
-
-
-def check_gram_size(groups: int, width: int) -> None:
-    """Refuse component counts whose Gram matrices the driver cannot hold."""
-    if groups * width * width * 8 > MAX_GRAM_BYTES:
-        raise ValueError(f"{groups} Gram matrices of width {width} exceed {MAX_GRAM_BYTES} bytes; use fewer components")
+EXACT_WIDTH = 4096  # columns up to which the whole covariance goes to the driver
 
 
 def gram(df: DataFrame, key: str, left: str, right: str) -> dict[int, np.ndarray]:
@@ -48,112 +42,6 @@ def gram(df: DataFrame, key: str, left: str, right: str) -> dict[int, np.ndarray
     return {k: np.array([m[i] for i in sorted(m)]) for k, m in found.items()}
 
 
-def right_multiply(df: DataFrame, key: str, column: str, by: dict[int, np.ndarray]) -> DataFrame:
-    """Replace each row's array x by x @ by[key]."""
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.copy()
-            out = np.empty(len(pdf), dtype=object)
-            keys = pdf[key].to_numpy()
-            for k in np.unique(keys):
-                at = np.flatnonzero(keys == k)
-                product = np.stack(pdf[column].to_numpy()[at]) @ by[int(k)]
-                for i, row in zip(at, product):
-                    out[i] = row
-            pdf[column] = out
-            yield pdf
-
-    return df.mapInPandas(apply, df.schema)
-
-
-def _orthonormalizer(g: np.ndarray) -> np.ndarray:
-    """W with (Y W)^T (Y W) = I on the range of Y, given Y^T Y; zero columns where Y has no direction left."""
-    values, vectors = np.linalg.eigh((g + g.T) / 2)
-    good = values > max(values.max(), 0.0) * 1e-13
-    inv = np.where(good, 1.0 / np.sqrt(np.where(good, values, 1.0)), 0.0)
-    return vectors * inv
-
-
-def _gaussian_row(width: int, *keys: str) -> Column:
-    """A reproducible Gaussian vector per key tuple (Box-Muller on 64-bit hashes)."""
-
-    def draw(i: Column, salt: int) -> Column:
-        return (F.pmod(F.xxhash64(*keys, i, F.lit(salt)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(width)),
-        lambda i: F.sqrt(-2 * F.log(draw(i, 1))) * F.cos(2 * np.pi * draw(i, 2)),
-    )
-
-
-def randomized_svd(
-    entries: DataFrame,
-    rows: DataFrame,
-    rank: int,
-    fit_rows: DataFrame | None = None,
-    center: bool = False,
-    oversample: int = 10,
-    n_iter: int = 2,
-) -> DataFrame:
-    """Scores A V of truncated singular value decompositions, one per `part`, computed together.
-
-    entries: part, row, col, value (sparse). rows: part, row for every row to report. fit_rows: the rows V is fitted
-    on (all when absent). center: subtract column means, as a principal component analysis does; the subtraction
-    happens on the projected rows, so A stays sparse. Result: part, row, scores (by falling singular value).
-    """
-    width = rank + oversample
-    parts = rows.select("part").distinct().count()
-    check_gram_size(parts, width)
-    keyed = materialize(entries.select("part", "row", "col", "value"))  # read in every pass below
-    fitted_rows = rows if fit_rows is None else fit_rows
-    train = keyed if fit_rows is None else keyed.join(fit_rows, ["part", "row"], "left_semi")
-
-    def gather(by: DataFrame) -> DataFrame:
-        """A X for X given per column."""
-        product = train.join(by, ["part", "col"]).groupBy("part", "row")
-        return complete(product.agg(array_sum(scaled(F.col("x"), F.col("value"))).alias("y")))
-
-    def complete(y: DataFrame) -> DataFrame:
-        zero = F.array_repeat(F.lit(0.0), width)
-        full = fitted_rows.join(y, ["part", "row"], "left").withColumn("y", F.coalesce("y", zero))
-        if not center:
-            return full
-        means = full.groupBy("part").agg(vector_to_array(Summarizer.mean(array_to_vector("y"))).alias("_m"))
-        shifted = full.join(means, "part")
-        return shifted.withColumn("y", F.zip_with("y", "_m", lambda a, b: a - b)).drop("_m")
-
-    def orthonormal(y: DataFrame) -> DataFrame:
-        y = materialize(y)
-        grams = gram(y, "part", "y", "y")
-        return right_multiply(y, "part", "y", {k: _orthonormalizer(g) for k, g in grams.items()})
-
-    def scatter(q: DataFrame) -> DataFrame:
-        """A^T Q per column."""
-        product = train.join(q, ["part", "row"]).groupBy("part", "col")
-        return product.agg(array_sum(scaled(F.col("y"), F.col("value"))).alias("x"))
-
-    start = train.withColumn("x", _gaussian_row(width, "part", "col"))
-    q = orthonormal(complete(start.groupBy("part", "row").agg(array_sum(scaled(F.col("x"), F.col("value"))).alias("y"))))
-    for _ in range(n_iter):
-        q = orthonormal(gather(scatter(q)))
-    b = materialize(scatter(q))
-    turn = {}
-    for k, g in gram(b, "part", "x", "x").items():
-        values, vectors = np.linalg.eigh((g + g.T) / 2)
-        order = np.argsort(values)[::-1][:rank]
-        safe = np.where(values[order] > max(values.max(), 0.0) * 1e-13, values[order], np.inf)
-        turn[k] = vectors[:, order] / np.sqrt(safe)
-    v = right_multiply(b, "part", "x", turn)
-    scores = keyed.join(v, ["part", "col"]).groupBy("part", "row").agg(array_sum(scaled(F.col("x"), F.col("value"))).alias("y"))
-    zero = F.array_repeat(F.lit(0.0), rank)
-    out = rows.join(scores, ["part", "row"], "left").withColumn("y", F.coalesce("y", zero))
-    if center:
-        means = out.groupBy("part").agg(vector_to_array(Summarizer.mean(array_to_vector("y"))).alias("_m"))
-        out = out.join(means, "part").withColumn("y", F.zip_with("y", "_m", lambda a, b: a - b)).drop("_m")
-    return out.withColumnRenamed("y", "scores")
-
-
 def concat_blocks(blocks: DataFrame, row: str, order: Sequence[str], column: str) -> DataFrame:
     """Arrays of one row joined end to end in the order of `order` (as many blocks as the genome has parts)."""
     packed = F.array_sort(F.collect_list(F.struct(*order, column)))
@@ -200,9 +88,18 @@ def standardize_all(df: DataFrame, column: str = "features") -> DataFrame:
 def principal_components(
     df: DataFrame, keep: int | float, column: str = "features", key: str = "cell_id"
 ) -> DataFrame:
-    """Centred projection on the leading components: a number of them, or as many as exceed a variance share."""
+    """Centred projection on the leading components: a number of them, or as many as exceed a variance share.
+
+    Wide rows are decomposed in tiles, without a covariance of all columns.
+    """
     width = df.select(F.max(F.size(column))).first()[0]
-    check_gram_size(1, width)
+    if width > EXACT_WIDTH:
+        one = F.lit(0).cast("long").alias("part")
+        keyed = df.select(F.xxhash64(key).alias("row"), F.col(key), column)
+        entries = keyed.select(one, "row", F.posexplode(column).alias("col", "value")).where(F.col("value") != 0)
+        rows = keyed.select(one, "row")
+        found = components(entries.withColumn("col", F.col("col").cast("long")), rows, keep).select("row", F.col("scores").alias(column))
+        return keyed.select("row", key).join(found, "row").select(key, column)
     mean, _ = column_moments(df, column)
     centred = df.withColumn("_mean", mean).select(
         key, array_to_vector(F.zip_with(column, "_mean", lambda x, m: x - m)).alias("_v")

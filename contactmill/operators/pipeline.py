@@ -6,18 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.functions.vectors import dot, squared_distance
-from contactmill.genome import Genome, bin_table
+from contactmill.genome import Genome
 from contactmill.operators import features, insulation, linalg, stats
 from contactmill.operators.binning import symmetrize
 from contactmill.session import materialize
 
 
-def _trimmed(scores: DataFrame, ranks: list[int], part_of) -> DataFrame:
-    """Keep each part's own number of leading components."""
-    own = F.element_at(F.array(*[F.lit(r) for r in ranks]), part_of + 1)
-    return scores.withColumn("scores", F.slice("scores", F.lit(1), own))
-
-
 def chromosome_embedding(
     entries: DataFrame,
     cells: DataFrame,
@@ -64,9 +58,8 @@ def chromosome_embedding(
             F.col("cell_id").alias("row"),
         )
         fit_rows = rows.join(skip, ["part", "row"], "left_anti")
-    scores = linalg.randomized_svd(keyed, rows, max(ranks), fit_rows)
-    trimmed = _trimmed(scores, ranks, F.col("part").cast("int"))
-    return linalg.concat_blocks(trimmed.withColumnRenamed("row", "cell_id"), "cell_id", ["part"], "scores")
+    scores = linalg.randomized_svd(keyed, rows, dict(enumerate(ranks)), fit_rows)
+    return linalg.concat_blocks(scores.withColumnRenamed("row", "cell_id"), "cell_id", ["part"], "scores")
 
 
 def cell_features(
@@ -116,35 +109,28 @@ def top_percent_embedding(
     ranks = [max(1, chrom_rank or int(min(n_cells, b * b) * 0.2) - 1) for b in genome.bins(resolution)]
     parts = F.sequence(F.lit(0).cast("long"), F.lit(len(ranks) - 1).cast("long"))
     rows = cells.select(F.explode(parts).alias("part"), F.col("cell_id").alias("row"))
-    scores = linalg.randomized_svd(keyed, rows, max(ranks), center=True)
-    trimmed = _trimmed(scores, ranks, F.col("part").cast("int"))
-    joined = linalg.concat_blocks(trimmed.withColumnRenamed("row", "cell_id"), "cell_id", ["part"], "scores")
+    scores = linalg.randomized_svd(keyed, rows, dict(enumerate(ranks)), center=True)
+    joined = linalg.concat_blocks(scores.withColumnRenamed("row", "cell_id"), "cell_id", ["part"], "scores")
     return linalg.principal_components(joined, dim)
 
 
 def signal_embedding(signals: DataFrame, cells: DataFrame, genome: Genome, resolution: int) -> DataFrame:
     """Co-assay tracks, each standardised over all its entries with gaps at 0, joined and reduced to 0.8 of the
-    smaller side. `signals`: signal, cell_id, chrom_ord, bin, value."""
-    n = F.count("value")
-    moments = signals.groupBy("signal").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), n.alias("_n"))
-    scaled = signals.join(F.broadcast(moments.drop("_n")), "signal").select(  # one row per track
-        "signal", "cell_id", "chrom_ord", "bin",
-        F.coalesce(F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")), F.lit(0.0)).alias("value"),
-    )
-    names = signals.select("signal").distinct()
-    bins = bin_table(signals.sparkSession, genome, resolution).select("chrom_ord", "bin")
-    axis = names.agg(F.collect_set("signal")).scalar()
-    grid = bins.select("chrom_ord", "bin", F.explode(axis).alias("signal"))
-    slots = grid.agg(F.array_sort(F.collect_list(F.struct("chrom_ord", "signal", "bin")))).scalar()  # genome x tracks
-    filled = scaled.groupBy("cell_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.struct("chrom_ord", "signal", "bin"), "value"))).alias("_v")
-    )
-    wide = cells.join(filled, "cell_id", "left").withColumn("_slots", slots).select(
-        "cell_id",
-        F.transform("_slots", lambda s: F.coalesce(F.try_element_at("_v", s), F.lit(0.0))).alias("features"),
+    smaller side. `signals`: signal, cell_id, chrom_ord, bin, value. Gaps stay absent, whatever the number of bins."""
+    moments = signals.groupBy("signal").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    scaled = signals.join(moments, "signal").where((F.col("_s") > 0) & F.col("value").isNotNull())
+    tracks = signals.agg(F.array_sort(F.collect_set("signal"))).first()[0]  # the names of the assay's tracks
+    place = F.col("chrom_ord") * len(tracks) + F.array_position(F.array(*[F.lit(t) for t in tracks]), F.col("signal"))
+    one = F.lit(0).cast("long").alias("part")
+    entries = scaled.select(
+        one, F.col("cell_id").alias("row"), (place * F.lit(1 << 32) + F.col("bin")).cast("long").alias("col"),
+        ((F.col("value") - F.col("_m")) / F.col("_s")).alias("value"),
     )
-    width = grid.count()
-    return linalg.principal_components(wide, max(1, int(min(cells.count(), width) * 0.8)))
+    width = sum(genome.bins(resolution)) * len(tracks)
+    keep = max(1, int(min(cells.count(), width) * 0.8))
+    found = linalg.components(entries, cells.select(one, F.col("cell_id").alias("row")), keep)
+    missing = F.array_repeat(F.lit(0.0), F.lit(keep) - F.size("scores"))  # columns without any entry
+    return found.select(F.col("row").alias("cell_id"), F.concat("scores", missing).alias("features"))
 
 
 def variable_bin_embedding(
