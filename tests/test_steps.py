@@ -137,6 +137,52 @@ def test_stores_forget_what_is_gone(spark, tmp_path):
     assert store_totals(spark, out, 4000) == {1: 10}
 
 
+def test_a_run_that_dies_leaves_the_old_content(spark, tmp_path, monkeypatch):
+    """Before the commit nothing that readers see changes; returning to the saved grouping then needs no work."""
+    genome = Genome((("chr1", 4000),))
+    contacts = spark.createDataFrame([(c, "chr1", 100 * c, "chr1", 100 * c + 700) for c in range(4)], "cell_id LONG, chrom1 STRING, pos1 LONG, chrom2 STRING, pos2 LONG")
+    out, layout = str(tmp_path / "out"), "cell_id LONG, metacell LONG"
+    one, two = (spark.createDataFrame(list(enumerate(labels)), layout) for labels in ([1, 1, 2, 2], [1, 3, 2, 2]))
+    args = (genome, 1000, out)
+    assert stores.refresh_metacell_pixels(contacts, one, *args, levels=[2000]) == "rebuilt"
+
+    class Died(Exception):
+        pass
+
+    def die(*a, **k):
+        raise Died
+
+    with monkeypatch.context() as patch:
+        patch.setattr(stores.CommitLog, "commit", die)
+        with pytest.raises(Died):
+            stores.refresh_metacell_pixels(contacts, two, *args, levels=[2000])
+        with pytest.raises(Died):
+            stores.write_merged_pairs(stores.merged_pairs(contacts, two), f"{out}/pairs")
+    for level in (1000, 2000):
+        assert store_totals(spark, out, level) == {1: 2, 2: 2}
+    assert stores.refresh_metacell_pixels(contacts, one, *args, levels=[2000]) == "skipped"
+    assert store_totals(spark, out, 1000) == {1: 2, 2: 2}
+    for done in ("updated", "skipped"):
+        assert stores.refresh_metacell_pixels(contacts, two, *args, levels=[2000]) == done
+        assert store_totals(spark, out, 1000) == store_totals(spark, out, 2000) == {1: 1, 2: 2, 3: 1}
+    folders = list((tmp_path / "out/pixels/source=pair/resolution=1000").glob("version=*"))
+    assert len(folders) == 2, "what the run that died has written is gone"
+    # another base resolution in the same store keeps its own allocation
+    assert stores.refresh_metacell_pixels(contacts, one, genome, 500, out) == "rebuilt"
+    assert store_totals(spark, out, 500) == {1: 2, 2: 2} and store_totals(spark, out, 1000) == {1: 1, 2: 2, 3: 1}
+    assert stores.refresh_metacell_pixels(contacts, two, *args, levels=[2000]) == "skipped"
+
+
+def test_two_writers_do_not_share_a_commit(spark, tmp_path):
+    log, table = stores.CommitLog(spark, str(tmp_path / "log")), spark.range(1)
+    log.commit(table)
+    (tmp_path / "log" / "done-2").write_text("")
+    slow = stores.CommitLog(spark, str(tmp_path / "log"))
+    slow.numbers = lambda: [1]
+    with pytest.raises(Exception, match="done-2|exist"):
+        slow.commit(table)
+
+
 def test_scores_can_be_taken_twice(fitted):
     once = steps.evaluate(fitted)[2]
     assert steps.evaluate(once)[2].metacells.select("purity").count() == fitted.metacells.count()
