@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from contactmill.functions.draws import MODULUS, hash_further, hash_key, unit_draw
 from contactmill.genome import Genome
 from contactmill.operators.binning import symmetrize
-from contactmill.scale import rank_within
+from contactmill.scale import quantile_within, rank_within
 from contactmill.session import materialize, materialize_layout
 
 EDGE = ["cell_id", "chrom_ord", "bin1", "bin2"]
@@ -198,7 +198,7 @@ def negatives_per_positive(n_edges: Column, n_cells: Column, genome: Genome, res
 def class_weights(weights: DataFrame, mean: float, ratio: float, column: str = "value") -> DataFrame:
     """log2(w + 1) capped at its 99th percentile, over a mean, times the negative ratio. Counts take few values."""
     logs = weights.withColumn("_log", F.log2(F.col(column) + 1))
-    cap = logs.select(F.percentile("_log", F.lit(0.99))).scalar()
+    cap = F.lit(quantile_within(logs, [], "_log", 0.99).first()[0])  # one number, from a range sort
     return logs.withColumn("weight", F.least("_log", cap) / F.lit(mean) * F.lit(ratio)).drop("_log")
 
 

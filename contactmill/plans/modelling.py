@@ -70,20 +70,28 @@ def nearest_to_centre(spark, sf):
     return nearest_to_centres(members, centres, ["metacell"])
 
 
-@query(
-    "W11_outliers",
-    """SELECT metacell, cell_id FROM (SELECT *, avg(d) OVER (PARTITION BY metacell) + 1.5 * stddev_pop(d) OVER (PARTITION BY metacell) AS lim,
-  count(*) OVER (PARTITION BY metacell) AS n FROM cdist) WHERE n >= 5 AND d > lim""",
-    CENTRE_SQL,
-)
-def outliers(spark, sf):
+def _outlier_sql(sd: str) -> str:
+    return f"""SELECT metacell, cell_id FROM (SELECT *, avg(d) OVER (PARTITION BY metacell) + {sd} * stddev_pop(d) OVER (PARTITION BY metacell) AS lim,
+  count(*) OVER (PARTITION BY metacell) AS n FROM cdist) WHERE n >= 5 AND d > lim"""
+
+
+def outlier_members(spark, sf, **limits):
     members, centres = members_and_centres(spark, sf)
-    out = model.outlier_cells(
-        members.withColumnRenamed("metacell", "grp"), centres.toDF("grp", "centroid"), min_size=5, sd=1.5
-    )
+    out = model.outlier_cells(members.withColumnRenamed("metacell", "grp"), centres.toDF("grp", "centroid"), **limits)
     return out.select(F.col("grp").alias("metacell"), "cell_id")
 
 
+@query("W11_outliers", _outlier_sql("1.5"), CENTRE_SQL)
+def outliers(spark, sf):
+    """A narrow limit, under which every group of these tables has outliers."""
+    return outlier_members(spark, sf, sd=1.5)
+
+
+@query("W11_default_outliers", _outlier_sql("3"), CENTRE_SQL)
+def default_outliers(spark, sf):
+    return outlier_members(spark, sf)
+
+
 @query(
     "T3_largest_clusters",
     f"SELECT label AS cluster, {big('count(*)', 'n')} FROM cells GROUP BY 1 HAVING count(*) >= greatest(2, floor(0.0005 * (SELECT count(*) FROM cells)))",
