@@ -179,13 +179,13 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0) -> Dat
 
 
 _NOISE = 1e-12  # of a node's strength: gains below it are rounding
-LAST_MOVERS = 50
+LAST_MOVERS = 200
 
 
 def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> DataFrame | None:
     """Labels (node, label) after local moves, or None where no node gains by one; loops (i, i) count into strengths.
 
-    In each round the gaining nodes of one half, drawn by a hash, move; gaining nodes of the other half wait for the next.
+    In each round the gaining nodes of one half, drawn by a hash, move; gaining nodes of the other half wait.
     Once few move, only nodes that moved, waited, or have a neighbour that moved are looked at again: nothing changed for the
     others but volumes. Weights to the own label, kept per node, and volumes give the modularity of each round without another
     look at the edges. A level is over when at most one node in LAST_MOVERS still gains, whatever the size of the graph:
@@ -218,7 +218,7 @@ def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> Data
         own = F.when(F.col("_seen"), F.coalesce("_to", F.lit(0.0))).otherwise(F.col("own"))
         stay = own - F.lit(resolution) * F.col("k") * (F.col("volume") - F.col("k")) / F.lit(total)
         gains = F.col("_seen") & (F.col("_best.gain") > stay + F.col("k") * _NOISE)
-        turn = hash_key(F.col("node"), F.lit(step // 2).cast("long"), seed=seed) % 2 == step % 2
+        turn = hash_key(F.col("node"), F.lit(step).cast("long"), seed=seed) % 2 == 0
         looked = state.join(choice.withColumn("_seen", F.lit(True)), "node", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
         result = materialize(
             looked.join(volumes, "label").withColumn("_gains", F.coalesce(gains, F.lit(False))).select(
