@@ -1,7 +1,10 @@
 """Page extraction and chat formatting against plain Python, on odd rows and on none."""
 
+import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +68,65 @@ def test_all_that_passes_is_kept(html, want):
     assert got == (want or f"Head By me {LONG * 9}{MORE * 4}more of it")
 
 
+TALK = "".join(f"<div><b>{who}</b><p>{MORE * 3}</p><a>Reply</a></div>" for who in ("Ann", "Bob", "Cy"))
+FOUR = f"<h1>Head</h1>{f'<p>{LONG}</p>' * 4}"
+WANT_FOUR = f"Head {LONG * 4}".strip()
+
+
+@pytest.mark.parametrize("html, want", [
+    *((page(f"<main><article>{FOUR}</article></main><div class={name}><p>{MORE * 5}</p><p>{MORE * 4}</p></div>"), WANT_FOUR) for name in ("thread", "box", "legal", "teaser")),
+    (page(f"<main><article>{FOUR}</article><div class=thread>{TALK}</div></main>"), WANT_FOUR),
+    (page(f"<div class=box>{MORE * 9}</div><article>{FOUR}</article><p>{MORE * 9}</p>"), WANT_FOUR),
+    (page(f"<article>{FOUR}<div class=thread>{TALK}</div></article>"), WANT_FOUR),
+    (page(f"<article>{FOUR}<article><p>{MORE * 4}</p></article><article><p>{MORE * 3}</p></article></article>"), WANT_FOUR),
+    (page(f"<div class=text>{FOUR}</div><div class=thread>{TALK * 3}</div>"), WANT_FOUR),
+    (page(f"<main><h1>Head</h1><p>{MORE * 2}</p><article>{f'<p>{LONG}</p>' * 4}</article></main>"), f"Head {MORE * 2}{LONG * 4}".strip()),
+    (page(f"<div class=hero><article><h1>Head</h1><p>Hi.</p></article></div><div>{f'<p>{LONG}</p>' * 9}</div>"), None),
+    (page(TALK), " ".join(f"{who} {MORE * 3}Reply" for who in ("Ann", "Bob", "Cy"))),
+    (page(f"<article>{FOUR}{f'<section><h2>Part</h2><p>{LONG}</p><a>More</a></section>' * 3}</article>"), f"{WANT_FOUR} {f'Part {LONG}More ' * 3}".strip()),
+    (page(f'<article>{FOUR}<p title="a > b">{LONG}</p><p class="x>{LONG}</p></article>'), f"Head {LONG * 6}".strip()),
+])
+def test_what_no_name_gives_away(html, want):
+    got = html_content.main_text(html)
+    assert got == want if want else got.count(LONG.strip()) == 9
+
+
+N = 200_000
+
+
+@pytest.mark.parametrize("html, n_chars", [
+    ("<b>x. " * N, 3 * N - 1), ("<div class=q>a. " * N, 3 * N - 1), ("<p><i>x</p>" * N, 2 * N - 1), ("<a " * N, 3 * N - 1),
+    ('<a b=">" ' * N, None), ('<a b=">" ' * N + "c='", None), ("<b>" * N + "</x>" * N, 0), ("<b>" * N + "<p>x" * N, 2 * N - 1), ("<script>" + "</script " * N, 0),
+    ("<!--" * N, 0), ("&#" + "9" * 6000 + ";", 1),
+])
+def test_deep_and_broken_pages_take_linear_time(html, n_chars):
+    start = time.process_time()
+    got = html_content.main_text(html)
+    assert time.process_time() - start < 40
+    assert n_chars is None or len(got) == n_chars
+
+
+def test_ratios_by_brute_force():
+    """Fused ratios of a flat page against plain arithmetic over its paths."""
+    lines = [("p", LONG), ("p", "One, two."), ("li", "menu"), ("p", LONG * 2), ("li", "entry."), ("p", MORE)]
+    parsed = html_content._Page("".join(f"<{tag}>{text}</{tag}>" for tag, text in lines))
+    for t in parsed.texts:
+        t.n_chars, t.marks = len("".join(t.text.split())), len(re.findall(r"[.,;:!?]", t.text))
+    mean = lambda tag, size: np.mean([size(text) for other, text in lines if other == tag])
+    length = [mean(tag, lambda x: len("".join(x.split()))) for tag, _ in lines]
+    marks = [mean(tag, lambda x: len(re.findall(r"[.,;:!?]", x))) for tag, _ in lines]
+
+    def smooth(values, i):
+        near = [(np.exp(-((i - j) ** 2) / 2), v) for j, v in enumerate(values) if abs(i - j) <= 2]
+        return sum(w * v for w, v in near) / sum(w for w, _ in near)
+
+    want = [smooth(length, i) * (1 + smooth(marks, i)) for i in range(len(lines))]
+    fused = html_content._ratios(parsed, parsed.texts)
+    assert np.allclose(fused, want)
+    cut = min(html_content.CUT * np.std(want), max(want))
+    assert html_content._passing(parsed, parsed.texts, html_content.CUT) == [v >= cut for v in want]
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", page(f"<article>{ARTICLE}</article>")), (1, "u", page(f"<article>{ARTICLE}</article>")), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "word " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(1))
