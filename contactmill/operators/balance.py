@@ -22,13 +22,13 @@ def _genome_wide(maps: DataFrame, genome: Genome, resolution: int) -> DataFrame:
         return located.select(
             "metacell", "chrom1", "chrom2", F.col("gbin1").alias("bin1"), F.col("gbin2").alias("bin2"), "value"
         )
-    first = genome.offset(F.col("chrom_ord"), resolution)
+    second = "chrom_ord2" if "chrom_ord2" in maps.columns else "chrom_ord"
     return maps.select(
         "metacell",
         F.col("chrom_ord").alias("chrom1"),
-        F.col("chrom_ord").alias("chrom2"),
-        (F.col("bin1") + first).alias("bin1"),
-        (F.col("bin2") + first).alias("bin2"),
+        F.col(second).alias("chrom2"),
+        (F.col("bin1") + genome.offset(F.col("chrom_ord"), resolution)).alias("bin1"),
+        (F.col("bin2") + genome.offset(F.col(second), resolution)).alias("bin2"),
         "value",
     )
 
@@ -53,6 +53,8 @@ def balance(
 ) -> DataFrame:
     """Weights per (metacell, chromosome, bin) that make all kept rows of value * w1 * w2 sum alike.
 
+    `maps` hold one triangle, as genome-wide bins (gbin1, gbin2), as bins of two chromosomes (chrom_ord2 for the second
+    one), or as bins inside chromosomes; a map of the last kind has no trans pixels, so nothing links its chromosomes.
     Bins dropped by a filter get NULL. Metacells in `existing` are taken as they are. Every iteration joins the pixels,
     laid out once by their second bin, with the current weights; a map that has converged takes no further part.
     The plain step divides each weight by its relative row sum. It hardly moves the scales of loosely linked

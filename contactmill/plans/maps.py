@@ -439,7 +439,25 @@ def balance_steps(spark, sf):
     return _long(weights).select("metacell", "chrom_ord", "bin", rounded("weight"))
 
 
-@query("M20_balance_weights")
+#: All plain steps of the default settings; a map that has converged stays as it is.
+_ALL_STEPS_SQL = _plain_steps_sql(0) + """,
+step AS (SELECT 0 AS i, metacell, b, w, false AS done, NULL::DOUBLE AS scale FROM w0 UNION ALL
+  SELECT i + 1, metacell, b, CASE WHEN done OR marg = 0 THEN w ELSE w / (marg / mean) END,
+    done OR mean IS NULL OR spread < 1e-5, CASE WHEN done THEN scale ELSE mean END
+  FROM (SELECT *, avg(marg) FILTER (WHERE marg <> 0) OVER (PARTITION BY metacell) AS mean,
+      var_pop(marg) FILTER (WHERE marg <> 0) OVER (PARTITION BY metacell) AS spread
+    FROM (SELECT t.*, t.w * coalesce(s.r, 0) AS marg FROM step t LEFT JOIN
+      (SELECT x.metacell, x.b1, sum(x.v * y.w) AS r FROM side x JOIN step y ON y.metacell = x.metacell AND y.b = x.b2 GROUP BY 1, 2) s
+      ON s.metacell = t.metacell AND s.b1 = t.b)) WHERE i < 100)"""
+
+
+@query(
+    "M20_balance_weights",
+    f"""SELECT metacell, {big('b // 20', 'chrom_ord')}, {big('b % 20', 'bin')}, {r6('CASE WHEN w <> 0 THEN w / sqrt(scale) END', 'weight')},
+  done AS converged FROM step WHERE i = (SELECT max(i) FROM step)""",
+    _ALL_STEPS_SQL,
+    recursive=True,
+)
 def balance_weights(spark, sf):
     """The default settings; thin maps may stay unconverged, as the flag says."""
     weights = balance.balance(genome_wide_maps(spark, sf), GENOME, MB)

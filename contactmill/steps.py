@@ -171,11 +171,11 @@ def aggregate_metacell_mat_consensus(study: Study, target_sum: float = 1e5) -> S
 
 
 def balance_metacells(study: Study, resolution: int, **options: Any) -> Study:
-    """Balancing weights at one resolution; metacells that have weights already are left alone."""
-    if ("pair", resolution) not in study.maps:
+    """Balancing weights at one resolution, trans contacts included; metacells that have weights already are left alone."""
+    if ("pair_all", resolution) not in study.maps:
         raise ValueError(f"no metacell maps at resolution {resolution}; run aggregate_metacell_pairs first")
     weights = balancing.balance(
-        study.maps[("pair", resolution)], study.genome, resolution, existing=study.weights.get(resolution), **options
+        study.maps[("pair_all", resolution)], study.genome, resolution, existing=study.weights.get(resolution), **options
     )
     return study.having(weights={**study.weights, resolution: weights})
 

@@ -94,6 +94,40 @@ def test_balancing_equalises_rows(spark):
     assert again.count() == w.shape[0]
 
 
+@pytest.mark.parametrize("part", ["all", "cis_only", "trans_only"])
+def test_balancing_with_trans_pixels_against_dense(spark, part):
+    genome = Genome((("a", 500), ("b", 400), ("c", 300)))  # between two chromosomes alone plain steps swing
+    sizes = genome.bins(100)
+    n, chrom = sum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    rng = np.random.default_rng(11)
+    upper = np.triu(rng.integers(1, 9, (n, n))).astype(float)
+    rows = [
+        (1, int(chrom[i]), int(chrom[j]), int(i - first[chrom[i]]), int(j - first[chrom[j]]), float(upper[i, j]))
+        for i in range(n) for j in range(i, n)
+    ]
+    mc = spark.createDataFrame(rows, "metacell LONG, chrom_ord INT, chrom_ord2 INT, bin1 LONG, bin2 LONG, value DOUBLE")
+    options = {} if part == "all" else {part: True}
+    got = balance.balance(mc, genome, 100, min_nnz=1, mad_max=0, ignore_diags=1, tol=1e-4, **options).toPandas()
+    assert got["converged"].all()
+
+    full = np.triu(upper, 1) + np.triu(upper, 1).T
+    same = chrom[:, None] == chrom[None, :]
+    full = full * {"all": 1, "cis_only": same, "trans_only": ~same}[part]
+    groups = chrom if part == "cis_only" else np.zeros(n, int)
+    w, scale, done = np.ones(n), np.ones(n), np.zeros(n, bool)
+    for _ in range(100):
+        marg = w * (full @ w)
+        for g in set(groups[~done]):
+            at = groups == g
+            w[at] /= marg[at] / marg[at].mean()
+            scale[at] = marg[at].mean()
+            done[at] = marg[at].var() < 1e-4
+    v = got.sort_values(["chrom_ord", "bin"])["weight"].to_numpy()
+    assert np.allclose(v, w / np.sqrt(scale), rtol=1e-9)
+    assert np.allclose((full * np.outer(v, v)).sum(1), 1.0, atol=1e-2)
+
+
 def test_svd_and_components(spark):
     rng = np.random.default_rng(8)
     x = rng.random((30, 12)) * (rng.random((30, 12)) < 0.6)

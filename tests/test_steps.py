@@ -89,6 +89,10 @@ def test_maps_balance_and_regions(fitted, experiment):
     s = steps.aggregate_metacell_pairs(fitted, out, 500_000, [1_000_000])
     s = steps.aggregate_metacell_mat_consensus(steps.aggregate_metacell_mat(s))
     s = steps.balance_metacells(s, 1_000_000, min_nnz=1, mad_max=0, max_iters=20)
+    assert {"chrom_ord", "chrom_ord2"} <= set(s.maps[("pair_all", 1_000_000)].columns)
+    alone = steps.balance_metacells(s.having(weights={}), 1_000_000, min_nnz=1, mad_max=0, max_iters=20, trans_only=True)
+    trans = s.maps[("pair_all", 1_000_000)].where("chrom_ord <> chrom_ord2").select("metacell").distinct().count()
+    assert alone.weights[1_000_000].where("weight IS NOT NULL").select("metacell").distinct().count() == trans > 0
     for options in ({"base_on": "mat"}, {"base_on": "mat_consensus"}, {"balance": False}, {}, {"balance": False, "observed_expected": True}):
         table = steps.metacell_regions(s, "chr1", 0, 5_000_000, 1_000_000, **options)
         assert table.count() == 25 * s.cells.select("metacell").distinct().count()
