@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactmill.genome import Genome
@@ -19,41 +19,49 @@ def insulation_scores(
 ) -> DataFrame:
     """Insulation of every bin of every owner (cell or metacell): the sum of the w x w square up-left of the diagonal.
 
-    Only pixels nearer than 2w touch a square, each of them at most w squares, so no map is made dense. Bins closer
-    than w to a chromosome end have no score, unless the whole chromosome is empty, which scores 0 everywhere.
+    Only pixels nearer than 2w touch a square. Such a pixel lies in the squares of consecutive bins, so it is two steps of
+    a curve, up and down, whatever w is; the steps of one owner and chromosome meet once, and their running sum holds
+    every square until the next step. Bins closer than w to a chromosome end have no score, unless the whole chromosome is
+    empty, which scores 0 everywhere. Owners without pixels have their bins too; pixels of other owners do not count.
     """
     w = window
     n = genome.n_bins(F.col("chrom_ord"), resolution)
     near = pixels.where((F.col("bin2") > F.col("bin1")) & (F.col("bin2") - F.col("bin1") < 2 * w))
     first = F.greatest(F.col("bin1") + 1, F.col("bin2") - w + 1, F.lit(w).cast("long"))
     last = F.least(F.col("bin2"), F.col("bin1") + w, n - w - 1)
-    sums = (
-        near.where(first <= last)
-        .select(owner, "chrom_ord", F.explode(F.sequence(first, last)).alias("bin"), "value")
-        .groupBy(owner, "chrom_ord", "bin")
-        .agg(F.sum("value").alias("square"))
+    value = F.col("value").cast("double")
+    up, down = (F.struct(at.cast("long").alias("bin"), by.alias("step")) for at, by in ((first, value), (last + 1, -value)))
+    steps = near.where(first <= last).select(owner, "chrom_ord", F.lit(False).alias("asked"), F.inline(F.array(up, down)))
+    starts = owners.select(
+        owner, F.explode(F.sequence(F.lit(0), F.lit(len(genome.chroms) - 1))).alias("chrom_ord"),
+        F.lit(True).alias("asked"), F.lit(0).cast("long").alias("bin"), F.lit(0.0).alias("step"),
     )
-    ords = F.sequence(F.lit(0), F.lit(len(genome.chroms) - 1))
-    grid = (
-        owners.select(owner, F.explode(ords).alias("chrom_ord"))
-        .select(owner, "chrom_ord", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("bin"))
-        .withColumn("inside", (n > 2 * w) & F.col("bin").between(F.lit(w), n - w - 1))
+    # a group is one curve: its steps are fewer than the bins of a chromosome
+    curve = [owner, "chrom_ord"]
+    placed = steps.unionByName(starts).repartition(*curve).groupBy(*curve, "bin").agg(
+        F.coalesce(F.sum("step"), F.lit(0.0)).alias("step"), F.max("asked").alias("asked")
     )
-    filled = grid.join(sums, [owner, "chrom_ord", "bin"], "left").withColumn(
-        "square", F.when(F.col("inside"), F.coalesce("square", F.lit(0.0)))
-    )
-    if not normalize:
-        return filled.select(owner, "chrom_ord", "bin", F.col("square").alias("score"))
-    means = sums.groupBy(owner, "chrom_ord").agg((F.sum("square")).alias("_sum"))
+    along = Window.partitionBy(*curve).orderBy("bin")
+    level = placed.withColumns({
+        "square": F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "stop": F.coalesce(F.lead("bin").over(along), n),
+    })
+    whole = Window.partitionBy(*curve)
+    spans = level.withColumns({
+        "_total": F.sum(F.col("square") * (F.col("stop") - F.col("bin"))).over(whole), "asked": F.max("asked").over(whole),
+    }).where("asked")
+    filled = spans.select(*curve, "square", "_total", F.explode(F.sequence(F.col("bin"), F.col("stop") - 1)).alias("bin"))
     count = n - 2 * w
-    mean = F.coalesce("_sum", F.lit(0.0)) / F.greatest(count, F.lit(1).cast("long"))
-    scored = filled.join(means, [owner, "chrom_ord"], "left").withColumn("_mean", mean)
+    square = F.when((count > 0) & F.col("bin").between(F.lit(w), n - w - 1), F.col("square"))
+    if not normalize:
+        return filled.select(*curve, "bin", square.alias("score"))
+    mean = F.col("_total") / F.greatest(count, F.lit(1).cast("long"))
     score = (
         F.when(count <= 0, F.lit(None).cast("double"))
-        .when(F.col("_mean") > 0, F.log2(F.col("square") / F.col("_mean") + F.lit(1e-5)))
+        .when(mean > 0, F.log2(square / mean + F.lit(1e-5)))
         .otherwise(F.lit(0.0))
     )
-    return scored.select(owner, "chrom_ord", "bin", score.alias("score"))
+    return filled.select(*curve, "bin", score.alias("score"))
 
 
 def _peaks(values: np.ndarray, distance: int, prominence: float) -> np.ndarray:
