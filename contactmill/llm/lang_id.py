@@ -154,7 +154,10 @@ def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     rows_per_language: int = ROWS_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
-    """Learn from a bounded sample of the rows that are not held out and have a language and a text with letters."""
+    """Learn from a bounded sample of the rows that are not held out and have a language and a text with letters.
+
+    An identifier on several rows counts once, with the smallest of its languages and subword bags, however often it repeats.
+    """
     doc_id = F.col(f"`{id_col}`")
     usable = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & ~held_out(doc_id))
     ids = usable.select(doc_id.alias("_id"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
@@ -162,7 +165,7 @@ def fit(
     # has no room for more languages than rows, which bounds the table that is broadcast
     sizes = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(sample_rows)
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
-    ids = ids.join(F.broadcast(sizes), "_lang").where(place * F.col("_n") < 2.0 * rows_per_language)
+    ids = ids.join(F.broadcast(sizes), "_lang").where(place * F.col("_n") < 2.0 * rows_per_language).distinct()
     turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     drawn = ids.withColumn("_turn", turn).where(F.col("_turn") <= rows_per_language)
     drawn = drawn.orderBy("_turn", "_lang").limit(sample_rows).select("_id").distinct()
@@ -183,7 +186,8 @@ def fit(
         doc_id.cast("bigint").alias("_id"), F.col(f"`{lang_col}`").cast("string").alias("_lang"), whole_text(text_col).alias("_text")
     )
     sample = texts.join(F.broadcast(drawn), "_id", "left_semi").mapInArrow(bags, "_id bigint, _lang string, _bag binary")
-    rows = sorted(sample.where("octet_length(_bag) > 0").collect(), key=lambda r: (r["_id"], r["_lang"], bytes(r["_bag"])))[:sample_rows]
+    taught = sample.where("octet_length(_bag) > 0").groupBy("_id").agg(F.min(F.struct("_lang", "_bag")).alias("_one"))
+    rows = sorted(taught.select("_id", "_one.*").collect(), key=lambda r: r["_id"])
     languages = sorted({r["_lang"] for r in rows})
     if not rows:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))

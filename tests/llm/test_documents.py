@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contactmill.llm import bpe, byte_bpe, exact_dedup, lang_id, mixing, rule_quality, set_sketch, spot_sigs, token_prefix
@@ -226,6 +227,17 @@ def test_language(spark, odd_docs, odd_rows, no_docs):
     assert lang_id.predict(no_docs, model).count() == 0
 
 
+def test_language_learns_from_an_identifier_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one = docs.where(~lang_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).orderBy("doc_id").limit(1)
+    copies = one.crossJoin(spark.range(1000).select("id")).drop("id")
+    answers = [
+        sorted((r.doc_id, r.lang_pred, r.score) for r in lang_id.predict(docs, lang_id.fit(table)).collect())
+        for table in (docs, docs.unionByName(copies))
+    ]
+    assert answers[0] == answers[1]
+
+
 def test_quality(spark, odd_docs, odd_rows, no_docs):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = rule_quality.fit(docs, labels)
