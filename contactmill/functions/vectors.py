@@ -22,8 +22,8 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Row scaled to unit length; a zero row stays zero."""
-    norm = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm))
+    norms = F.array_repeat(F.sqrt(dot(a, a)), F.size(a))  # inside a transform, the sum would run anew for every element
+    return F.zip_with(a, norms, lambda x, norm: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm))
 
 
 def argmax(a: Column) -> Column:

@@ -4,12 +4,13 @@ Data rows are dealt to the nearest of FAN pivots, level by level, until a node h
 its pivot and its covering radius. Rows of a leaf form blocks: identifiers and one flat array of vectors.
 
 1. Each block of queries meets its own leaf, which bounds the distance to the k-th neighbour of each query.
-2. Blocks, not queries, go down the tree: the triangle inequality over the block's pivot, radius and largest bound rules out
-   subtrees. What is left are pairs (block, leaf) without vectors.
-3. The queries of a block that the leaf's pivot and radius cannot rule out leave as one packed row for that leaf; packs are
-   put together to blocks again and meet the leaf. Only neighbours within the query's bound come back.
+2. Blocks are dealt to tiles: a slice of a part's queries and a slice of its data, TILE_BYTES of vectors each at most. In its
+   tile a query meets the leaves that the triangle inequality over pivot, radius and its bound cannot rule out, nearest
+   leaves first. Only its k nearest of each tile come back.
 
-Pairs of rows are never emitted. Vectors that more rows share than fit into a leaf are answered from their smallest
+Where nothing can be ruled out (many dimensions without clusters) all pairs are computed, but what is written and sent stays
+a fixed number of copies of each vector: SLICES of data, one of queries for each TILE_BYTES of the part. Pairs of rows are
+never emitted. Vectors that more rows share than fit into a leaf are answered from their smallest
 identifiers and enter the tree as these few rows only. Pivots go to every task while their size stays under PIVOT_BYTES;
 beyond it, rows and pivots meet by node.
 """
@@ -32,6 +33,9 @@ FAN = 32
 BITS = 6  # of a node's number per level; FAN < 2**BITS
 DEPTH = 9
 PIVOT_BYTES = 64 << 20
+TILE_BYTES = 32 << 20  # of vectors in a slice of a part
+SLICES = 12  # of a part's queries, more only beyond as many TILE_BYTES
+_CHUNK = 1024  # queries that look into leaves together
 SMALL_ROWS = 200_000  # rows of a table of nodes that may go to every task
 _SALTS = 64
 _ROOT = 1
@@ -251,50 +255,134 @@ def _bounded(q: DataFrame, home: DataFrame, nodes: DataFrame, k: int) -> DataFra
     return known.join(other, BLOCK, "left").withColumn("cover", limited).drop("_far")
 
 
-def _descent(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(part, node, sub, leaf, pivot, radius): the leaves a block of queries may have to visit, its own left out.
+_MET = "part LONG, visits LONG, found ARRAY<STRUCT<cell_id: LONG, neighbor: LONG, distance: DOUBLE>>"
 
-    blocks: part, node, sub, centre, reach, widest (the largest bound of its queries).
-    """
-    inner = nodes.select(
-        "part", _parent(F.col("node")).alias("_at"), F.col("node").alias("_to"), "pivot", "radius", "leaf"
-    )
-    frontier, leaves = blocks.withColumn("_at", F.lit(_ROOT).cast("long")), []
-    while True:
-        gap = F.sqrt(squared_distance(F.col("centre"), F.col("pivot"))) - F.col("reach") - F.col("radius")
-        near = frontier.join(inner, ["part", "_at"]).where(F.col("radius").isNotNull() & (gap <= F.col("widest") + _SLACK))
-        near = materialize(near)
-        own = F.col("_to") == F.col("node")
-        leaves.append(near.where(F.col("leaf") & ~own).select(*BLOCK, F.col("_to").alias("to"), "pivot", "radius"))
-        frontier = near.where(~F.col("leaf")).select(*blocks.columns, F.col("_to").alias("_at"))
-        if frontier.isEmpty():
-            break
-    out = leaves[0]
-    for other in leaves[1:]:
-        out = out.unionByName(other)
-    return out
 
+def _best(at: np.ndarray, neighbor: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest neighbours of each query, in the order of (query, distance, neighbour)."""
+    order = np.lexsort((neighbor, distance, at))
+    at, neighbor, distance = at[order], neighbor[order], distance[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at, side="left") < k
+    return at[keep], neighbor[keep], distance[keep]
 
-def _packs(visits: DataFrame) -> DataFrame:
-    """The queries of a block that have to visit a leaf: part, node (the leaf), ids, x, cover."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for r in range(batch.num_rows):
-                ids, bounds, pivot = (columns[c][r].values.to_numpy() for c in ("ids", "cover", "pivot"))
-                x = _matrix(columns["x"][r].values, len(ids))
-                need = _to_points(x, pivot[None])[:, 0] - columns["radius"][r].as_py() <= bounds + _SLACK
-                if need.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([columns["part"][r].as_py()]), pa.array([columns["to"][r].as_py()])]
-                        + [pa.array([v], pa.list_(t)) for v, t in
-                           ((ids[need], pa.int64()), (x[need].reshape(-1), pa.float64()), (bounds[need], pa.float64()))],
-                        names=["part", "node", "ids", "x", "cover"],
-                    )
+class _Leaf:
+    """The rows of a leaf, moved to its pivot, from where short floats measure; their error bound lets no neighbour go."""
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray, pivot: np.ndarray) -> None:
+        self.ids, self.y, self.pivot = ids, y, pivot
+        moved = y - pivot
+        squares = (moved**2).sum(1)
+        self.widest = squares.max()
+        self.right = np.column_stack([-2 * moved, np.ones(len(y)), squares])
+
+    def near(self, x: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of query, neighbour, distance) for all rows within the limits of the queries."""
+        moved = x - self.pivot
+        squares = (moved**2).sum(1)
+        left = np.column_stack([moved, squares, np.ones(len(x))])
+        slack = 2.5e-7 * (x.shape[1] + 8) * (squares + self.widest)
+        kind = np.float32 if 1e-24 < slack.min() and slack.max() < 1e24 else np.float64
+        rough = left.astype(kind) @ self.right.astype(kind).T
+        hits = np.flatnonzero(rough <= ((limits + _SLACK) ** 2 + slack).astype(kind)[:, None])
+        at, place = np.divmod(hits, len(self.ids))
+        exact = np.sqrt(((x[at] - self.y[place]) ** 2).sum(1))
+        keep = exact <= limits[at] + _SLACK
+        return at[keep], self.ids[place[keep]], exact[keep]
 
-    schema = "part LONG, node LONG, ids ARRAY<LONG>, x ARRAY<DOUBLE>, cover ARRAY<DOUBLE>"
-    return visits.select("part", "to", "ids", "x", "cover", "pivot", "radius").mapInArrow(run, schema)
+
+def _chunk_neighbours(
+    ids: np.ndarray, home: np.ndarray, x: np.ndarray, limits: np.ndarray, leaves: list[_Leaf],
+    nodes: np.ndarray, pivots: np.ndarray, radii: np.ndarray, k: int, exclude_self: bool,
+) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(visits, place of query, neighbour, distance): up to k neighbours of each query in leaves other than its own.
+
+    Leaves come by falling nearness and only meet the queries whose bound reaches them; what they hold narrows the bounds.
+    """
+    gaps = np.where(home[:, None] == nodes[None], np.inf, _to_points(x, pivots) - radii[None])
+    found, fresh, visits, limits = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)], 0, 0, limits.copy()
+    waiting = [found]
+    for leaf in np.argsort(gaps.min(axis=0), kind="stable"):
+        rows = np.flatnonzero(gaps[:, leaf] <= limits + _SLACK)
+        if not len(rows) or not np.isfinite(gaps[rows, leaf]).any():
+            continue
+        rows = rows[np.isfinite(gaps[rows, leaf])]
+        visits += len(rows)
+        at, neighbor, distance = leaves[leaf].near(x[rows], limits[rows])
+        at = rows[at]
+        if exclude_self:
+            other = ids[at] != neighbor
+            at, neighbor, distance = at[other], neighbor[other], distance[other]
+        waiting.append([at, neighbor, distance])
+        fresh += len(at)
+        if fresh >= k * len(ids):
+            waiting, fresh = [list(_best(*map(np.concatenate, zip(*waiting, strict=True)), k))], 0
+            counts = np.bincount(waiting[0][0], minlength=len(ids))
+            full = counts >= k
+            limits[full] = np.minimum(limits[full], waiting[0][2][np.cumsum(counts)[full] - 1])
+    return visits, *_best(*map(np.concatenate, zip(*waiting, strict=True)), k)
+
+
+def _met(q: DataFrame, d: DataFrame, nodes: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Blocks of queries against all leaves of their part but their own: part, visits, found.
+
+    The queries of a part are dealt to a few slices, its data to as many as TILE_BYTES asks for; a task gets a slice of each
+    and looks into leaves by the triangle inequality there. So a vector is sent a fixed number of times, however many leaves
+    have to be visited, until a slice of a part is full.
+    """
+    leaves = d.select(*BLOCK, "ids", "x").join(_small(nodes.select(*NODE, "pivot", "radius")), NODE)
+    weight = F.ceil(F.sum(F.size("x")) * 8 / TILE_BYTES)
+    rows = F.ceil(F.sum(F.size("ids")) / (4 * LEAF_ROWS))
+    theirs = leaves.groupBy("part").agg(weight.alias("_d"))
+    mine = q.groupBy("part").agg(F.greatest(weight, F.least(F.lit(SLICES), rows)).alias("_q"))
+    parts = materialize(mine.join(theirs, "part"))
+    tiles = parts.agg(F.sum(F.col("_q") * F.col("_d"))).first()[0] or 1
+    small, place = _small(parts), F.xxhash64("node", "sub")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    by = ["part", "g", "h"]
+    left = q.join(small, "part").withColumn("g", F.pmod(place, F.col("_q"))).withColumn("h", every("_d"))
+    right = leaves.join(small, "part").withColumn("h", F.pmod(place, F.col("_d"))).withColumn("g", every("_q"))
+    left = left.select(*by, "node", "ids", "x", "cover").repartition(2 * tiles, *by)
+    # new columns, for both sides may come from one table
+    right = right.select(*[F.col(c).alias(c) for c in (*by, "node", "ids", "x", "pivot", "radius")]).repartition(2 * tiles, *by)
+
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        def flat(table: pa.Table, column: str) -> np.ndarray:
+            return table[column].combine_chunks().flatten().to_numpy()
+
+        out: list[list] = [[], [], []]
+        if asked.num_rows and held.num_rows:
+            part, counts = asked["part"][0].as_py(), held["ids"].combine_chunks().value_lengths().to_numpy()
+            nodes, radii = held["node"].to_numpy(), held["radius"].to_numpy()
+            pivots, ends = _matrix(flat(held, "pivot"), held.num_rows), np.cumsum(counts)
+            y, did = _matrix(flat(held, "x"), int(ends[-1])), flat(held, "ids")
+            leaves = [_Leaf(did[e - n : e], y[e - n : e], p) for e, n, p in zip(ends, counts, pivots, strict=True)]
+            asked = asked.sort_by("node")
+            qid, cover = flat(asked, "ids"), flat(asked, "cover")
+            x, home = _matrix(flat(asked, "x"), len(qid)), np.repeat(
+                asked["node"].to_numpy(), asked["ids"].combine_chunks().value_lengths().to_numpy()
+            )
+            for a in range(0, len(qid), _CHUNK):
+                at = slice(a, a + _CHUNK)
+                visits, place, neighbor, distance = _chunk_neighbours(
+                    qid[at], home[at], x[at], cover[at], leaves, nodes, pivots, radii, k, exclude_self
+                )
+                found = pa.StructArray.from_arrays(
+                    [pa.array(qid[at][place]), pa.array(neighbor), pa.array(distance)], fields=list(_PAIR)
+                )
+                for values, value in zip(out, (part, visits, found), strict=True):
+                    values.append(value)
+        offsets = np.cumsum([0, *map(len, out[2])])
+        entries = pa.concat_arrays(out[2]) if out[2] else pa.array([], pa.struct(list(_PAIR)))
+        return pa.table({
+            "part": pa.array(out[0], pa.int64()), "visits": pa.array(out[1], pa.int64()),
+            "found": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries),
+        })
+
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, _MET)
 
 
 def _crowded(data: DataFrame, k: int) -> DataFrame | None:
@@ -353,20 +441,13 @@ def knn_join(
     home = materialize(_searched(q.join(theirs, NODE), k, exclude_self))
     parts = [home]
     if nodes is not None:
-        bounded = materialize(_bounded(q, home, nodes, k))
-        centres = nodes.select(*NODE, F.col("pivot").alias("centre"))
-        narrow = bounded.select(*BLOCK, "reach", F.array_max("cover").alias("widest")).join(centres, NODE)
-        packs = materialize(_packs(_descent(narrow, nodes).join(bounded, BLOCK)))
-        visitors = packs.groupBy(*NODE).agg(F.ceil(F.sum(F.size("ids")) / LEAF_ROWS).alias("_chunks"))
-        chunk = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("_chunks"))
-        grouped = packs.join(visitors, NODE).groupBy(*NODE, chunk.alias("sub")).agg(
-            F.collect_list(F.struct("ids", "x", "cover")).alias("_p")
-        )
-        together = grouped.select(*BLOCK, *[F.flatten(f"_p.{c}").alias(c) for c in ("ids", "x", "cover")])
-        parts.append(_searched(together.join(theirs, NODE), k, exclude_self))
+        met = _met(_bounded(q, home, nodes, k), d, nodes, k, exclude_self)
+        if report is not None:
+            met = materialize(met)
+        parts.append(met)
     if report is not None:
         report["queries"] = q.agg(F.sum(F.size("ids"))).first()[0] or 0
-        later = packs.agg(F.sum(F.size("ids"))).first()[0] or 0 if nodes is not None else 0
+        later = met.agg(F.sum("visits")).first()[0] or 0 if nodes is not None else 0
         report["visits"] = report["queries"] + later
     found = parts[0].select("part", F.inline("found"))
     for other in parts[1:]:

@@ -159,3 +159,18 @@ def test_loops_clear_their_tables(spark, tmp_path):
             kept.append(materialize(spark.range(i + 1)).inputFiles()[0].removeprefix("file:").replace("///", "/"))
             rounds.turn()
     assert [os.path.exists(p) for p in kept] == [False] * 4 + [True] or [os.path.exists(p) for p in kept] == [False] * 3 + [True] * 2
+
+
+def test_visits_do_not_multiply_what_is_sent(spark, monkeypatch):
+    """Points without clusters visit every leaf, yet each vector is sent a fixed number of times."""
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 40)
+    x = np.random.default_rng(7).normal(size=(1500, 24))
+    context, report = spark.sparkContext, {}
+    context.setJobGroup("visits", "neighbours without clusters")
+    same_neighbours(graph.knn(vectors(spark, x), 6, report=report), *brute_neighbours(x, x, 6, True))
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("visits") for s in tracker.getJobInfo(j).stageIds}
+    moved = sum(a.shuffleWriteBytes() + a.outputBytes() for a in map(store.lastStageAttempt, stages))
+    context.setJobGroup("", "")
+    assert report["visits"] > 20 * report["queries"]
+    assert moved < 60 * x.nbytes, moved / x.nbytes
