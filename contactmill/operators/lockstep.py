@@ -1,8 +1,8 @@
 """Model updates inside one barrier stage: tasks keep their cells and agree on small tables step by step.
 
 Every task of the stage holds the kernel rows of its own cells, and its rows of whatever the update reads. What all of them
-must know travels by allGather: K counts for every step, K candidates per block of steps, and the kernel rows of the cells
-that stand for an archetype. Kernels are symmetric, so the row of a cell is its column, and Z = M B follows from these rows in
+must know travels by allGather: K counts for every step, K candidates per block of steps with their kernel rows, and the
+kernel rows of the cells that stand for an archetype at the start. Kernels are symmetric, so the row of a cell is its column, and Z = M B follows from these rows in
 every task alike; products M Z are needed for own cells only. A lost task restarts the stage from its written input.
 
 The number of tasks must not exceed the slots of the cluster, for a barrier stage starts all of them at once.
@@ -145,6 +145,15 @@ class Columns:
     def __init__(self, team: Team, cells: Cells) -> None:
         self.team, self.cells, self.known = team, cells, {}
 
+    def offered(self, offers: list[tuple[float, int]]) -> list[list[tuple[float, int]]]:
+        """The offers (gradient, cell) of all tasks, one per column; the kernel rows of their cells become known with them."""
+        rows = {c: row for _, c in offers if c not in self.known and (row := self.cells.kernel_row(c)) is not None}
+        shared = self.team.share((offers, rows))
+        best = {min(column)[1] for column in zip(*[theirs for theirs, _ in shared], strict=True)}
+        for _, part in shared:
+            self.known |= {c: row for c, row in part.items() if c in best}
+        return [theirs for theirs, _ in shared]
+
     def times(self, archetypes: Archetypes) -> list[Entries]:
         """Z_v = M_v B per view."""
         wanted = sorted({c for column in archetypes for c in column} - set(self.known))
@@ -268,16 +277,15 @@ def archetypes_of(
                 grad = grad + own @ (2.0 * w * aa + 4.0 * ortho * w * (q - np.diag(np.diag(q))))
                 if share:
                     grad += share * (views * own - sum(own if u == v else cells.times(v, zs[u], k) for u in range(views)))
+            offer = [(np.inf, np.iinfo(np.int64).max)] * k
             if len(grad):
                 first = grad.argmin(axis=0)
-                offer = grad[first, np.arange(k)], cells.ids[first]
-            else:
-                offer = np.full(k, np.inf), np.full(k, np.iinfo(np.int64).max)
-            offers = team.share(offer)
+                offer = [(float(grad[r, c]), int(cells.ids[r])) for c, r in enumerate(first)]
+            offers = columns.offered(offer)
             stop = min(start + REFRESH, steps)
             keep = start * (start + 1) / (stop * (stop + 1.0)) if start else 0.0
             for column in range(k):
-                cell = min((g[column], int(c[column])) for g, c in offers)[1]
+                cell = min(theirs[column] for theirs in offers)[1]
                 moved = {c: w * keep for c, w in b[column].items()} if keep else {}
                 moved[cell] = moved.get(cell, 0.0) + 1.0 - keep
                 b[column] = moved
