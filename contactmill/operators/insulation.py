@@ -156,31 +156,25 @@ def moving_average(pixels: DataFrame, keys: Sequence[str], n: Column, moving_ran
     def pdf(x: float) -> float:
         return math.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
 
-    inside = F.array(*[
-        F.struct(F.lit(s).cast("long").alias("s"), F.lit(pdf(abs(s) / moving_range)).alias("t"))
-        for s in range(-steps, steps + 1)
-    ])
-    moved = pixels.select(*keys, "bin1", "bin2", "value", F.explode(inside).alias("_s"))
+    def moves(weights: dict[int, float]) -> Column:
+        return F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(t).alias("t")) for s, t in weights.items()])
+
+    # rows i < s read row 0 above themselves, rows i > n-1-s read row n-1 below themselves
+    beyond = {o: sum(pdf(s / moving_range) for s in range(o + 1, steps + 1)) for o in range(steps)}
+    inside = {s: pdf(abs(s) / moving_range) for s in range(-steps, steps + 1)}
+    top, bottom = F.col("bin1") == 0, F.col("bin1") == n - 1
+
+    def with_edges(*signs: int) -> Column:
+        return moves({s: t + sum(beyond.get(sign * s, 0.0) for sign in signs) for s, t in inside.items()})
+
+    # pixels of a column meet before they multiply, so that sums need no shuffle of their own
+    met = pixels.repartition(*keys, "bin2")
+    each = F.when(top & bottom, with_edges(1, -1)).when(top, with_edges(1)).when(bottom, with_edges(-1)).otherwise(moves(inside))
+    moved = met.select(*keys, "bin1", "bin2", "value", F.explode(each).alias("_s"))
     plain = moved.select(
         *keys, (F.col("bin1") + F.col("_s.s")).alias("bin1"), "bin2", (F.col("value") * F.col("_s.t")).alias("value")
     ).where((F.col("bin1") >= 0) & (F.col("bin1") < n))
-    # rows i < s read row 0 above themselves, rows i > n-1-s read row n-1 below themselves
-    spill = F.array(*[
-        F.struct(F.lit(s).cast("long").alias("s"), F.lit(pdf(s / moving_range)).alias("t")) for s in range(1, steps + 1)
-    ])
-    edges = pixels.select(*keys, "bin1", "bin2", "value", F.explode(spill).alias("_s"))
-    upper = edges.where(F.col("bin1") == 0).select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_s.s"), n) - 1)).alias("_to"), "bin2",
-        (F.col("value") * F.col("_s.t")).alias("value"),
-    )
-    lower = edges.where(F.col("bin1") == n - 1).select(
-        *keys,
-        F.explode(F.sequence(F.greatest(n - F.col("_s.s"), F.lit(0).cast("long")), n - 1)).alias("_to"),
-        "bin2",
-        (F.col("value") * F.col("_s.t")).alias("value"),
-    )
-    ends = upper.unionByName(lower).withColumnRenamed("_to", "bin1")
-    return plain.unionByName(ends).groupBy(*keys, "bin1", "bin2").agg(F.sum("value").alias("value"))
+    return plain.groupBy(*keys, "bin1", "bin2").agg(F.sum("value").alias("value"))
 
 
 def complete_bins(scores: DataFrame, n_owners: Column) -> DataFrame:
