@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactmill.genome import Genome, bin_table
+from contactmill.operators import cellmaps
 from contactmill.operators.binning import symmetrize
 from contactmill.operators.insulation import gaussian_taps
 from contactmill.operators.stats import spearman
@@ -79,40 +80,20 @@ def depth_scaled_adjacency(pixels: DataFrame, cells: DataFrame, genome: Genome,
     )
 
 
-def _stencil(bin_: Column, n: Column, center: float, side: float) -> Column:
-    """Targets of one coordinate under a 3-tap filter mirrored at the ends: structs of (to, tap)."""
-    own = F.lit(center) + F.when(bin_ == 0, F.lit(side)).otherwise(F.lit(0.0)) + F.when(
-        bin_ == n - 1, F.lit(side)
-    ).otherwise(F.lit(0.0))
-    steps = F.array(
-        F.struct((bin_ - 1).alias("to"), F.lit(side).alias("tap")),
-        F.struct(bin_.alias("to"), own.alias("tap")),
-        F.struct((bin_ + 1).alias("to"), F.lit(side).alias("tap")),
-    )
-    return F.filter(steps, lambda s: (s["to"] >= 0) & (s["to"] < n))
+def packed_cell_maps(pixels: DataFrame, genome: Genome, resolution: int) -> DataFrame:
+    """Upper triangles of the smoothed maps, one row with the arrays bin1, bin2 and value per cell and chromosome."""
+    side, center, _ = gaussian_taps(1.0, 1)
+    return cellmaps.smoothed(pixels, genome.bins(resolution), center, side, TINY)
 
 
 def smoothed_cell_maps(pixels: DataFrame, genome: Genome, resolution: int) -> DataFrame:
     """Symmetric per-cell maps under a 3x3 separable Gaussian (sigma 1, mirrored edges), divided by their total.
 
-    Each pixel sends its weighted value to at most nine neighbours, of which those below the diagonal are left out: the
-    maps are symmetric, and the lower triangle is mirrored after the sum. Mirrored edges keep the mass, so the total is
-    that of the pixels.
+    Pixels meet by map, and what they send to at most nine neighbours is summed in the task, for the upper triangle only: the
+    maps are symmetric, and the lower one is mirrored after the sum. Mirrored edges keep the mass, so the total is that of
+    the pixels.
     """
-    side, center, _ = gaussian_taps(1.0, 1)
-    n = genome.n_bins(F.col("chrom_ord"), resolution)
-    spread = (
-        symmetrize(pixels)
-        .select(*CELL_MAP, "value", "bin2", F.explode(_stencil(F.col("bin1"), n, center, side)).alias("r"))
-        .select(*CELL_MAP, "value", "r", F.explode(_stencil(F.col("bin2"), n, center, side)).alias("c"))
-        .where(F.col("r.to") <= F.col("c.to"))
-    )
-    smooth = spread.groupBy(*CELL_MAP, F.col("r.to").alias("bin1"), F.col("c.to").alias("bin2")).agg(
-        F.sum(F.col("value") * F.col("r.tap") * F.col("c.tap")).alias("value")
-    )
-    total = pixels.groupBy(*CELL_MAP).agg((2.0 * F.sum("value")).alias("_sum"))
-    shared = smooth.join(total, CELL_MAP).withColumn("value", F.col("value") / (F.col("_sum") + TINY)).drop("_sum")
-    return symmetrize(shared, double_diagonal=False)
+    return symmetrize(cellmaps.entries_of(packed_cell_maps(pixels, genome, resolution)), double_diagonal=False)
 
 
 def box_smoothed(maps: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
@@ -157,23 +138,34 @@ def batch_agreement(coverage: DataFrame) -> DataFrame:
 
 
 def batch_corrected(
-    maps: DataFrame, cells: DataFrame, coverage: DataFrame, agreement: DataFrame, below: float = 0.8
+    packed: DataFrame, cells: DataFrame, coverage: DataFrame, agreement: DataFrame, below: float = 0.8
 ) -> DataFrame:
-    """Rows of poorly agreeing batches rescaled from batch to bulk coverage, each map back to total 1."""
-    batched = maps.join(cells.select("cell_id", "batch"), "cell_id")
+    """Rows of poorly agreeing batches rescaled from batch to bulk coverage, each map back to total 1.
+
+    `packed` are the packed maps behind those of `coverage`: joins meet one row per map, and a map's total stays in its row.
+    The result holds both triangles, pixel by pixel.
+    """
     poor = agreement.where(F.col("spearman") < below).select("chrom_ord", "batch")
-    good = batched.join(poor, ["chrom_ord", "batch"], "left_anti").select(*CELL_MAP, "bin1", "bin2", "value")
-    ratio = coverage.select(
-        "chrom_ord", "batch", F.col("bin").alias("bin1"),
-        (F.col("bulk_row") / (F.col("batch_row") + TINY)).alias("_ratio"),
-    )
-    fixed = (
-        batched.join(poor, ["chrom_ord", "batch"], "left_semi")
-        .join(ratio, ["chrom_ord", "batch", "bin1"])
-        .select(*CELL_MAP, "bin1", "bin2", (F.col("value") * F.col("_ratio")).alias("value"))
+    by_bin = F.array_sort(F.collect_list(F.struct("bin", (F.col("bulk_row") / (F.col("batch_row") + TINY)).alias("r"))))
+    ratios = materialize(  # one array as long as the chromosome per poor batch; the planner sees its size
+        coverage.join(poor, ["chrom_ord", "batch"], "left_semi").groupBy("chrom_ord", "batch").agg(by_bin["r"].alias("_ratio"))
     )
-    shared = with_totals(fixed, CELL_MAP, _sum=F.sum("value"))
-    return good.unionByName(shared.select(*CELL_MAP, "bin1", "bin2", F.try_divide("value", "_sum").alias("value")))
+    joined = packed.join(cells.select("cell_id", "batch"), "cell_id").join(ratios, ["chrom_ord", "batch"], "left")
+
+    def at(bin_: Column) -> Column:
+        return F.element_at("_ratio", (bin_ + 1).cast("int"))
+
+    def mass(entry: Column) -> Column:
+        other = F.when(entry["bin1"] == entry["bin2"], F.lit(0.0)).otherwise(entry["value"] * at(entry["bin2"]))
+        return entry["value"] * at(entry["bin1"]) + other
+
+    entries = F.arrays_zip("bin1", "bin2", "value")
+    total = F.when(F.col("_ratio").isNotNull(), F.aggregate(entries, F.lit(0.0), lambda s, e: s + mass(e)))
+    summed = joined.withColumn("_sum", total)  # before pixels are made, once a map
+    pixels = summed.select(*CELL_MAP, "_ratio", "_sum", F.inline(entries))
+    both = symmetrize(pixels, double_diagonal=False)
+    value = F.when(F.col("_ratio").isNull(), F.col("value")).otherwise(F.try_divide(F.col("value") * at(F.col("bin1")), F.col("_sum")))
+    return both.select(*CELL_MAP, "bin1", "bin2", value.alias("value"))
 
 
 def feature_entries(maps: DataFrame) -> DataFrame:
@@ -185,10 +177,14 @@ FEATURE = ["chrom_ord", "bin1", "bin2"]
 
 
 def common_features(entries: DataFrame, n_cells: Column) -> DataFrame:
-    """Entries of features that are positive in more than min(5, n - 2) cells."""
+    """Entries of features that are positive in more than min(5, n - 2) cells.
+
+    The features are written once: many entries share one, and the planner need not shuffle entries by features where it sees
+    that these are few.
+    """
     limit = F.least(F.lit(5).cast("long"), n_cells - 2)
     seen = entries.where(F.col("value") > 0).groupBy(*FEATURE).agg(F.count(F.lit(1)).alias("_n"))
-    return entries.join(seen.where(F.col("_n") > limit).drop("_n"), FEATURE, "left_semi")
+    return entries.join(materialize(seen.where(F.col("_n") > limit).drop("_n")), FEATURE, "left_semi")
 
 
 def clipped_features(entries: DataFrame, sd: float = 10.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.functions.vectors import dot, squared_distance
 from contactmill.genome import Genome
-from contactmill.operators import features, insulation, linalg, stats
+from contactmill.operators import cellmaps, features, insulation, linalg, stats
 from contactmill.operators.binning import symmetrize
 from contactmill.session import materialize
 
@@ -71,10 +71,11 @@ def cell_features(
     rank: int | None = None,
 ) -> DataFrame:
     """Feature array per cell from its pixels: smoothing, batch correction, feature blocks, decomposition."""
-    maps = materialize(features.smoothed_cell_maps(pixels, genome, resolution))
+    packed = materialize(features.packed_cell_maps(pixels, genome, resolution))
+    maps = cellmaps.entries_of(packed)
     if "batch" in cells.columns:
-        coverage = features.batch_coverage(maps, cells, genome, resolution)
-        maps = features.batch_corrected(maps, cells, coverage, features.batch_agreement(coverage))
+        coverage = features.batch_coverage(symmetrize(maps, double_diagonal=False), cells, genome, resolution)
+        maps = materialize(features.batch_corrected(packed, cells, coverage, features.batch_agreement(coverage)))
     n_cells = cells.select(F.count(F.lit(1))).scalar()
     entries = materialize(features.common_features(features.feature_entries(maps), n_cells))
     scaled = features.scaled_features(features.clipped_features(entries), genome, resolution)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contactmill.functions import vectors
-from contactmill.operators import binning, features, linalg, stats
+from contactmill.operators import binning, cellmaps, features, linalg, stats
 from contactmill.plans import fixtures as fx
 from contactmill.plans.catalog import big, query, r6, rounded
 from contactmill.plans.counts import BULK_SQL
@@ -60,6 +60,14 @@ def smoothed(spark, sf):
     return features.smoothed_cell_maps(fx.pixels(spark, sf), GENOME, MB)
 
 
+def packed(spark, sf):
+    return features.packed_cell_maps(fx.pixels(spark, sf), GENOME, MB)
+
+
+def both_triangles(maps):
+    return binning.symmetrize(cellmaps.entries_of(maps), double_diagonal=False)
+
+
 @query("M3_smoothed_cell_maps", f"SELECT {_MAP_COLS}, {r6('value', 'value')} FROM smap", SMOOTH_SQL)
 def smoothed_cell_maps(spark, sf):
     return _map_out(smoothed(spark, sf))
@@ -102,8 +110,8 @@ poor AS (SELECT chrom_ord, batch FROM (
 )
 def batch_corrected(spark, sf):
     """Batches that agree less than the default with the bulk are corrected, the others left."""
-    maps, cells = smoothed(spark, sf), fx.cells(spark, sf)
-    coverage = features.batch_coverage(maps, cells, GENOME, MB)
+    maps, cells = packed(spark, sf), fx.cells(spark, sf)
+    coverage = features.batch_coverage(both_triangles(maps), cells, GENOME, MB)
     agreement = features.batch_agreement(coverage)
     return _map_out(features.batch_corrected(maps, cells, coverage, agreement))
 
@@ -115,13 +123,15 @@ def batch_corrected(spark, sf):
 )
 def every_batch_corrected(spark, sf):
     """With the threshold above 1 every batch counts as poor, so all maps are corrected."""
-    maps, cells = smoothed(spark, sf), fx.cells(spark, sf)
-    coverage = features.batch_coverage(maps, cells, GENOME, MB)
+    maps, cells = packed(spark, sf), fx.cells(spark, sf)
+    coverage = features.batch_coverage(both_triangles(maps), cells, GENOME, MB)
     return _map_out(features.batch_corrected(maps, cells, coverage, features.batch_agreement(coverage), below=1.1))
 
 
-def entries(spark, sf):
-    return features.feature_entries(smoothed(spark, sf))
+def entries(spark, sf, write=False):
+    """Where several passes read the smoothed maps, they are written once, as the full pipeline does."""
+    maps = packed(spark, sf)
+    return features.feature_entries(cellmaps.entries_of(materialize(maps) if write else maps))
 
 
 def _entry_sql(source="smap"):
@@ -141,7 +151,7 @@ def feature_blocks(spark, sf):
 
 def common(spark, sf):
     n_cells = fx.cells(spark, sf).select(F.count(F.lit(1))).scalar()
-    return features.common_features(entries(spark, sf), n_cells)
+    return features.common_features(entries(spark, sf, write=True), n_cells)
 
 
 @query("M7_common_features", f"SELECT {_MAP_COLS}, diagonal, {r6('value', 'value')} FROM common", _entry_sql())
@@ -155,10 +165,7 @@ def clipped_features(spark, sf):
 
 
 def scaled(spark, sf):
-    # the smoothed entries are read by four aggregates below: written once, as the full pipeline does
-    n_cells = fx.cells(spark, sf).select(F.count(F.lit(1))).scalar()
-    kept = materialize(features.common_features(materialize(entries(spark, sf)), n_cells))
-    return features.scaled_features(features.clipped_features(kept), GENOME, MB)
+    return features.scaled_features(features.clipped_features(common(spark, sf)), GENOME, MB)
 
 
 @query("M9_scaled_features", f"SELECT {_MAP_COLS}, diagonal, {r6('value', 'value')} FROM scaled", _entry_sql())
