@@ -49,20 +49,17 @@ def rank_within(
 
 
 def quantile_within(df: DataFrame, groups: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:
-    """Exact linearly interpolated quantile of `value` per group (one row in total for no groups)."""
-    ranked = rank_within(df.select(*groups, value).where(F.col(value).isNotNull()), groups, [value], "_r")
-    if groups:
-        sized = _joined(ranked, ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), groups)
-    else:
-        sized = ranked.withColumn("_n", ranked.select(F.count(F.lit(1))).scalar())
+    """Exact linearly interpolated quantile of `value` per group (one row in total for no groups).
+
+    Equal values collapse to one row before the range sort: a value that most rows share would fill one of its tasks.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sum(counted, groups, [value], "_c", "_upto")
+    sized = with_totals(cum, groups, _n=F.max("_upto")) if groups else cum.withColumn("_n", cum.select(F.max("_upto")).scalar())
     spot = (F.col("_n") - 1) * F.lit(float(q))
-    at = sized.withColumn("_lo", F.floor(spot)).withColumn("_frac", spot - F.floor(spot))
-    near = at.where((F.col("_r") - 1).between(F.col("_lo"), F.col("_lo") + 1))
-    low = F.max(F.when(F.col("_r") - 1 == F.col("_lo"), F.col(value)))
-    high = F.max(F.when(F.col("_r") - 1 == F.col("_lo") + 1, F.col(value)))
-    return near.groupBy(*groups).agg(
-        (low + (F.coalesce(high, low) - low) * F.max("_frac")).alias(name)
-    )
+    low = F.min(F.when(F.col("_upto") > F.floor(spot), F.col(value)))
+    high = F.min(F.when(F.col("_upto") > F.floor(spot) + 1, F.col(value)))
+    return sized.groupBy(*groups).agg((low + (F.coalesce(high, low) - low) * F.max(spot - F.floor(spot))).alias(name))
 
 
 def mean_ranks(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
