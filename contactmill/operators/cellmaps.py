@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 MAP = ["cell_id", "chrom_ord"]
 PACKED = "cell_id LONG, chrom_ord INT, bin1 ARRAY<LONG>, bin2 ARRAY<LONG>, value ARRAY<DOUBLE>"
+PIXELS = "cell_id LONG, chrom_ord INT, bin1 LONG, bin2 LONG, value DOUBLE"
+STACK = 1 << 19  # numbers of dense maps that are worked on at once
 _DENSE = 16  # maps with more than one target in so many bin pairs are summed in full
 
 
@@ -54,6 +56,25 @@ def by_map(pixels: DataFrame, run: Callable[..., Iterator[pa.RecordBatch]], sche
     return placed.repartition(*MAP).sortWithinPartitions(*MAP).mapInArrow(stream, schema)
 
 
+def pixel_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*MAP, "bin1", "bin2", "value"])
+
+
+def stacks(
+    starts: np.ndarray, sizes: np.ndarray, bin1: np.ndarray, bin2: np.ndarray, value: np.ndarray
+) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(map numbers, n, dense maps) for maps of the same size n at a time; equal places add up."""
+    number = _numbers(starts, len(value))
+    for n in np.unique(sizes).tolist():
+        same, step = np.flatnonzero(sizes == n), max(1, STACK // (n * n))
+        for part in (same[a : a + step] for a in range(0, len(same), step)):
+            place = np.full(len(starts), -1)
+            place[part] = np.arange(len(part))
+            held = place[number] >= 0
+            code = (place[number][held] * n + bin1[held]) * n + bin2[held]
+            yield part, n, np.bincount(code, value[held], len(part) * n * n).reshape(len(part), n, n)
+
+
 def _spread(
     number: np.ndarray, bin1: np.ndarray, bin2: np.ndarray, value: np.ndarray, n: np.ndarray,
     center: float, side: float, mirrored: bool, upper: bool,
@@ -119,11 +140,9 @@ def box_sums(maps: DataFrame, n: Column) -> DataFrame:
     def run(starts, cell, chrom, bin1, bin2, value, size):  # noqa: ANN001, ANN202
         number = _numbers(starts, len(cell))
         owner, row, col, sums = _spread(number, bin1, bin2, value, size, 1.0, 1.0, False, False)
-        columns = [cell[starts][owner], chrom[starts][owner], row, col, sums]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell_id", "chrom_ord", "bin1", "bin2", "value"])
+        yield pixel_batch(cell[starts][owner], chrom[starts][owner], row, col, sums)
 
-    schema = "cell_id LONG, chrom_ord INT, bin1 LONG, bin2 LONG, value DOUBLE"
-    return by_map(maps, run, schema, [n.cast("long").alias("_n")])
+    return by_map(maps, run, PIXELS, [n.cast("long").alias("_n")])
 
 
 def entries_of(packed: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,15 +95,9 @@ def smoothed_cell_maps(pixels: DataFrame, genome: Genome, resolution: int) -> Da
     return symmetrize(cellmaps.entries_of(packed_cell_maps(pixels, genome, resolution)), double_diagonal=False)
 
 
-def box_smoothed(maps: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
-    """3x3 mean with zeros outside the map; `maps` holds both triangles."""
-    shift = F.array(*[F.lit(s).cast("long") for s in (-1, 0, 1)])
-    spread = maps.select(*keys, "bin1", "bin2", "value", F.explode(shift).alias("_r")).select(
-        *keys, (F.col("bin1") + F.col("_r")).alias("bin1"), "bin2", "value", F.explode(shift).alias("_c")
-    )
-    moved = spread.withColumn("bin2", F.col("bin2") + F.col("_c"))
-    inside = (F.col("bin1") >= 0) & (F.col("bin1") < n) & (F.col("bin2") >= 0) & (F.col("bin2") < n)
-    return moved.where(inside).groupBy(*keys, "bin1", "bin2").agg((F.sum("value") / 9.0).alias("value"))
+def box_smoothed(maps: DataFrame, n: Column) -> DataFrame:
+    """3x3 mean of per-cell maps with zeros outside the map; `maps` holds both triangles."""
+    return cellmaps.box_sums(maps, n).withColumn("value", F.col("value") / 9.0)
 
 
 def batch_coverage(maps: DataFrame, cells: DataFrame, genome: Genome, resolution: int) -> DataFrame:
@@ -255,15 +248,18 @@ def _visits(smooth: np.ndarray, restart: float) -> np.ndarray:
     """Where a walk is found in the long run when it starts in each bin (rows), without the starting bins themselves.
 
     A walk goes on with probability `restart` and begins anew otherwise. Its limit Q obeys Q = (1 - r) I + r Q P, one linear
-    system; bins without partners keep to themselves.
+    system a map; bins without partners keep to themselves. Takes a stack of maps.
     """
-    n = len(smooth)
-    links = np.where(np.eye(n, dtype=bool), 0.0, smooth)
-    reach = links.sum(axis=0)
-    links[np.arange(n), np.arange(n)] = reach == 0
-    chances = links / np.where(reach == 0, 1.0, reach)
-    limit = np.linalg.solve((np.eye(n) - restart * chances).T, (1 - restart) * np.eye(n)).T
-    np.fill_diagonal(limit, 0.0)
+    n = smooth.shape[-1]
+    eye = np.eye(n)
+    links = np.where(eye > 0, 0.0, smooth)
+    reach = links.sum(axis=1)
+    diagonal = np.arange(n)
+    links[:, diagonal, diagonal] = reach == 0
+    chances = links / np.where(reach == 0, 1.0, reach)[:, None, :]
+    system = (eye - restart * chances).transpose(0, 2, 1)
+    limit = np.linalg.solve(system, np.broadcast_to((1 - restart) * eye, system.shape)).transpose(0, 2, 1).copy()
+    limit[:, diagonal, diagonal] = 0.0
     return limit
 
 
@@ -277,25 +273,26 @@ def random_walk_maps(
 ) -> DataFrame:
     """Box-smoothed maps after a random walk with restart, at pairs with min_bin <= bin2 - bin1 < max_bin.
 
-    One group is the map of one cell and chromosome: its size is set by the genome and the resolution.
+    Dense maps of one size are solved as a stack, as many as fit in cellmaps.STACK numbers and one at least; the size of one
+    is set by the genome and the resolution.
     """
-    sizes = genome.bins(resolution)
-
-    def impute(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, chrom = int(pdf["cell_id"].iloc[0]), int(pdf["chrom_ord"].iloc[0])
-        n = sizes[chrom]
-        upper = np.zeros((n, n))
-        np.add.at(upper, (pdf["bin1"].to_numpy(), pdf["bin2"].to_numpy()), pdf["value"].to_numpy())
-        full = np.pad(upper + upper.T, 1)
-        smooth = sum(full[i : i + n, j : j + n] for i in range(3) for j in range(3)) / 9.0
-        walked = _visits(smooth, restart)
-        b1, b2 = np.triu_indices(n, min_bin)
-        near = b2 - b1 < max_bin
-        b1, b2 = b1[near], b2[near]
-        return pd.DataFrame({"cell_id": cell, "chrom_ord": chrom, "bin1": b1, "bin2": b2, "value": walked[b1, b2]})
-
-    schema = "cell_id LONG, chrom_ord INT, bin1 LONG, bin2 LONG, value DOUBLE"
-    return pixels.groupBy(*CELL_MAP).applyInPandas(impute, schema)
+    sizes = np.array(genome.bins(resolution))
+
+    def run(starts, cell, chrom, bin1, bin2, value):  # noqa: ANN001, ANN202
+        for maps, n, upper in cellmaps.stacks(starts, sizes[chrom[starts]], bin1, bin2, value):
+            full = np.pad(upper + upper.transpose(0, 2, 1), ((0, 0), (1, 1), (1, 1)))
+            smooth = sum(full[:, i : i + n, j : j + n] for i in range(3) for j in range(3)) / 9.0
+            walked = _visits(smooth, restart)
+            b1, b2 = np.triu_indices(n, min_bin)
+            near = b2 - b1 < max_bin
+            b1, b2 = b1[near], b2[near]
+            first = starts[maps]
+            yield cellmaps.pixel_batch(
+                np.repeat(cell[first], len(b1)), np.repeat(chrom[first], len(b1)), np.tile(b1, len(maps)), np.tile(b2, len(maps)),
+                walked[:, b1, b2].reshape(-1),
+            )
+
+    return cellmaps.by_map(pixels, run, cellmaps.PIXELS)
 
 
 def top_percent_entries(maps: DataFrame, n: Column, top_percent: float) -> DataFrame:

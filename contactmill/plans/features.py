@@ -274,7 +274,7 @@ def l1_normalize(spark, sf):
 )
 def box_smoothing(spark, sf):
     full = binning.symmetrize(fx.pixels(spark, sf))
-    return _map_out(features.box_smoothed(full, ["cell_id", "chrom_ord"], GENOME.n_bins(F.col("chrom_ord"), MB)))
+    return _map_out(features.box_smoothed(full, GENOME.n_bins(F.col("chrom_ord"), MB)))
 
 
 @query("M18_random_walk")
