@@ -149,6 +149,22 @@ def low_coverage_bins(dense: DataFrame, keys: Sequence[str], threshold: float =
     return cover.join(mean, list(keys)).where(F.col("coverage") < F.col("_limit")).select(*keys, "bin")
 
 
+def low_coverage_bins_of_pixels(
+    pixels: DataFrame, owners: DataFrame, keys: Sequence[str], n: Column, threshold: float = 0.05
+) -> DataFrame:
+    """`low_coverage_bins` of the dense maps behind upper-triangle pixels, without their zeros: bins 0..n-1 of the owners'
+    maps (one row of `owners` with `keys` per map). A map without pixels has no bin below its mean."""
+    ends = F.array("bin1", "bin2")  # either end meets a pixel and its mirror once; on the diagonal both are one entry
+    placed = pixels.select(*keys, F.explode(ends).alias("bin"), (F.col("value") * F.when(F.col("bin1") == F.col("bin2"), 1.0).otherwise(2.0)).alias("value"))
+    cover = placed.groupBy(*keys, "bin").agg(F.sum("value").alias("c"))
+    curves = cover.groupBy(*keys).agg((F.sum("c") / F.max(n) * threshold).alias("_limit"), F.collect_list(F.struct("bin", "c")).alias("_c"))
+    enough = F.transform(F.filter("_c", lambda x: x["c"] >= F.col("_limit")), lambda x: x["bin"])
+    absent = F.when(F.col("_limit") > 0, F.array_except(F.sequence(F.lit(0).cast("long"), n - 1), enough)).otherwise(
+        F.transform(F.filter("_c", lambda x: x["c"] < F.col("_limit")), lambda x: x["bin"])
+    )
+    return curves.join(owners.select(*keys).distinct(), list(keys), "left_semi").select(*keys, F.explode(absent).alias("bin"))
+
+
 def decay_curve(dense: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean of the positive entries on every diagonal of a dense map, 0 where none is positive."""
     upper = dense.where(F.col("bin2") >= F.col("bin1"))

@@ -337,8 +337,10 @@ def decay_curve(spark, sf):
     oe_sql("SELECT c.cell_id * 6 + x.chrom_ord AS unit FROM cells c, chrom_sizes x", "SELECT cell_id * 6 + chrom_ord AS unit, bin1, bin2, value FROM pix", "unit", 20),
 )
 def low_coverage_bins(spark, sf):
-    dense = whole_maps(spark, sf, fx.pixels(spark, sf), fx.cells(spark, sf).select("cell_id"), 20)
-    return _long(maps.low_coverage_bins(dense, ["cell_id", "chrom_ord"]))
+    chroms = F.explode(F.array(*[F.lit(i) for i in range(6)])).alias("chrom_ord")
+    owners = fx.cells(spark, sf).select("cell_id", chroms)
+    n = GENOME.n_bins(F.col("chrom_ord"), MB)
+    return _long(maps.low_coverage_bins_of_pixels(fx.pixels(spark, sf), owners, ["cell_id", "chrom_ord"], n))
 
 
 def dense_cells(spark, sf, keys):
