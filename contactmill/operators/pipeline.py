@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.functions.vectors import dot, squared_distance
 from contactmill.genome import Genome
-from contactmill.operators import cellmaps, features, insulation, linalg, stats
+from contactmill.operators import cellmaps, features, linalg, stats
 from contactmill.operators.binning import symmetrize
 from contactmill.session import materialize
 
@@ -137,12 +137,16 @@ def signal_embedding(signals: DataFrame, cells: DataFrame, genome: Genome, resol
 def variable_bin_embedding(
     scores: DataFrame, cells: DataFrame, top_bins: int = 1000, components: int = 15
 ) -> DataFrame:
-    """Embedding of a subset of cells on the bins whose score varies most among them."""
-    chosen = scores.join(cells.select("cell_id"), "cell_id", "left_semi")
+    """Embedding of a subset of cells on the bins whose score varies most among them.
+
+    The scores are written once, for two passes read them; the few bins chosen are written too, so that the planner sees their
+    size and leaves the scores where they are.
+    """
+    chosen = materialize(scores.join(cells.select("cell_id"), "cell_id", "left_semi").select("cell_id", "chrom_ord", "bin", "score"))
     n_cells = cells.select(F.count(F.lit(1))).scalar()
-    full = insulation.complete_bins(chosen, n_cells)
-    variances = stats.bin_variance(chosen.join(full, ["chrom_ord", "bin"], "left_semi"))
-    top = stats.top_variable_bins(variances, top_bins).select("chrom_ord", "bin")
+    spread = chosen.groupBy("chrom_ord", "bin").agg(F.count("score").alias("_n"), F.var_pop("score").alias("variance"))
+    variances = spread.where(F.col("_n") == n_cells).drop("_n")
+    top = materialize(stats.top_variable_bins(variances, top_bins).select("chrom_ord", "bin"))
     packed = (
         chosen.join(top, ["chrom_ord", "bin"], "left_semi")
         .groupBy("cell_id")

@@ -27,10 +27,9 @@ isc AS (SELECT c.cell_id, g.chrom_ord, g.bin, CASE WHEN coalesce(m.m, 0) > 0 THE
   LEFT JOIN ismean m ON m.cell_id = c.cell_id AND m.chrom_ord = g.chrom_ord)"""
 
 
-def cell_scores(spark, sf):
-    return insulation.insulation_scores(
-        fx.pixels(spark, sf, FINE), fx.cells(spark, sf).select("cell_id"), GENOME, FINE, window=6
-    )
+def cell_scores(spark, sf, cells=None):
+    owners = (fx.cells(spark, sf) if cells is None else cells).select("cell_id")
+    return insulation.insulation_scores(fx.pixels(spark, sf, FINE), owners, GENOME, FINE, window=6)
 
 
 @query("W1_insulation", f"SELECT cell_id, {big('chrom_ord', 'chrom_ord')}, {big('bin', 'bin')}, {r6('score', 'score')} FROM isc", IS_SQL)
@@ -102,7 +101,7 @@ def variable_bin_embedding(spark, sf):
     from contactmill.operators.pipeline import variable_bin_embedding as embed
 
     cells = fx.cells(spark, sf).where(F.col("label").isin("type_0", "type_1", "type_2", "type_3"))
-    out = embed(cell_scores(spark, sf), cells, top_bins=100, components=15)
+    out = embed(cell_scores(spark, sf, cells), cells, top_bins=100, components=15)
     return out.select("cell_id", F.posexplode("features").alias("pos", "value")).withColumn("value", rounded("value"))
 
 
