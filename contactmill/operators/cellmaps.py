@@ -21,8 +21,9 @@ STACK = 1 << 19  # numbers of dense maps that are worked on at once
 _DENSE = 16  # maps with more than one target in so many bin pairs are summed in full
 
 
-def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of complete maps from batches sorted by map; a map that a batch cuts waits for its rest."""
+def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of complete maps (rows alike in the first two columns) from batches sorted by map; a map that a batch cuts waits
+    for its rest."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -48,7 +49,7 @@ def by_map(pixels: DataFrame, run: Callable[..., Iterator[pa.RecordBatch]], sche
     )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _complete(batches):
+        for columns in complete(batches):
             cell, chrom = columns[0], columns[1]
             starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (chrom[1:] != chrom[:-1])])
             yield from run(starts, *columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactmill.genome import Genome, bin_table
@@ -199,7 +199,8 @@ def scaled_features(entries: DataFrame, genome: Genome, resolution: int) -> Data
     blocks = entries.groupBy("chrom_ord").agg(
         (F.max("diagonal") & ~F.min("diagonal")).alias("_both")  # one row per chromosome
     )
-    shared = with_totals(entries, CELL_MAP, _sum=F.sum("value")).join(F.broadcast(blocks), "chrom_ord")
+    whole = Window.partitionBy(*CELL_MAP)  # the genome bounds a map; totals joined back would shuffle and sort twice
+    shared = entries.withColumn("_sum", F.sum("value").over(whole)).join(F.broadcast(blocks), "chrom_ord")
     scaled = F.try_divide("value", "_sum") * length
     return shared.withColumn("value", F.when(F.col("_both"), scaled).otherwise(F.col("value"))).drop("_sum", "_both")
 

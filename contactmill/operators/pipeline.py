@@ -33,10 +33,10 @@ def chromosome_embedding(
         return cells.select("cell_id", F.flatten(F.array_repeat(unit, n_chrom)).alias("features"))
     given = [rank] * n_chrom if rank else features.embedding_ranks(n_cells, genome, resolution)
     part = (F.col("chrom_ord") * 2 + F.col("diagonal").cast("int")).cast("long")
-    keyed = entries.select(
+    keyed = materialize(entries.select(  # read for the widths and by the decomposition
         part.alias("part"), F.col("cell_id").alias("row"),
         (F.col("bin1") * (1 << 31) + F.col("bin2")).alias("col"), "value",
-    )
+    ))
     widths = {r["part"]: r["n"] for r in keyed.groupBy("part").agg(F.count_distinct("col").alias("n")).toLocalIterator()}
     ranks, rank_so_far = [], 0
     for chrom in range(n_chrom):
@@ -58,7 +58,7 @@ def chromosome_embedding(
             F.col("cell_id").alias("row"),
         )
         fit_rows = rows.join(skip, ["part", "row"], "left_anti")
-    scores = linalg.randomized_svd(keyed, rows, dict(enumerate(ranks)), fit_rows)
+    scores = linalg.randomized_svd(keyed, rows, dict(enumerate(ranks)), fit_rows, stored=True)
     return linalg.concat_blocks(scores.withColumnRenamed("row", "cell_id"), "cell_id", ["part"], "scores")
 
 

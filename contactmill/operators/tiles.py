@@ -7,6 +7,9 @@ Parts have thin matrices of their own widths. Only Gram matrices (width x width)
 
 Centring is a rank-one correction of the thin side: (A - 1 m') X = A X - 1 (m' X), and the mean of the rows of A X is m' X.
 So nothing is ever filled in, and the number of columns is not limited.
+
+Parts with few columns need neither tiles nor iterations: rows are shuffled once, and the Gram matrices of all columns
+(`SMALL_GRAMS` bytes at most) give the right singular vectors exactly.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.functions.vectors import array_sum
+from contactmill.operators import cellmaps
 from contactmill.session import materialize
 
 ROWS, COLUMNS = 4096, 2048
 MAX_GRAM_BYTES = 2 << 30
+SMALL_GRAMS = 64 << 20  # bytes of the Gram matrices of all columns, up to which a task may hold them
 DIRECTIONS = 256  # of a principal component analysis, at least
 _DENSE = 30  # tiles with more than one entry in so many are multiplied as dense ones
 THIN = "part LONG, block LONG, ids ARRAY<LONG>, x ARRAY<DOUBLE>"
@@ -80,9 +85,10 @@ def _record(values: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(values))
 
 
-def tiled(entries: DataFrame, rows: DataFrame) -> Tiled:
-    """entries: part, row, col, value (equal places add up); rows: part, row, for every row there is."""
-    columns = materialize(entries.select("part", "col").distinct())
+def tiled(entries: DataFrame, rows: DataFrame, columns: DataFrame | None = None) -> Tiled:
+    """entries: part, row, col, value (equal places add up); rows: part, row, for every row there is; columns: the distinct part, col."""
+    if columns is None:
+        columns = materialize(entries.select("part", "col").distinct())
     n_rows, n_columns = _counts(rows), _counts(columns)
 
     def blocks(table: DataFrame, name: str, counts: dict[int, int], size: int) -> DataFrame:
@@ -170,9 +176,16 @@ def _sums(thin: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> dict[int,
         for part, value in found.items():
             yield from (_record({"part": part, "row": i, "x": row}) for i, row in enumerate(np.atleast_2d(value)))
 
-    rows = thin.mapInArrow(run, "part LONG, row LONG, x ARRAY<DOUBLE>").groupBy("part", "row")
+    return _collected(thin.mapInArrow(run, _PARTIAL))
+
+
+_PARTIAL = "part LONG, row LONG, x ARRAY<DOUBLE>"
+
+
+def _collected(partials: DataFrame) -> dict[int, np.ndarray]:
+    """Per part the sum of matrices given row by row."""
     found: dict[int, dict[int, list[float]]] = {}
-    for r in rows.agg(array_sum(F.col("x")).alias("x")).collect():  # `width` rows a part
+    for r in partials.groupBy("part", "row").agg(array_sum(F.col("x")).alias("x")).collect():  # `width` rows a part
         found.setdefault(r["part"], {})[r["row"]] = r["x"]
     return {p: np.array([m[i] for i in sorted(m)]) for p, m in found.items()}
 
@@ -189,6 +202,88 @@ def _orthonormalizer(g: np.ndarray) -> np.ndarray:
     return vectors * inv
 
 
+_CHUNK = "part LONG, ids ARRAY<LONG>, fit ARRAY<INT>, r ARRAY<INT>, c ARRAY<INT>, v ARRAY<DOUBLE>"
+
+
+def _chunks(entries: DataFrame, rows: DataFrame, fit_rows: DataFrame | None, columns: dict[int, np.ndarray]) -> DataFrame:
+    """Some whole rows of a part each: their ids, whether the fit sees them, and their entries at (r, c).
+
+    A listed row travels along as an entry without a value, so rows without entries stay and others go, without a join.
+    """
+    listed = rows.withColumn("mark", F.lit(1))
+    if fit_rows is not None:
+        listed = rows.join(fit_rows.withColumn("mark", F.lit(1)), ["part", "row"], "left").fillna(0, ["mark"])
+    marks = listed.select("part", "row", F.lit(0).cast("long").alias("col"), F.lit(0.0).alias("value"), "mark")
+    both = entries.withColumn("mark", F.lit(-1)).unionByName(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, col, value, mark in cellmaps.complete(batches):
+            starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])])
+            number = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(part)]))
+            fit, owner = np.maximum.reduceat(mark, starts), part[starts]
+            for p in np.unique(owner):
+                own = np.flatnonzero((owner == p) & (fit >= 0))
+                if not len(own):
+                    continue
+                place = np.full(len(starts), -1)
+                place[own] = np.arange(len(own))
+                held = (mark < 0) & (place[number] >= 0)
+                yield _record({
+                    "part": int(p), "ids": row[starts][own], "fit": fit[own].astype(np.int32),
+                    "r": place[number][held].astype(np.int32),
+                    "c": np.searchsorted(columns.get(int(p), np.empty(0, np.int64)), col[held]).astype(np.int32), "v": value[held],
+                })
+
+    return both.repartition("part", "row").sortWithinPartitions("part", "row").mapInArrow(run, _CHUNK)
+
+
+def _small_svd(
+    entries: DataFrame, rows: DataFrame, ranks: dict[int, int], columns: dict[int, np.ndarray],
+    fit_rows: DataFrame | None, center: bool, spectrum: dict[int, np.ndarray] | None,
+) -> DataFrame:
+    """Scores by the eigenvectors of the whole Gram matrix of each part: one shuffle of the entries, two passes over the rows."""
+    chunks = materialize(_chunks(entries, rows, fit_rows, columns))
+    widths = {p: len(columns.get(p, ())) for p in ranks}
+
+    def dense(t: dict) -> np.ndarray:
+        height, width = len(t["ids"]), widths[t["part"]]
+        place = t["r"].astype(np.int64) * width + t["c"]
+        return np.bincount(place, weights=t["v"], minlength=height * width).reshape(height, width)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Gram matrices of rows with a one behind; the last row has the sums over all rows, fitted on or not."""
+        found: dict[int, np.ndarray] = {}
+        for t in _rows_of(batches):
+            x = np.pad(dense(t), ((0, 0), (0, 1)), constant_values=1.0)
+            fitted = x[t["fit"] > 0]
+            found[t["part"]] = found.get(t["part"], 0.0) + np.vstack([fitted.T @ fitted, x.sum(axis=0)])
+        for part, value in found.items():
+            yield from (_record({"part": part, "row": i, "x": row}) for i, row in enumerate(value))
+
+    turn, means = {}, {}
+    for p, sums in _collected(chunks.mapInArrow(partial, _PARTIAL)).items():
+        if not widths[p]:
+            continue
+        g, fit_sums, n_fit = sums[:-2, :-1], sums[-2, :-1], sums[-2, -1]
+        if center:
+            g = g - np.outer(fit_sums, fit_sums) / max(1.0, n_fit)
+        values, vectors = np.linalg.eigh((g + g.T) / 2)
+        order = np.argsort(values)[::-1][: ranks[p]]
+        turn[p] = np.where(values[order] > max(values.max(), 0.0) * 1e-13, vectors[:, order], 0.0)
+        means[p] = sums[-1, :-1] @ turn[p] / sums[-1, -1] if center else 0.0
+        if spectrum is not None:
+            spectrum[p] = np.sqrt(np.maximum(values[order], 0.0))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _rows_of(batches):
+            p, n = t["part"], len(t["ids"])
+            y = dense(t) @ turn[p] - means[p] if p in turn else np.zeros((n, ranks[p]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * y.shape[1]), pa.array(y.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p)), pa.array(t["ids"]), lists], names=["part", "row", "scores"])
+
+    return chunks.mapInArrow(score, "part LONG, row LONG, scores ARRAY<DOUBLE>")
+
+
 def randomized_svd(
     entries: DataFrame,
     rows: DataFrame,
@@ -198,19 +293,33 @@ def randomized_svd(
     oversample: int = 10,
     n_iter: int = 2,
     spectrum: dict[int, np.ndarray] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Scores A V of truncated singular value decompositions, one per `part`, computed together.
 
-    entries: part, row, col, value (sparse). rows: part, row for every row to report. rank: wanted components, the same for
+    While the Gram matrices of all columns are small, V comes from these and is exact; oversample and n_iter do not count
+    then. entries: part, row, col, value (sparse). rows: part, row for every row to report. rank: wanted components, the same for
     all parts or one number a part; a part has at most as many as it has rows or columns. fit_rows: the rows V is fitted on
     (all when absent). center: subtract column means, as a principal component analysis does. Result: part, row, scores (by
-    falling singular value). A dict given as `spectrum` receives the singular values per part.
+    falling singular value). A dict given as `spectrum` receives the singular values per part. Entries are read several times:
+    they are written once, unless they are a table already (`stored`).
     """
-    rows = rows.select(F.col("part").cast("long").alias("part"), "row")
-    matrix = tiled(materialize(entries.select(F.col("part").cast("long").alias("part"), "row", "col", "value")), rows)
-    ranks = {
-        p: max(1, min(rank[p] if isinstance(rank, dict) else rank, n, matrix.n_columns.get(p, 0) or n)) for p, n in matrix.n_rows.items()
-    }
+    rows = rows.select(F.col("part").cast("long").alias("part"), F.col("row").cast("long").alias("row"))
+    entries = entries.select(
+        F.col("part").cast("long").alias("part"), F.col("row").cast("long").alias("row"),
+        F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"),
+    )
+    entries = entries if stored else materialize(entries)
+    columns = materialize(entries.select("part", "col").distinct())
+    n_rows, n_columns = _counts(rows), _counts(columns)
+    ranks = {p: max(1, min(rank[p] if isinstance(rank, dict) else rank, n, n_columns.get(p, 0) or n)) for p, n in n_rows.items()}
+    if sum(8 * (n + 2) ** 2 for n in n_columns.values()) <= SMALL_GRAMS:
+        ids: dict[int, list[int]] = {}
+        for r in columns.where(F.col("part").isin(list(n_rows))).collect():  # few: their Gram matrices are small
+            ids.setdefault(r["part"], []).append(r["col"])
+        fit = None if fit_rows is None else fit_rows.select(F.col("part").cast("long").alias("part"), "row").distinct()
+        return _small_svd(entries, rows, ranks, {p: np.sort(np.array(c)) for p, c in ids.items()}, fit, center, spectrum)
+    matrix = tiled(entries, rows, columns)
     widths = {p: min(ranks[p] + oversample, max(ranks[p], min(matrix.n_rows[p], matrix.n_columns.get(p, 0)))) for p in ranks}
     check_gram_size(len(widths), max(widths.values(), default=1))
     fitted = None

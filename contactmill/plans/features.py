@@ -60,8 +60,8 @@ def smoothed(spark, sf):
     return features.smoothed_cell_maps(fx.pixels(spark, sf), GENOME, MB)
 
 
-def packed(spark, sf):
-    return features.packed_cell_maps(fx.pixels(spark, sf), GENOME, MB)
+def packed(spark, sf, pix=None):
+    return features.packed_cell_maps(fx.pixels(spark, sf) if pix is None else pix, GENOME, MB)
 
 
 def both_triangles(maps):
@@ -128,9 +128,9 @@ def every_batch_corrected(spark, sf):
     return _map_out(features.batch_corrected(maps, cells, coverage, features.batch_agreement(coverage), below=1.1))
 
 
-def entries(spark, sf, write=False):
+def entries(spark, sf, write=False, pix=None):
     """Where several passes read the smoothed maps, they are written once, as the full pipeline does."""
-    maps = packed(spark, sf)
+    maps = packed(spark, sf, pix)
     return features.feature_entries(cellmaps.entries_of(materialize(maps) if write else maps))
 
 
@@ -149,9 +149,9 @@ def feature_blocks(spark, sf):
     return _map_out(entries(spark, sf))
 
 
-def common(spark, sf):
+def common(spark, sf, pix=None):
     n_cells = fx.cells(spark, sf).select(F.count(F.lit(1))).scalar()
-    return features.common_features(entries(spark, sf, write=True), n_cells)
+    return features.common_features(entries(spark, sf, write=True, pix=pix), n_cells)
 
 
 @query("M7_common_features", f"SELECT {_MAP_COLS}, diagonal, {r6('value', 'value')} FROM common", _entry_sql())
@@ -164,8 +164,8 @@ def clipped_features(spark, sf):
     return _map_out(features.clipped_features(common(spark, sf)))
 
 
-def scaled(spark, sf):
-    return features.scaled_features(features.clipped_features(common(spark, sf)), GENOME, MB)
+def scaled(spark, sf, pix=None):
+    return features.scaled_features(features.clipped_features(common(spark, sf, pix)), GENOME, MB)
 
 
 @query("M9_scaled_features", f"SELECT {_MAP_COLS}, diagonal, {r6('value', 'value')} FROM scaled", _entry_sql())
@@ -179,9 +179,9 @@ def chromosome_svd(spark, sf):
     from contactmill.operators.pipeline import chromosome_embedding
     from contactmill.operators.stats import quality_flags
 
-    pix, cells = fx.pixels(spark, sf), fx.cells(spark, sf)
+    pix, cells = materialize(fx.pixels(spark, sf)), fx.cells(spark, sf)  # read for maps, bulk and flags
     flags = quality_flags(pix, cells, features.pseudo_bulk(pix, GENOME, MB), GENOME, MB)
-    out = chromosome_embedding(scaled(spark, sf), cells.select("cell_id"), GENOME, MB, flags=flags)
+    out = chromosome_embedding(scaled(spark, sf, pix), cells.select("cell_id"), GENOME, MB, flags=flags)
     return out.select("cell_id", F.posexplode("features").alias("pos", "value")).withColumn("value", rounded("value"))
 
 
