@@ -299,28 +299,29 @@ def random_walk_maps(
 def top_percent_entries(maps: DataFrame, n: Column, top_percent: float) -> DataFrame:
     """Entries above each dense map's (100 - top_percent) percentile, zeros counted but never stored.
 
-    `maps` holds both triangles of non-negative maps; value counts per map stand for the sorted dense map.
+    `maps` holds both triangles of non-negative maps. Pixels are shuffled once; a map is sorted in its task.
     """
-    counts = maps.where(F.col("value") > 0).groupBy(*CELL_MAP, "value").agg(F.count(F.lit(1)).alias("c"))
-    stored = counts.groupBy(*CELL_MAP).agg(
-        F.sum("c").alias("nnz"), F.array_sort(F.collect_list(F.struct("value", "c"))).alias("levels")
-    )
-    total = n * n
-    spot = (total - 1) * F.lit((100.0 - top_percent) / 100.0)
-    zeros = total - F.col("nnz")
-
-    def at(rank: Column) -> Column:
-        """Value at a 0-based rank of the dense sorted map."""
-        walked = F.aggregate(
-            "levels",
-            F.struct(zeros.cast("long").alias("upto"), F.lit(0.0).alias("value")),
-            lambda s, x: F.when(s["upto"] > rank, s).otherwise(
-                F.struct((s["upto"] + x["c"]).alias("upto"), x["value"].alias("value"))
-            ),
-        )
-        return walked["value"]
-
-    low = F.floor(spot)
-    cut = at(low) + (at(F.least(low + 1, total - 1)) - at(low)) * (spot - low)
-    cuts = stored.select(*CELL_MAP, cut.alias("_cut"))
-    return maps.join(cuts, CELL_MAP).where(F.col("value") > F.col("_cut")).drop("_cut")
+    share = (100.0 - top_percent) / 100.0
+
+    def run(starts, cell, chrom, bin1, bin2, value, size):  # noqa: ANN001, ANN202
+        number = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(cell)]))
+        positive = value > 0
+        levels = value[positive][np.lexsort((value[positive], number[positive]))]
+        nnz = np.bincount(number[positive], minlength=len(starts))
+        first, total = np.cumsum(nnz) - nnz, size[starts].astype(np.int64) ** 2
+
+        def at(rank: np.ndarray) -> np.ndarray:
+            """Values at 0-based ranks of the dense sorted maps."""
+            beyond = rank - (total - nnz)
+            out = np.zeros(len(rank))
+            out[beyond >= 0] = levels[(first + beyond)[beyond >= 0]]
+            return out
+
+        spot = (total - 1) * share
+        low = np.floor(spot).astype(np.int64)
+        below = at(low)
+        cut = below + (at(np.minimum(low + 1, total - 1)) - below) * (spot - low)
+        kept = positive & (value > cut[number])
+        yield cellmaps.pixel_batch(cell[kept], chrom[kept], bin1[kept], bin2[kept], value[kept])
+
+    return cellmaps.by_map(maps.where(n.isNotNull()), run, cellmaps.PIXELS, [n.cast("long").alias("_n")])

@@ -112,7 +112,7 @@ def top_percent_embedding(
     rows = cells.select(F.explode(parts).alias("part"), F.col("cell_id").alias("row"))
     scores = linalg.randomized_svd(keyed, rows, dict(enumerate(ranks)), center=True)
     joined = linalg.concat_blocks(scores.withColumnRenamed("row", "cell_id"), "cell_id", ["part"], "scores")
-    return linalg.principal_components(joined, dim)
+    return linalg.principal_components(materialize(joined), dim)  # several passes read it
 
 
 def signal_embedding(signals: DataFrame, cells: DataFrame, genome: Genome, resolution: int) -> DataFrame:
