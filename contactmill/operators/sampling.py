@@ -5,9 +5,12 @@ Random draws are arithmetic hashes of row keys, so every run and every retry dra
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +18,11 @@ from contactmill.functions.draws import MODULUS, hash_further, hash_key, unit_dr
 from contactmill.genome import Genome
 from contactmill.operators.binning import symmetrize
 from contactmill.scale import quantile_within, rank_within
-from contactmill.session import materialize, materialize_layout
+from contactmill.session import materialize
 
 EDGE = ["cell_id", "chrom_ord", "bin1", "bin2"]
+BUCKET_SLOTS = 1 << 17  # slots for each bucket of maps in which tries meet contacts
+_BUNDLE = 1 << 19  # tries that a task bundles at once
 
 
 def padded_edges(edges: DataFrame, nodes: Sequence[str]) -> DataFrame:
@@ -81,17 +86,55 @@ def near_contacts(candidates: DataFrame, pixels: DataFrame, n: Column) -> DataFr
     return hit.select(*candidates.columns).distinct()
 
 
-def forbidden(pixels: DataFrame, n: Column, max_bin: int) -> DataFrame:
-    """Every (cell_id, chrom_ord, bin1, bin2) with 1 < bin2 - bin1 < max_bin that has a stored contact within its 3x3
-    neighbourhood, once. Contacts in the last bin of a chromosome forbid nothing.
+def _code(genome: Genome, resolution: int) -> tuple[Column, int]:
+    """A number per triple, and what lies between the numbers of neighbouring bin1. A map has an empty border."""
+    width = max(genome.bins(resolution)) + 2
+    code = F.lit(0).cast("long")
+    for column, size in (("cell_id", 1), ("chrom_ord", len(genome.chroms)), ("bin1", width), ("bin2", width)):
+        code = code * size + F.col(column) + (1 if size == width else 0)
+    return code, width
 
-    Stored contacts are upper-triangle: mirrored ones reach no further than the diagonal band that is left out anyway.
+
+def _bundled(table: DataFrame, bucket: Column, columns: Sequence[str]) -> DataFrame:
+    """Whole numbers in `columns` as arrays: a row holds what goes from some batches of a task to one bucket."""
+
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, *rest = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(len(columns) + 1))
+        order = np.argsort(first, kind="stable")
+        found, starts = np.unique(first[order], return_index=True)
+        offsets = pa.array(np.r_[starts, len(order)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in rest]
+        yield pa.RecordBatch.from_arrays([pa.array(found), *lists], names=["bucket", *columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in held) >= _BUNDLE:
+                yield from pack(held)
+                held = []
+        if held:
+            yield from pack(held)
+
+    flat = table.select(bucket.alias("bucket"), *[F.col(c).cast("long").alias(c) for c in columns])
+    return flat.mapInArrow(run, ", ".join(["bucket LONG", *(f"{c} ARRAY<LONG>" for c in columns)]))
+
+
+def _free(tries: DataFrame, contacts: DataFrame, width: int) -> DataFrame:
+    """(_slot, attempt) of bundled tries (bucket, code, _slot, attempt) without one of the bundled contacts (bucket, code) within
+    their 3x3 neighbourhood: what a contact forbids is worked out in the task of its bucket.
+
+    Stored contacts are upper-triangle: mirrored ones reach no further than the diagonal band, which no try falls on.
     """
-    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    spots = F.array(*[F.struct((F.col("bin1") + i).alias("bin1"), (F.col("bin2") + j).alias("bin2")) for i, j in steps])
-    reached = pixels.where((F.col("bin1") < n - 1) & (F.col("bin2") < n - 1)).select(*EDGE).distinct()
-    wide = reached.select("cell_id", "chrom_ord", F.inline(spots)).where(F.col("bin1") >= 0)
-    return wide.where(_in_band(max_bin)).distinct()
+
+    def run(asked: pa.Table, seen: pa.Table) -> pa.Table:
+        columns = [pc.list_flatten(asked.column(c)).to_numpy() for c in ("code", "_slot", "attempt")]
+        code = pc.list_flatten(seen.column("code")).to_numpy()
+        blocked = np.concatenate([code + i * width + j for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        free = ~np.isin(columns[0], blocked)
+        return pa.table({"_slot": columns[1][free], "attempt": columns[2][free].astype(np.int32)})
+
+    return tries.groupBy("bucket").cogroup(contacts.groupBy("bucket")).applyInArrow(run, "_slot LONG, attempt INT")
 
 
 def _in_band(max_bin: int) -> Column:
@@ -115,12 +158,12 @@ def negatives(
 
     A draw below pair_ratio changes one node, else all three; accepted triples have 1 < bin2 - bin1 < max_bin and no
     contact within their 3x3 neighbourhood. Each slot takes its first accepted try of `tries`; a slot whose tries all
-    fail gives none. Contacts are widened once to all triples they forbid. Slots try in rounds, one try first and then
-    twice as many as before; a try is one row and one anti join, and only slots still open go on. What a try draws follows
-    from its slot and number, so rounds pass on numbers only.
+    fail gives none. Slots try in rounds, one try first and then four times as many as before, and only slots still open go on. Tries
+    and contacts are three numbers and one; they go to buckets of maps in bundles, not row by row, and meet there. Buckets grow
+    in number with the slots. What a try draws follows from its slot and number, so rounds pass on numbers only.
     """
     n = genome.n_bins(F.col("chrom_ord"), resolution)
-    blocked = materialize_layout(forbidden(pixels, n, max_bin).repartition(*EDGE))
+    code, code_width = _code(genome, resolution)
     slots = positives.select(*[F.col(c).alias(f"of_{c}") for c in EDGE]).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1))).alias("slot")
     )
@@ -131,16 +174,20 @@ def negatives(
         return _drawn(table, n, n_cells, max_bin, pair_ratio)
 
     open_slots = materialize(slots.withColumns({"_slot": F.monotonically_increasing_id(), "_base": base}))
+    bucket = F.pmod(F.xxhash64("cell_id", "chrom_ord"), F.lit(open_slots.count() // BUCKET_SLOTS + 1))
+    inner = pixels.where((F.col("bin1") < n - 1) & (F.col("bin2") < n - 1))  # those in the last bin forbid nothing
+    contacts = materialize(_bundled(inner.withColumn("code", code), bucket, ["code"]))
     done, first_try, width = [], 1, 1
     while first_try <= tries:
         last = min(tries, first_try + width - 1)
         made = drawn(open_slots.withColumn("attempt", F.explode(F.sequence(F.lit(first_try), F.lit(last)))))
-        free = made.where(_in_band(max_bin)).select("_slot", "attempt", *EDGE).join(blocked, EDGE, "left_anti")
+        asked = made.where(_in_band(max_bin)).withColumn("code", code)
+        free = _free(_bundled(asked, bucket, ["code", "_slot", "attempt"]), contacts, code_width)
         found = free.groupBy("_slot").agg(F.min("attempt").alias("attempt"))
         tried = materialize(open_slots.join(found, "_slot", "left"))
         done.append(tried.where(F.col("attempt").isNotNull()))
         open_slots = tried.where(F.col("attempt").isNull()).drop("attempt")
-        first_try, width = last + 1, width * 2
+        first_try, width = last + 1, width * 4
         if open_slots.isEmpty():
             break
     return drawn(reduce(DataFrame.unionByName, done)).select(

@@ -8,6 +8,7 @@ from contactmill.functions.draws import MODULUS, hash_key_sql
 from contactmill.operators import binning, sampling
 from contactmill.plans import fixtures as fx
 from contactmill.plans.catalog import big, query, r6, rounded
+from contactmill.session import materialize
 
 GENOME, MB = fx.GENOME, fx.MB
 def count_rows():
@@ -107,7 +108,7 @@ def adjacency_rows(spark, sf):
 
 
 def negative_table(spark, sf):
-    pix = fx.pixels(spark, sf)
+    pix = materialize(fx.pixels(spark, sf))  # read as positives and as contacts
     positives = pix.where(F.col("bin2") - F.col("bin1") >= 2)
     n_cells = fx.cells(spark, sf).count()
     return sampling.negatives(positives, pix, GENOME, MB, n_cells, per_positive=2, max_bin=12, seed=9)
