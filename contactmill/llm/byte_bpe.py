@@ -3,7 +3,8 @@
 Documents are cut into pre-tokens in blocks: consecutive documents of one task up to a number of characters. Inside a block
 every distinct word gets a number, and the positions of the words are kept as the sequence of these numbers. Then
 
-1. each (block, distinct word) goes to the task that owns the word, sorted by word, where each word is encoded once;
+1. the distinct words of a block go to the buckets that own them, in one sorted, packed bundle a bucket; the task of a bucket
+   encodes a word when it first meets it;
 2. the ids go back to the block, which puts them at the word's positions and cuts the result at the documents.
 
 Documents are cut once: the words of a block and its head (documents and sequence) leave the same task and take both shuffles
@@ -31,7 +32,9 @@ from contactmill.session import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_CHARS = 32_000_000
-_MANY = 4096
+BUCKETS = 256  # of words
+_KNOWN = 400_000  # words a task remembers
+_END = b"\xff"  # between words: no byte of UTF-8
 
 
 @lru_cache(4)
@@ -47,13 +50,14 @@ def splitter(pattern: str | None = None):
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2**32, byte planes one after the other, compressed."""
+    """Whole numbers below 2**32: how many, then their byte planes one after the other, compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
+    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(planes.tobytes(), asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * size, asbytes=True), np.uint8).reshape(4, size)
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
@@ -65,9 +69,11 @@ class _Numbers(dict):
 
 _HEAD = "doc_ids array<bigint>, lengths binary, sequence binary"
 _HEAD_FIELDS = [("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("sequence", pa.binary())]
-#: Rows of words, and one row with the head of each block.
-_CUT = f"block bigint, number int, word string, {_HEAD}"
-_CUT_ARROW = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.string()), *_HEAD_FIELDS])
+#: Bundles of words, and one row with the head of each block.
+_CUT = f"block bigint, bucket int, words binary, numbers binary, {_HEAD}"
+_CUT_ARROW = pa.schema([
+    ("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("numbers", pa.binary()), *_HEAD_FIELDS
+])
 
 
 class _Block:
@@ -91,14 +97,23 @@ class _Block:
         return sequence, number
 
     def leave(self) -> Iterator[pa.RecordBatch]:
-        """The distinct words, then one row with the documents and the sequence of their words."""
-        (sequence, number), words = self._numbered(), list(self.words)
-        for at in range(0, len(words), _MANY):
-            part = words[at : at + _MANY]
-            columns = [pa.array(np.full(len(part), self.key)), pa.array(number[at : at + _MANY].astype(np.int32)), pa.array(part)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(part), t) for _, t in _HEAD_FIELDS)], schema=_CUT_ARROW)
+        """The distinct words, one bundle a bucket, then one row with the documents and the sequence of their words."""
+        sequence, number = self._numbered()
+        bundles: list[list[tuple[bytes, int]]] = [[] for _ in range(BUCKETS)]
+        for word, n in zip(self.words, number.tolist(), strict=True):
+            piece = word.encode()
+            bundles[zlib.crc32(piece) % BUCKETS].append((piece, n))
+        filled = [(k, sorted(bundle)) for k, bundle in enumerate(bundles) if bundle]  # sorted words pack best
+        columns = {
+            "block": pa.array([self.key] * len(filled), pa.int64()),
+            "bucket": pa.array([k for k, _ in filled], pa.int32()),
+            "words": pa.array([zlib.compress(_END.join(piece for piece, _ in found)) for _, found in filled], pa.binary()),
+            "numbers": pa.array([packed(np.array([n for _, n in found])) for _, found in filled], pa.binary()),
+            **{c: pa.nulls(len(filled), t) for c, t in _HEAD_FIELDS},
+        }
+        yield pa.RecordBatch.from_arrays(list(columns.values()), schema=_CUT_ARROW)
         yield pa.RecordBatch.from_pydict({
-            "block": [self.key], "number": [None], "word": [None],
+            "block": [self.key], "bucket": [None], "words": [None], "numbers": [None],
             "doc_ids": [self.rows], "lengths": [packed(np.array(self.lengths))], "sequence": [packed(number[sequence])],
         }, schema=_CUT_ARROW)
 
@@ -128,60 +143,31 @@ _ENCODED_ARROW = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in _
 
 
 def _encode(vocabulary: str):
-    """Rows of one task sorted by word: every word is encoded where it begins; the ids leave grouped by block, heads as they are."""
+    """The words of each bundle become their ids, which take its place; heads leave as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = bpe.ranks_of(vocabulary)
-        word, ids = None, []
-        for batch in _gathered(batches, 4 * _MANY):
-            if batch.schema.names == _ENCODED_ARROW.names:
-                yield batch
-                continue
-            encoded, which = [], np.empty(batch.num_rows, np.int64)
-            for k, found in enumerate(batch.column("word").to_pylist()):
-                if found != word or not encoded:
-                    if found != word:
-                        word, piece = found, found.encode()
-                        ids = [ranks[piece]] if piece in ranks else [ranks[t] for t in bpe.merged(piece, ranks)]
-                    encoded.append(ids)
-                which[k] = len(encoded) - 1
-            if not len(which):
-                continue
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            start, flat = np.cumsum(sizes) - sizes, np.fromiter((i for x in encoded for i in x), np.uint32, sizes.sum())
-            blocks, numbers = np.asarray(batch.column("block")), np.asarray(batch.column("number"))
-            order = np.argsort(blocks, kind="stable")
-            cuts = np.flatnonzero(np.diff(blocks[order], prepend=blocks[order[0]] - 1))
-            out = {"block": [], **{c: [] for c in _SENT}}
-            for rows in np.split(order, cuts[1:]):
-                own = which[rows]
-                out["block"].append(int(blocks[rows[0]]))
-                out["numbers"].append(packed(numbers[rows]))
-                out["n_ids"].append(packed(sizes[own]))
-                out["ids"].append(packed(flat[_ranges(start[own], sizes[own])]))
-            out |= {c: pa.nulls(len(out["block"]), t) for c, t in _HEAD_FIELDS}
-            yield pa.RecordBatch.from_pydict(out, schema=_ENCODED_ARROW)
-
-    return run
+        known: dict[bytes, list[int]] = {}
 
+        def ids_of(piece: bytes) -> list[int]:
+            ids = known.get(piece)
+            if ids is None:
+                if len(known) >= _KNOWN:
+                    known.clear()
+                ids = known[piece] = [ranks[piece]] if piece in ranks else [ranks[t] for t in bpe.merged(piece, ranks)]
+            return ids
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The words in batches of at least so many: they are short, and what leaves together packs better; heads as encoded rows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        heads = batch.column("sequence").is_valid()
-        if heads.true_count:
-            found = batch.filter(heads)
-            columns = {name: found.column(name) for name in ("block", *(c for c, _ in _HEAD_FIELDS))}
-            columns |= {c: pa.nulls(found.num_rows, pa.binary()) for c in _SENT}
+        for batch in batches:
+            n_ids, sent = [], []
+            for words in batch.column("words").to_pylist():
+                found = None if words is None else [ids_of(piece) for piece in zlib.decompress(words).split(_END)]
+                n_ids.append(None if found is None else packed(np.fromiter(map(len, found), np.uint32, len(found))))
+                sent.append(None if found is None else packed(np.fromiter((i for x in found for i in x), np.uint32)))
+            columns = {name: batch.column(name) for name in ("block", "numbers", *(c for c, _ in _HEAD_FIELDS))}
+            columns |= {"n_ids": pa.array(n_ids, pa.binary()), "ids": pa.array(sent, pa.binary())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in _ENCODED_ARROW.names], schema=_ENCODED_ARROW)
-            batch = batch.filter(batch.column("sequence").is_null())
-        held.append(batch.select(["block", "number", "word"]))
-        if sum(b.num_rows for b in held) >= rows:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
+
+    return run
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -211,8 +197,8 @@ def _shuffled(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, patt
     texts = short_batches(docs).select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
     texts = (texts if stored else materialize(texts)).withColumn("key", F.monotonically_increasing_id())
     rows = texts.mapInArrow(_cut(pattern, block_chars), _CUT)
-    owner = F.coalesce(F.col("word"), F.col("block").cast("string"))  # heads are spread over all tasks
-    return rows.repartition(owner).sortWithinPartitions("word").mapInArrow(_encode(vocabulary), _ENCODED).groupBy("block")
+    owner = F.coalesce(F.col("bucket"), F.pmod(F.hash("block"), F.lit(BUCKETS)))  # heads are spread over all tasks
+    return rows.repartition(owner).mapInArrow(_encode(vocabulary), _ENCODED).groupBy("block")
 
 
 def encode(

@@ -275,3 +275,21 @@ def test_encode_scans_documents_once(spark, tmp_path):
     assert plan.count("parquet") == 1, plan
     encoded = byte_bpe.encode(spark.read.parquet(path), block_chars=1000, stored=True)
     assert {(r.doc_id, bytes(r.decoded).decode()) for r in byte_bpe.decode(encoded).collect()} == set(rows)
+
+
+def test_words_travel_in_bundles(spark, tmp_path, monkeypatch):
+    """op3: a block sends one row a bucket and its head, not one row a word; words are any text, and tasks forget some."""
+    odd = "".join(map(chr, (0, 1, 0xFF, 0x7FF, 0xFFFD, 0x10FFFF)))
+    rows = [(i, f"w{i} \n{odd}{i * i} w{i % 3} \0\0 \r\n") for i in range(900)] + [(900, ""), (901, " "), (902, odd)]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    cut = docs.withColumn("key", F.lit(0).cast("long")).mapInArrow(byte_bpe._cut(None, 1 << 20), byte_bpe._CUT)
+    bundles = cut.toArrow().to_batches()
+    assert sum(b.num_rows for b in bundles) <= byte_bpe.BUCKETS + 1
+    whole = list(byte_bpe._encode(byte_bpe.VOCABULARY)(iter(bundles)))
+    monkeypatch.setattr(byte_bpe, "_KNOWN", 3)
+    assert list(byte_bpe._encode(byte_bpe.VOCABULARY)(iter(bundles))) == whole
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(byte_bpe.VOCABULARY), special_tokens={})
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in byte_bpe.encode(docs, stored=True).collect()}
+    assert got == {i: encoding.encode_ordinary(text) for i, text in rows}
