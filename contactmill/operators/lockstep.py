@@ -60,10 +60,13 @@ def link_rows(kernel: DataFrame) -> DataFrame:
 
 
 def together(table: DataFrame, links: DataFrame, n_cells: int, cells_per_task: int) -> DataFrame:
-    """table (one row per cell) with the kernel rows, dealt by cell to as many tasks as can run at once."""
+    """table (one row per cell) with the kernel rows, dealt to as many tasks as can run at once.
+
+    The deal comes after the join and has no key: a join picks its own number of partitions, and a barrier stage of more
+    tasks than slots does not start."""
     slots = table.sparkSession.sparkContext.defaultParallelism
     tasks = max(1, min(slots, -(-n_cells // cells_per_task)))
-    return table.repartition(tasks, "cell_id").join(links.repartition(tasks, "cell_id"), "cell_id", "left")
+    return table.join(links, "cell_id", "left").repartition(tasks)
 
 
 @dataclass
