@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +27,12 @@ def hash_further(start: Column, *keys: Column) -> Column:
     )
 
 
+def hash_key_values(*keys: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The same number for arrays of 64-bit keys."""
+    wide = [key.astype(np.int64) for key in keys]
+    return reduce(lambda acc, key: (acc + key % KEY_MODULUS) % KEY_MODULUS * MULTIPLIER % MODULUS, wide, np.int64(seed))
+
+
 def hash_key_sql(*keys: str, seed: int = 0) -> str:
     """The same number as a SQL expression (non-negative keys)."""
     acc = f"CAST({seed} AS BIGINT)"

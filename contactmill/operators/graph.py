@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactmill.functions.draws import hash_key
+from contactmill.functions.draws import hash_key, hash_key_values
 from contactmill.operators.binning import symmetrize
 from contactmill.operators.nearest import knn, knn_join
 from contactmill.scale import quantile_within, with_totals
@@ -161,17 +165,22 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0) -> Dat
     Every node starts alone. Nodes move to the neighbouring label of largest gain until no node gains by a move; then the
     labels become the nodes of a smaller graph, and so on until no node of a level moves. Nodes without an edge to another
     one, such as those that only stand in a loop (i, i), keep a label of their own.
+
+    A level with TASK_LINKS edges at most, and with it all smaller ones that follow, runs in one task by the same rules.
     """
     nodes = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct()
     placed = materialize(nodes.withColumn("label", F.col("node")))
     level = materialize(edges.where(F.col("i") != F.col("j")).select("i", "j", "w"))
     total = level.agg(F.sum("w")).first()[0] or 0.0
     while total > 0:
-        labels = _moved(level, total, resolution, seed)
+        last = level.count() <= TASK_LINKS
+        labels = _last_levels(level, total, resolution, seed) if last else _moved(level, total, resolution, seed)
         if labels is None:
             break
         to = labels.select(F.col("node").alias("label"), F.col("label").alias("_to"))
         placed = materialize(placed.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
+        if last:
+            break
         for side in ("i", "j"):
             level = level.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), side)
         level = materialize(level.groupBy(F.col("_i").alias("i"), F.col("_j").alias("j")).agg(F.sum("w").alias("w")))
@@ -180,6 +189,8 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0) -> Dat
 
 _NOISE = 1e-12  # of a node's strength: gains below it are rounding
 LAST_MOVERS = 200
+TASK_LINKS = 4_000_000  # edges of a level that one task takes: about 0.5 GB with what a round needs, less than a second a round
+IDLE_ROUNDS = 4
 
 
 def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> DataFrame | None:
@@ -237,7 +248,7 @@ def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> Data
         else:
             idle += 1
         gaining, moved = sums[2] + sums[3], sums[2]
-        if gaining == 0 or idle >= 4 or (step > 1 and gaining * LAST_MOVERS <= sums[4] and best is not None):
+        if gaining == 0 or idle >= IDLE_ROUNDS or (step > 1 and gaining * LAST_MOVERS <= sums[4] and best is not None):
             break
         active = None
         if moved * 8 < sums[4]:
@@ -247,6 +258,93 @@ def _moved(edges: DataFrame, total: float, resolution: float, seed: int) -> Data
     return best
 
 
+def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, sum of weights of each)."""
+    if not len(keys):
+        return keys, weights
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(weights, first)
+
+
+def _moved_here(
+    nodes: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, total: float, resolution: float, seed: int
+) -> np.ndarray | None:
+    """`_moved` on arrays: labels by node, or None. nodes: identifiers in order; i, j: places in nodes (j may be -1, no node)."""
+    n, link = len(nodes), (i != j) & (j >= 0)
+    k, loops = np.bincount(i, weights=w, minlength=n), w[i == j].sum()
+    i, j, w = i[link], j[link], w[link]
+    label, own, share = np.arange(n), np.zeros(n), resolution * k
+    best, best_score, idle, step, active = None, float("-inf"), 0, 0, None
+    while True:
+        volume = np.bincount(label, weights=k, minlength=n)
+        seen = slice(None) if active is None else active[i]
+        # weight of each node to each label near it
+        key, to = _summed(i[seen] * n + label[j[seen]], w[seen])
+        node, near = np.divmod(key, n)
+        mine = near == label[node]
+        looked = np.zeros(n, dtype=bool)
+        looked[node] = True
+        own = np.where(looked, np.bincount(node[mine], weights=to[mine], minlength=n), own)
+        stay = own - share * (volume[label] - k) / total
+        node, near, to = node[~mine], near[~mine], to[~mine]
+        gain = to - share[node] * volume[near] / total
+        # of a node's largest gains the smallest label: runs of a node are sorted by label
+        top, goal = np.full(n, -np.inf), np.full(n, -1)
+        if len(node):
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            top[node[first]] = np.maximum.reduceat(gain, first)
+            at = np.flatnonzero(gain == top[node])[::-1]
+            goal[node[at]] = near[at]
+        gains = (goal >= 0) & (top > stay + k * _NOISE)
+        turn = hash_key_values(nodes, np.full(n, step), seed=seed) % 2 == 0
+        moves, waits = gains & turn, gains & ~turn
+        score = (own.sum() + loops) / total - resolution * (volume**2).sum() / (total * total)
+        if score > best_score:
+            # the labels of the first round are the nodes themselves
+            best, best_score, idle = label if best_score > float("-inf") else None, score, 0
+        else:
+            idle += 1
+        gaining, moved = int(gains.sum()), int(moves.sum())
+        if gaining == 0 or idle >= IDLE_ROUNDS or (step > 1 and gaining * LAST_MOVERS <= n and best is not None):
+            return best
+        active = None
+        if moved * 8 < n:
+            active = gains.copy()
+            active[i[moves[j]]] = True
+        label, step = np.where(moves, goal, label), step + 1
+
+
+def _last_levels(level: DataFrame, total: float, resolution: float, seed: int) -> DataFrame:
+    """Labels (node, label) after all levels from this one on, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return
+        i, j = (table.column(c).to_numpy() for c in ("i", "j"))
+        w = table.column("w").fill_null(0.0).to_numpy()
+        ids = np.unique(i)
+        order = np.lexsort((j, i))
+        i, j, w = i[order], j[order], w[order]
+        # as in `_moved`, a node is a node by its own edges
+        a, b = np.searchsorted(ids, i), np.where(np.isin(j, ids), np.searchsorted(ids, j), -1)
+        placed, nodes = np.arange(len(ids)), np.arange(len(ids))
+        while (labels := _moved_here(ids[nodes], a, b, w, total, resolution, seed)) is not None:
+            placed = labels[placed]
+            inside = b >= 0
+            keys, w = _summed(labels[a[inside]] * len(nodes) + labels[b[inside]], w[inside])
+            a, b = np.divmod(keys, len(nodes))
+            left, placed = np.unique(placed, return_inverse=True)
+            nodes, a, b = nodes[left], np.searchsorted(left, a), np.searchsorted(left, b)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[nodes][placed])], names=["node", "label"])
+
+    kind = level.schema["i"].dataType.simpleString()
+    alone = level.select("i", F.col("j").cast(kind).alias("j"), F.col("w").cast("double").alias("w")).repartition(1)
+    return alone.mapInArrow(run, f"node {kind}, label {kind}")
+
+
 def modularity(edges: DataFrame, labels: DataFrame, total: float, resolution: float = 1.0) -> float:
     """Share of edge weight inside labels minus what node strengths let expect."""
     if total == 0:

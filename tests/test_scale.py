@@ -127,6 +127,25 @@ def test_communities_find_two_cliques(spark):
     assert labels[0] != labels[6]
 
 
+def test_small_levels_take_one_task_and_give_the_same_communities(spark, monkeypatch):
+    """Labels are those of the distributed rounds; what is written does not grow with rounds and levels."""
+    rng = np.random.default_rng(4)
+    group = rng.integers(0, 12, 240)
+    weights = {}
+    for a, b in rng.integers(0, 240, (4000, 2)).tolist():
+        if a != b and (group[a] == group[b] or rng.random() < 0.1):
+            weights[min(a, b), max(a, b)] = float(rng.random())
+    rows = [(7 * i - 300, 7 * j - 300, w) for (a, b), w in weights.items() for i, j in ((a, b), (b, a))] + [(5000, 5000, 1.0)]
+    edges = spark.createDataFrame(rows, "i LONG, j LONG, w DOUBLE")
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, real=graph.materialize: written.append(1) or real(df))
+    got = graph.communities(edges, seed=3).toPandas().set_index("node")["label"].sort_index()
+    assert len(written) <= 3
+    monkeypatch.setattr(graph, "TASK_LINKS", 60)
+    want = graph.communities(edges, seed=3).toPandas().set_index("node")["label"].sort_index()
+    assert len(written) > 6 and got.equals(want) and 1 < got.nunique() < 120
+
+
 def test_every_cell_gets_a_community(spark):
     """Coinciding points have no distance to form a kernel from; they belong together all the same."""
     points = [(i, [0.0, 0.0]) for i in range(20)] + [(20 + i, [5.0 + 0.1 * i, 3.0 - 0.2 * (i % 3)]) for i in range(10)] + [(99, [400.0, 400.0])]
