@@ -134,12 +134,18 @@ class Cells:
         self.values = {c: np.concatenate(values[c])[order] if ids else np.zeros((0, width)) for c, width in columns.items()}
         self.near = np.unique(np.concatenate([np.unique(np.concatenate(js)) for _, js, _ in links if js] or [np.zeros(0, np.int64)]))
         self.views = []  # where the entries of each cell begin, places of their neighbours in `near`, weights
-        for row, js, ws in links:
+        self.listing = []  # where the entries of each neighbour begin, cells and weights in that order
+        while links:
+            row, js, ws = links.pop(0)
             row = rank[np.concatenate(row)] if row else np.zeros(0, np.int64)
             by = np.argsort(row, kind="stable")
             at = np.searchsorted(row[by], np.arange(len(self.ids) + 1))
-            place = np.searchsorted(self.near, np.concatenate(js)[by]).astype(np.int32) if js else np.zeros(0, np.int32)
-            self.views.append((at, place, np.concatenate(ws)[by].astype(float) if ws else np.zeros(0)))
+            place = np.searchsorted(self.near, np.concatenate(js)[by]) if js else np.zeros(0, np.int64)
+            weight = np.concatenate(ws)[by].astype(float) if ws else np.zeros(0)
+            self.views.append((at, place, weight))
+            turned = np.argsort(place, kind="stable")
+            begin = np.searchsorted(place[turned], np.arange(len(self.near) + 1))
+            self.listing.append((begin, row[by][turned].astype(np.int32), weight[turned]))
 
     def kernel_row(self, cell: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
         """The kernel entries (neighbours, weights) of an own cell per view."""
@@ -148,33 +154,42 @@ class Cells:
             return None
         return [(self.near[place[starts[at] : starts[at + 1]]], ws[starts[at] : starts[at + 1]]) for starts, place, ws in self.views]
 
+    def hits(self, view: int, z: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(own cell, row of z, weight) of the kernel entries between own cells and cells of z, in the order of z."""
+        begin, row, ws = self.listing[view]
+        spot = np.searchsorted(self.near, z.cells)
+        known = np.flatnonzero(self.near[np.minimum(spot, len(self.near) - 1)] == z.cells) if len(self.near) else np.zeros(0, int)
+        source, at = _spread(begin[spot[known]], begin[spot[known] + 1] - begin[spot[known]])
+        return row[at], known[source], ws[at]
+
     def times(self, view: int, z: Entries, k: int) -> np.ndarray:
         """M_view Z for the own cells."""
-        starts, place, ws = self.views[view]
-        out = np.zeros(len(self.ids) * k)
-        if len(z.cells) and len(place):
-            spot = np.minimum(np.searchsorted(self.near, z.cells), len(self.near) - 1)
-            known = np.flatnonzero(self.near[spot] == z.cells)
-            row_of = np.full(len(self.near), -1, np.int32)
-            row_of[spot[known]] = known
-            at = row_of[place]
-            hit = np.flatnonzero(at >= 0)
-            row = np.searchsorted(starts, hit, side="right") - 1
-            source, entry = _spread(z.at[at[hit]], np.diff(z.at)[at[hit]])
-            out = np.bincount(row[source] * k + z.columns[entry], weights=ws[hit][source] * z.values[entry], minlength=len(out))
-        return out.reshape(len(self.ids), k)
+        return product(self.hits(view, z), z, len(self.ids), k)
 
     def times_own(self, view: int, x: np.ndarray) -> np.ndarray:
         """M_view x for rows x of the own cells, in a task that holds all of them."""
         starts, place, ws = self.views[view]
-        out = np.zeros(x.shape)
-        spot = np.minimum(np.searchsorted(self.near, self.ids), max(0, len(self.near) - 1))
-        held = np.flatnonzero(self.near[spot] == self.ids) if len(self.near) else np.zeros(0, int)
+        out = np.zeros(x.shape[::-1])
         some = np.flatnonzero(np.diff(starts))
-        for c in range(x.shape[1] if len(some) else 0):
+        if not len(some):
+            return out.T
+        spot = np.minimum(np.searchsorted(self.near, self.ids), len(self.near) - 1)
+        held = np.flatnonzero(self.near[spot] == self.ids)
+        part, sums = np.empty(len(place)), np.empty(len(some))
+        for c in range(x.shape[1]):
             theirs = np.bincount(spot[held], weights=x[held, c], minlength=len(self.near))
-            out[some, c] = np.add.reduceat(ws * theirs[place], starts[some])
-        return out
+            np.take(theirs, place, out=part, mode="clip")
+            np.multiply(part, ws, out=part)
+            out[c, some] = np.add.reduceat(part, starts[some], out=sums)
+        return out.T
+
+
+def product(hits: tuple[np.ndarray, np.ndarray, np.ndarray], z: Entries, n: int, k: int) -> np.ndarray:
+    """n x k sums of weight times row of z over hits (place, row of z, weight)."""
+    place, source, ws = hits
+    entry, spot = _spread(z.at[source], z.at[source + 1] - z.at[source])
+    out = np.bincount(place[entry] * k + z.columns[spot], weights=ws[entry] * z.values[spot], minlength=n * k)
+    return out.reshape(n, k)
 
 
 def _flat(lists: pa.ListArray) -> np.ndarray:
@@ -244,24 +259,28 @@ def _settled(
 
     def walked(course: np.ndarray | None, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(A, counts per step, course): under a given course of sizes, or under the one that own counts suggest."""
-        now, counts = a, np.zeros((steps, k), dtype=np.int64)
+        now, pulled, of, many = a, t, None, np.ones(len(a))
+        counts = np.zeros((steps, k), dtype=np.int64)
         share = n_cells / max(1, len(a))
         guess = np.tile(start, (steps, 1)) if course is None else course
-        grad = 2.0 * (now @ t1 - t)
-        rows = np.arange(len(a))
+        grad = 2.0 * (now @ t1 - pulled)
         for s in range(steps):
             if course is None and s and s % max(1, sync) == 0:
                 guess[s:] = (1.0 - gammas[s - 1]) * guess[s - 1] + gammas[s - 1] * share * counts[s - 1]
             best = np.argmin(grad + np.maximum(guess[s] - mean_size, 0.0) * penalty, axis=1)
-            counts[s] = np.bincount(best, minlength=k)
+            counts[s] = np.bincount(best, weights=many, minlength=k)
             gamma = gammas[s]
+            if s == 0:
+                # the first step leaves nothing of A: cells far from all archetypes that took the same one go on as one
+                of, first, many = _alike(pulled, best, k)
+                now, pulled, grad, best = now[first], pulled[first], grad[first], best[first]
             now = (1.0 - gamma) * now
-            now[rows, best] += gamma
+            now[np.arange(len(now)), best] += gamma
             if (s + 1) % REFRESH == 0:
-                grad = 2.0 * (now @ t1 - t)
+                grad = 2.0 * (now @ t1 - pulled)
             else:
-                grad = (1.0 - gamma) * grad + gamma * 2.0 * (t1[best] - t)
-        return now, counts, guess
+                grad = (1.0 - gamma) * grad + gamma * 2.0 * (t1[best] - pulled)
+        return now if of is None else now[of], counts, guess
 
     def followed(counts: np.ndarray, start: np.ndarray) -> np.ndarray:
         """The course of sizes that counts lead to; it changes every sync steps and where the gradient is taken anew."""
@@ -288,6 +307,15 @@ def _settled(
         course = after
 
 
+def _alike(t: np.ndarray, best: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each cell, a cell of each class, cells in it): a cell with pull is alone, the others go by their best."""
+    near = np.flatnonzero(t.any(axis=1))
+    of = best.astype(np.int64)
+    of[near] = k + np.arange(len(near))
+    _, first, of, many = np.unique(of, return_index=True, return_inverse=True, return_counts=True)
+    return of, first, many.astype(float)
+
+
 def memberships(
     table: DataFrame, archetypes: Archetypes, weights: np.ndarray, n_cells: int, steps: int, penalty: float, sync: int
 ) -> DataFrame:
@@ -323,13 +351,21 @@ def _chosen(
     b = [dict(c) for c in archetypes]
     for start in range(0, steps, REFRESH):
         zs = columns.times(b)
-        grad = -pull
+        met = [[cells.hits(v, z) if share or u == v else None for u, z in enumerate(zs)] for v in range(views)]
+        # cells without an entry near an archetype keep the constant part
+        near = np.zeros(len(pull), dtype=bool)
+        for hits in (h for of_view in met for h in of_view if h):
+            near[hits[0]] = True
+        rows, place = np.flatnonzero(near), np.cumsum(near) - 1
+        part = -pull[rows]
         for v, w in enumerate(weights):
             q = gram_of(zs[v], k)
-            own = cells.times(v, zs[v], k)
-            grad = grad + own @ (2.0 * w * aa + 4.0 * ortho * w * (q - np.diag(np.diag(q))))
+            by = [product((place[h[0]], *h[1:]), z, len(rows), k) if h else None for h, z in zip(met[v], zs, strict=True)]
+            part = part + by[v] @ (2.0 * w * aa + 4.0 * ortho * w * (q - np.diag(np.diag(q))))
             if share:
-                grad += share * (views * own - sum(own if u == v else cells.times(v, zs[u], k) for u in range(views)))
+                part += share * (views * by[v] - sum(by))
+        grad = -pull
+        grad[rows] = part
         offer = [(np.inf, np.iinfo(np.int64).max)] * k
         if len(grad):
             first = grad.argmin(axis=0)
